@@ -93,3 +93,4 @@ def q_clean_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewise.operators.profile import describe
 
     return _describe_cols(describe(cleaned_lineitem(spark, sf_dir)))
+from tablewise.plans import catalog_clean  # noqa: E402,F401
