@@ -9,6 +9,7 @@ sides after aggregation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,19 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
+_BARE_COLUMN = re.compile(r"(?<![\w'\"])column(?![\w'\"])")
+
+
+def _quote_keywords(sql: str) -> str:
+    """DuckDB reserves ``column``; quote it wherever it is used as a name."""
+    return _BARE_COLUMN.sub('"column"', sql)
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, _quote_keywords(sql) if sql else None)
         return fn
 
     return deco
@@ -94,3 +103,4 @@ def q_clean_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return _describe_cols(describe(cleaned_lineitem(spark, sf_dir)))
 from tablewise.plans import catalog_clean  # noqa: E402,F401
+from tablewise.plans import catalog_profile  # noqa: E402,F401
