@@ -104,3 +104,4 @@ def q_clean_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _describe_cols(describe(cleaned_lineitem(spark, sf_dir)))
 from tablewise.plans import catalog_clean  # noqa: E402,F401
 from tablewise.plans import catalog_profile  # noqa: E402,F401
+from tablewise.plans import catalog_stats  # noqa: E402,F401
