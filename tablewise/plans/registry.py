@@ -105,3 +105,4 @@ def q_clean_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 from tablewise.plans import catalog_clean  # noqa: E402,F401
 from tablewise.plans import catalog_profile  # noqa: E402,F401
 from tablewise.plans import catalog_stats  # noqa: E402,F401
+from tablewise.plans import catalog_io  # noqa: E402,F401
