@@ -106,3 +106,5 @@ from tablewise.plans import catalog_clean  # noqa: E402,F401
 from tablewise.plans import catalog_profile  # noqa: E402,F401
 from tablewise.plans import catalog_stats  # noqa: E402,F401
 from tablewise.plans import catalog_io  # noqa: E402,F401
+from tablewise.plans import catalog_enrich  # noqa: E402,F401
+from tablewise.plans import catalog_charts  # noqa: E402,F401
