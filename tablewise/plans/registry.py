@@ -108,3 +108,4 @@ from tablewise.plans import catalog_stats  # noqa: E402,F401
 from tablewise.plans import catalog_io  # noqa: E402,F401
 from tablewise.plans import catalog_enrich  # noqa: E402,F401
 from tablewise.plans import catalog_charts  # noqa: E402,F401
+from tablewise.plans import catalog_insights  # noqa: E402,F401
