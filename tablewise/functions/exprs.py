@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 __all__ = [
     "NULL_TOKENS",
     "DATE_FORMATS",
+    "DATE_SHAPES",
     "STRICT_NUMBER_REGEX",
     "INTEGER_REGEX",
     "PUNCTUATION_MAP",
@@ -73,6 +74,17 @@ DATE_FORMATS = [
     "dd-MM-yyyy",
     "dd MMM yyyy",
 ]
+# Necessary text shapes of the formats above, same order (a cheap screen
+# before the real parse).
+DATE_SHAPES = [
+    r"^\d{4}-\d{1,2}-\d{1,2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
+    r"^\d{4}/\d{1,2}/\d{1,2}$",
+    r"^\d{1,2}/\d{1,2}/\d{4}$",
+    r"^\d{1,2}-\d{1,2}-\d{4}$",
+    r"^\d{1,2} [A-Za-z]{3,} \d{4}$",
+]
 
 # A cell counts as a number only if it matches this (case-insensitive):
 # optional blanks, sign, digits with optional fraction and exponent, or

@@ -195,20 +195,22 @@ def _scalar_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """A2: (column, unique) - distinct non-null values per column."""
+    """A2: (column, ord, unique) - distinct non-null values per column.
+
+    One aggregate of ``count(DISTINCT c)`` for every column: Spark rewrites it
+    with an Expand into one shuffle keyed by (column id, value), so each
+    column's values are spread over all tasks and counted map-side first.
+    ``approx=True`` uses HyperLogLog sketches instead (no shuffle of values).
+    """
     cols = _scalar_cols(df, cols)
     df = nan_to_null_all(df)
-    if approx:
-        agg = df.agg(*[F.approx_count_distinct(_c(n)).alias(f"u{i}") for i, n in enumerate(cols)])
-        return agg.select(
-            _explode_rows([F.struct(F.lit(n).alias("column"), F.col(f"u{i}").alias("unique")) for i, n in enumerate(cols)])
-        ).select("__r.*")
-    vc = value_counts_long(df, cols)
-    got = vc.groupBy("column").agg(F.count("*").alias("unique"))
-    names = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(cols)], "column string, ord int")
-    return names.join(got, "column", "left").select(
-        "column", "ord", F.coalesce("unique", F.lit(0)).cast("long").alias("unique")
-    )
+    fn = F.approx_count_distinct if approx else F.count_distinct
+    agg = df.agg(*[fn(_c(n)).alias(f"u{i}") for i, n in enumerate(cols)])
+    return agg.select(
+        _explode_rows(
+            [F.struct(F.lit(n).alias("column"), F.lit(i).alias("ord"), F.col(f"u{i}").cast("long").alias("unique")) for i, n in enumerate(cols)]
+        )
+    ).select("__r.*")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

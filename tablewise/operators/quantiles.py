@@ -2,21 +2,24 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
 one buffer, so a 100 TB column with billions of distinct values would land in
-one task.  ``quantiles(approx=False)`` avoids that:
+one task.  ``quantiles(approx=False)`` bounds that buffer:
 
 1. Long form ``(by..., column, v)`` of the numeric columns (one scan).
-2. Per group: row count ``n`` and approximate distinct count (one aggregate).
-3. Groups whose distinct count is small go straight to step 5.
-4. Otherwise the target ranks are bracketed with a ``percentile_approx`` grid;
+2. Per group: row count ``n`` and HyperLogLog distinct count ``d``.
+3. Groups with ``d`` within ``max_candidates`` use the built-in exact
+   ``percentile`` (its buffer is at most ``max_candidates`` entries, and it
+   combines partially per partition); this is the common case.
+4. Larger groups bracket the target ranks with a ``percentile_approx`` grid;
    the bracket is verified with exact counts (values below / at-or-below), and
    only values inside it stay candidates.  Repeat until each bracket holds at
    most ``max_candidates`` distinct values (every level shrinks it ~B times).
-5. Candidates are collapsed to ``(value, multiplicity)`` and a running count in
-   value order gives the exact order statistics at ranks floor(h) and ceil(h),
-   h = (n-1)*p; the result interpolates linearly between them (pandas /
-   DuckDB ``quantile_cont`` semantics).
+5. Bracketed candidates are collapsed to ``(value, multiplicity)`` and a
+   running count in value order gives the exact order statistics at ranks
+   floor(h) and ceil(h), h = (n-1)*p; the result interpolates linearly
+   between them (pandas / DuckDB ``quantile_cont`` semantics, which the
+   built-in ``percentile`` shares).
 
-No group is ever larger than ``max_candidates`` distinct values in one task.
+No group ever holds more than ``max_candidates`` distinct values in one task.
 """
 
 from __future__ import annotations
@@ -89,6 +92,20 @@ def quantiles(
     counts = long.groupBy(*keys).agg(
         F.count("*").alias("n"), F.approx_count_distinct("__v").alias("__d")
     )
+    # HyperLogLog has ~5% relative error: keep a margin below the bound
+    safe = int(max_candidates / 1.2)
+    summary0 = counts.agg(F.count("*").alias("t"), F.count_if(F.col("__d") > safe).alias("big")).first()
+    small_keys = counts.filter(F.col("__d") <= safe).select(*keys)
+    src = long if not summary0["big"] else _join_small(long, small_keys, keys, summary0["t"])
+    exact_small = (
+        src.groupBy(*keys)
+        .agg(F.percentile("__v", probs_col).alias("__qs"), F.count("*").alias("n"))
+        .select(*keys, "n", F.explode(F.arrays_zip(probs_col.alias("p"), F.col("__qs").alias("q"))).alias("__z"))
+        .select(*keys, F.col("__z.p").alias("p"), F.col("__z.q").cast("double").alias("value"), "n")
+    )
+    if not summary0["big"]:
+        return exact_small
+    counts = counts.filter(F.col("__d") > safe)
     tgt = (
         counts.select(*keys, "n", "__d", F.explode(probs_col).alias("p"))
         .withColumn("__pos", (F.col("n") - 1).cast("double") * F.col("p"))
@@ -195,7 +212,7 @@ def quantiles(
     )
     out = _join_small(picked, tgt.select(*tkeys, "n", "__pos", "__klo"), tkeys, n_tgt)
     value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
-    return out.select(*keys, "p", value.alias("value"), "n")
+    return exact_small.unionByName(out.select(*keys, "p", value.alias("value"), "n"))
 
 
 def quantiles_wide(
