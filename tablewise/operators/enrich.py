@@ -54,7 +54,9 @@ def enrich_batches(
     """
     out_schema = _as_struct(schema)
     names = out_schema.fieldNames()
-    full = T.StructType(list(out_schema.fields) + [T.StructField(OK_COL, T.BooleanType(), False)])
+    # marker rows of failed chunks hold NULLs, so every output field is nullable
+    fields = [T.StructField(f.name, f.dataType, True) for f in out_schema.fields]
+    full = T.StructType(fields + [T.StructField(OK_COL, T.BooleanType(), False)])
 
     def failed() -> pd.DataFrame:
         row = {n: [None] for n in names}
