@@ -70,10 +70,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage by writing the frame as a Parquet table in the shared
+    checkpoint folder and reading it back.
 
-    Used between passes of multi-pass operators so that a lost executor only
-    costs the re-read of checkpointed files, not a replay of earlier shuffles.
+    Used between passes of multi-pass operators: a lost executor then costs
+    a re-read of those files, not a replay of earlier shuffles, and later
+    passes get column pruning and filter pushdown (an RDD checkpoint would
+    be re-read as whole rows).  Types Parquet cannot hold fall back to a
+    reliable ``checkpoint()`` in the same folder.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    try:
+        df.write.mode("error").parquet(path)
+    except Exception:  # noqa: BLE001 - e.g. interval / void columns
+        return df.checkpoint(eager=True)
+    return df.sparkSession.read.parquet(path)
