@@ -140,6 +140,7 @@ def numeric_summary(
                 F.min(c).alias(f"min{i}"),
                 F.max(c).alias(f"max{i}"),
                 F.sum(c).alias(f"sum{i}"),
+                F.approx_count_distinct(c).alias(f"ad{i}"),
                 corrected_skewness(c).alias(f"sk{i}"),
                 corrected_kurtosis(c).alias(f"ku{i}"),
             ]
@@ -158,6 +159,7 @@ def numeric_summary(
                             F.col(f"min{i}").alias("min"),
                             F.col(f"max{i}").alias("max"),
                             F.col(f"sum{i}").alias("sum"),
+                            F.col(f"ad{i}").alias("approx_distinct"),
                             F.col(f"sk{i}").alias("skewness"),
                             F.col(f"ku{i}").alias("kurtosis"),
                         )
@@ -171,7 +173,13 @@ def numeric_summary(
         long = long.unionByName(part)
     if not with_quartiles:
         return long
-    q = quantiles_wide(df, num, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx=approx)
+    # the moments are one small row per column: collect them once, reuse the
+    # counts as quantile hints (saves the quantile counting scan) and serve
+    # the result from those rows instead of re-running the aggregate
+    rows = long.collect()
+    long = df.sparkSession.createDataFrame(rows, long.schema)
+    hints = {r["column"]: (r["count"], r["approx_distinct"]) for r in rows}
+    q = quantiles_wide(df, num, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx=approx, hints=hints)
     return long.join(q, "column", "left")
 
 
@@ -282,39 +290,47 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     distinct -> numeric (bool counts as numeric here) -> text split into
     high_cardinality (unique/rows > 0.5 or unique > 50) / categorical.
     An all-null text column is categorical.  Complex columns are skipped.
+
+    One aggregate computes the row count, non-null and distinct counts and the
+    date-shape screens for every column; only text columns whose shape fits
+    a date format get a second (parse) pass.
     """
+    from tablewise.functions.exprs import DATE_FORMATS, DATE_SHAPES
+
     types = _types(df)
     cols = _scalar_cols(df, cols)
     df = nan_to_null_all(df)
-    date_plan = date_text_plan(df, [n for n in cols if isinstance(types[n], T.StringType)])
-    uniq = distinct_counts(df, cols)
-    rows_nn = df.agg(F.count("*").alias("__rows"), *[F.count(_c(n)).alias(f"nn{i}") for i, n in enumerate(cols)])
-    nn_long = rows_nn.select(
-        "__rows",
-        _explode_rows([F.struct(F.lit(n).alias("column"), F.col(f"nn{i}").alias("non_null")) for i, n in enumerate(cols)]),
-    ).select("__rows", "__r.*")
-    meta = df.sparkSession.createDataFrame(
-        [
-            (
-                n,
-                i,
-                isinstance(types[n], (T.TimestampType, T.TimestampNTZType, T.DateType)) or n in date_plan,
-                is_numeric_type(types[n]) or isinstance(types[n], T.BooleanType),
-            )
-            for i, n in enumerate(cols)
-        ],
-        "column string, ord int, is_dt boolean, is_num boolean",
-    )
-    j = meta.join(nn_long, "column").join(uniq.drop("ord"), "column")
-    ratio = F.col("unique") / F.greatest(F.col("__rows"), F.lit(1))
-    typ = (
-        F.when(F.col("is_dt"), "datetime")
-        .when(F.col("unique") == 2, "boolean")
-        .when(F.col("is_num"), "numerical")
-        .when((ratio > 0.5) | (F.col("unique") > 50), "high_cardinality")
-        .otherwise("categorical")
-    )
-    return j.select("column", "ord", typ.alias("type"), "non_null", "unique")
+    text = [n for n in cols if isinstance(types[n], T.StringType)]
+    aggs = [F.count("*").alias("__rows")]
+    aggs += [F.count(_c(n)).alias(f"nn{i}") for i, n in enumerate(cols)]
+    aggs += [F.count_distinct(_c(n)).alias(f"u{i}") for i, n in enumerate(cols)]
+    aggs += [
+        F.count_if(_c(n).isNotNull() & ~_c(n).rlike(shape)).alias(f"sh{i}_{j}")
+        for i, n in enumerate(cols)
+        if n in text
+        for j, shape in enumerate(DATE_SHAPES)
+    ]
+    row = df.agg(*aggs).first()
+    shaped = [n for i, n in enumerate(cols) if n in text and row[f"nn{i}"] > 0 and any(row[f"sh{i}_{j}"] == 0 for j in range(len(DATE_FORMATS)))]
+    date_plan = date_text_plan(df, shaped) if shaped else {}
+    n_rows = row["__rows"]
+    out = []
+    for i, n in enumerate(cols):
+        dt = types[n]
+        uniq, nn = row[f"u{i}"], row[f"nn{i}"]
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)) or n in date_plan:
+            typ = "datetime"
+        elif uniq == 2:
+            typ = "boolean"
+        elif is_numeric_type(dt) or isinstance(dt, T.BooleanType):
+            typ = "numerical"
+        elif uniq / max(n_rows, 1) > 0.5 or uniq > 50:
+            typ = "high_cardinality"
+        else:
+            typ = "categorical"
+        out.append((n, i, typ, nn, uniq))
+    # one row per column: column-sized metadata, not data
+    return df.sparkSession.createDataFrame(out, "column string, ord int, type string, non_null long, unique long")
 
 
 def type_counts(types_df: DataFrame) -> DataFrame:
