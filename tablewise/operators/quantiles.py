@@ -67,13 +67,13 @@ def quantiles(
     approx: bool = False,
     accuracy: int = SKETCH_ACCURACY,
     max_candidates: int = 1_000_000,
-    hints: dict[str, tuple[int, int]] | None = None,
+    hints: dict[str, int] | None = None,
 ) -> DataFrame:
     """Quantiles of each numeric column (per ``by`` group).
 
-    ``hints`` (only without ``by``): column -> (non-null count, approximate
-    distinct count) already computed by the caller; when every column is
-    within the bound the counting pass is skipped.
+    ``hints`` (only without ``by``): column -> non-null count already computed
+    by the caller.  A count bounds the distinct count, so when every column
+    is within the bound the counting (HyperLogLog) pass is skipped.
 
     Returns ``(by..., column, p, value, n)``: one row per group, column and
     probability that has at least one non-null value.
@@ -99,8 +99,8 @@ def quantiles(
     )
     # HyperLogLog has ~5% relative error: keep a margin below the bound
     safe = int(max_candidates / 1.2)
-    if hints is not None and not by and all(c in hints for c in cols):
-        summary0 = {"t": len(cols), "big": sum(1 for c in cols if hints[c][1] > safe)}
+    if hints is not None and not by and all(c in hints and hints[c] <= safe for c in cols):
+        summary0 = {"t": len(cols), "big": 0}
     else:
         summary0 = counts.agg(F.count("*").alias("t"), F.count_if(F.col("__d") > safe).alias("big")).first()
     small_keys = counts.filter(F.col("__d") <= safe).select(*keys)
@@ -230,7 +230,7 @@ def quantiles_wide(
     names: Sequence[str],
     by: Sequence[str] = (),
     approx: bool = False,
-    hints: dict[str, tuple[int, int]] | None = None,
+    hints: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pivot ``quantiles`` to one row per (by..., column) with one column per prob."""
     q = quantiles(df, cols, probs, by=by, approx=approx, hints=hints)
