@@ -73,32 +73,31 @@ def missing_total(df: DataFrame) -> DataFrame:
     return df.agg(total.cast("long").alias("missing"))
 
 
-def table_stats(df: DataFrame) -> DataFrame:
-    """rows, columns, missing, duplicates in one pass each (used by P4, I8)."""
+def table_stats_row(df: DataFrame) -> dict:
+    """rows, columns, missing, duplicates as a dict: two one-row aggregates."""
     from tablewise.operators.clean import duplicate_stats
 
     types = _types(df)
     total = sum((F.count_if(_null_expr(n, t)) for n, t in types.items()), F.lit(0).cast("long"))
-    base = df.agg(F.count("*").alias("rows"), total.cast("long").alias("missing"))
-    dup = duplicate_stats(df).select("duplicates")
-    return base.crossJoin(dup).select(
-        "rows", F.lit(len(types)).cast("long").alias("columns"), "missing", "duplicates"
-    )
+    base = df.agg(F.count("*").alias("rows"), total.cast("long").alias("missing")).first()
+    dup = duplicate_stats(df).first()
+    return {"rows": base["rows"], "columns": len(types), "missing": base["missing"], "duplicates": dup["duplicates"]}
+
+
+_STATS_SCHEMA = "rows long, columns long, missing long, duplicates long"
+
+
+def table_stats(df: DataFrame) -> DataFrame:
+    """rows, columns, missing, duplicates (used by P4, P14, I4, I8) as one row."""
+    r = table_stats_row(df)
+    return df.sparkSession.createDataFrame([(r["rows"], r["columns"], r["missing"], r["duplicates"])], _STATS_SCHEMA)
 
 
 def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows (metric, before, after) for rows, columns, missing, duplicates."""
-    b = table_stats(before).select([F.col(c).alias(f"b_{c}") for c in ("rows", "columns", "missing", "duplicates")])
-    a = table_stats(after).select([F.col(c).alias(f"a_{c}") for c in ("rows", "columns", "missing", "duplicates")])
-    both = b.crossJoin(a)
-    return both.select(
-        _explode_rows(
-            [
-                F.struct(F.lit(m).alias("metric"), F.col(f"b_{m}").alias("before"), F.col(f"a_{m}").alias("after"), F.lit(i).alias("ord"))
-                for i, m in enumerate(("rows", "columns", "missing", "duplicates"))
-            ]
-        )
-    ).select("__r.*")
+    """Rows (metric, before, after, ord) for rows, columns, missing, duplicates."""
+    b, a = table_stats_row(before), table_stats_row(after)
+    rows = [(m, b[m], a[m], i) for i, m in enumerate(("rows", "columns", "missing", "duplicates"))]
+    return before.sparkSession.createDataFrame(rows, "metric string, before long, after long, ord int")
 
 
 # ---------------------------------------------------------------------------

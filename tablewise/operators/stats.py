@@ -325,12 +325,23 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, approx: bool = F
     q = quantiles_wide(d, [value], [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=keys, approx=approx).drop("column")
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*keys, "q1", "median", "q3", (F.col("q1") - IQR_FACTOR * iqr).alias("__lf"), (F.col("q3") + IQR_FACTOR * iqr).alias("__uf"))
-    if keys:
-        n_groups = fences.count()
-        j = d.join(F.broadcast(fences) if n_groups <= BROADCAST_TARGET_ROWS else fences, keys)
-    else:
-        j = d.crossJoin(F.broadcast(fences))
     v = F.col(value)
+    if not keys:
+        # one group: the fences are one row, applied as literals
+        f = fences.first()
+        if f is None:
+            return d.limit(0).select(*[F.lit(None).cast("double").alias(c) for c in ("q1", "median", "q3", "lower_whisker", "upper_whisker", "mean", "sd")], F.lit(0).cast("long").alias("n"))
+        inside = (v >= F.lit(f["__lf"])) & (v <= F.lit(f["__uf"]))
+        return d.agg(
+            F.lit(f["q1"]).alias("q1"), F.lit(f["median"]).alias("median"), F.lit(f["q3"]).alias("q3"),
+            F.min(F.when(inside, v)).alias("lower_whisker"),
+            F.max(F.when(inside, v)).alias("upper_whisker"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("sd"),
+            F.count(v).alias("n"),
+        )
+    n_groups = fences.count()
+    j = d.join(F.broadcast(fences) if n_groups <= BROADCAST_TARGET_ROWS else fences, keys)
     inside = (v >= F.col("__lf")) & (v <= F.col("__uf"))
     agg = j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("lower_whisker"),
@@ -378,12 +389,11 @@ def category_shares(df: DataFrame, col: str, max_categories: int = PIE_MAX_CATEG
         df.select(_c(col).alias("value")).filter(F.col("value").isNotNull())
         .groupBy("value").agg(F.count("*").alias("count"))
     )
-    w = Window.partitionBy(F.lit(1))
-    # vc has at most max_categories + 1 rows after the check below
     n_levels = vc.limit(max_categories + 1).count()
     if n_levels > max_categories:
         return vc.limit(0).withColumn("share", F.lit(None).cast("double"))
-    return vc.withColumn("share", F.col("count") / F.sum("count").over(w))
+    total = df.agg(F.count(_c(col)).alias("n")).first()["n"]
+    return vc.withColumn("share", F.col("count") / F.lit(total))
 
 
 def bar_totals(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ touched by the statistics jobs themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,10 +183,9 @@ def patterns(df: DataFrame, trend_lines: DataFrame) -> DataFrame:
     if numeric_columns(df):
         v = S.variability(df).filter(F.col("high_variability"))
         parts.append(_lines(v, F.format_string(CV_SENTENCE, "column", F.col("cv")), F.col("ord")))
-    w = Window.orderBy("ord")
-    # trend_lines has at most one row per numeric column + 1
-    first3 = trend_lines.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 3)
-    parts.append(_lines(first3, F.col("text"), F.col("__rn") + 100_000))
+    first3 = trend_lines.orderBy("ord").limit(3).collect()  # at most 3 short lines
+    spark = df.sparkSession
+    parts.append(spark.createDataFrame([(100_001 + k, r["text"]) for k, r in enumerate(first3)], LINES))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -214,62 +213,55 @@ def top_up_recommendations(recs: DataFrame, minimum: int = 3, maximum: int = 5)
 
 
 def executive_summary(table: DataFrame, correlations: DataFrame, outliers: DataFrame) -> DataFrame:
-    """The one-sentence summary."""
-    nc = correlations.agg(F.count("*").alias("nc"))
-    no = outliers.agg(F.count("*").alias("no"))
-    j = table.crossJoin(nc).crossJoin(no)
-    return _lines(j, F.format_string(SUMMARY_SENTENCE, _thousands(F.col("rows")), F.col("columns"), F.col("nc"), F.col("no")), F.lit(0))
+    """The one-sentence summary (from one-row results)."""
+    t = table.first()
+    nc = correlations.count()  # at most 15 rows
+    no = outliers.count()  # one row per numeric column
+    text = SUMMARY_SENTENCE % (f"{t['rows']:,}", t["columns"], nc, no)
+    return table.sparkSession.createDataFrame([(0, text)], LINES)
 
 
 def metrics(before: DataFrame, after: DataFrame, outliers: DataFrame | None = None) -> DataFrame:
     """I8: total_rows, total_columns, missing_values_handled, duplicates_removed,
     outliers_detected (before/after kept apart, see P4)."""
-    b = P.table_stats(before).select(F.col("rows").alias("b_rows"), F.col("missing").alias("b_missing"))
-    a = P.table_stats(after)
-    o = S.total_outliers(outliers if outliers is not None else S.outlier_report(after))
-    j = b.crossJoin(a).crossJoin(o)
-    return j.select(
-        F.col("rows").alias("total_rows"),
-        F.col("columns").alias("total_columns"),
-        (F.col("b_missing") - F.col("missing")).alias("missing_values_handled"),
-        F.greatest(F.col("b_rows") - F.col("rows"), F.lit(0)).alias("duplicates_removed"),
-        "outliers_detected",
+    b = P.table_stats_row(before)
+    a = P.table_stats_row(after)
+    o = S.total_outliers(outliers if outliers is not None else S.outlier_report(after)).first()["outliers_detected"]
+    row = (a["rows"], a["columns"], b["missing"] - a["missing"], max(b["rows"] - a["rows"], 0), o)
+    return after.sparkSession.createDataFrame(
+        [row], "total_rows long, total_columns long, missing_values_handled long, duplicates_removed long, outliers_detected long"
     )
 
 
 def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: DataFrame, trend_lines: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """The text block handed to an external model (top 8 pairs, 6 outlier
-    columns, 5 trends, stats lines, chart lines) as one row (text)."""
-    spark = describe_df.sparkSession
+    columns, 5 trends, stats lines, chart lines) as one row (text).
 
-    def block(df: DataFrame, text: Column, order: list, k: int, base: int) -> DataFrame:
-        w = Window.orderBy(*order)
-        # each input is a per-column / per-pair table (bounded by the column count)
-        return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).select(
-            (F.col("__rn") + base).alias("ord"), text.alias("text")
-        )
+    Every block is a top-k (``orderBy().limit(k)``) of a table with one row
+    per column or pair, so only a few dozen short lines reach the driver.
+    """
+    spark = describe_df.sparkSession
 
-    stats = block(
-        describe_df,
-        F.format_string("  %s: mean=%.4g, std=%.4g, min=%.4g, max=%.4g", "column", "mean", "std", "min", "max"),
-        ["ord"], 1_000_000, 100,
-    )
-    corr = block(correlations, F.format_string("  %s ↔ %s: r=%+.2f (%s)", "col1", "col2", "correlation", "strength"),
-                 [F.desc(F.abs("correlation")), "i", "j"], 8, 200_000)
-    outl = block(outliers, F.format_string("  %s: %d outliers (%s%%)", "column", "outlier_count", F.col("outlier_pct").cast("string")),
-                 [F.desc("outlier_pct"), "ord"], 6, 300_000)
-    trd = block(trend_lines, F.concat(F.lit("  • "), F.col("text")), ["ord"], 5, 400_000)
-    heads = spark.createDataFrame(
-        [(0, "Numerical statistics:"), (200_000, "Correlations:"), (300_000, "Outliers:"), (400_000, "Trends:"), (500_000, "Charts:")], LINES
-    )
-    parts = heads.unionByName(stats).unionByName(corr).unionByName(outl).unionByName(trd)
+    def lines(df: DataFrame, text: Column, order: list, k: int | None) -> list[str]:
+        q = df.orderBy(*order)
+        if k is not None:
+            q = q.limit(k)
+        return [r[0] for r in q.select(text).collect()]
+
+    out = ["Numerical statistics:"]
+    out += lines(describe_df, F.format_string("  %s: mean=%.4g, std=%.4g, min=%.4g, max=%.4g", "column", "mean", "std", "min", "max"), ["ord"], None)
+    out.append("Correlations:")
+    out += lines(correlations, F.format_string("  %s ↔ %s: r=%+.2f (%s)", "col1", "col2", "correlation", "strength"),
+                 [F.desc(F.abs("correlation")), "i", "j"], 8)
+    out.append("Outliers:")
+    out += lines(outliers, F.format_string("  %s: %d outliers (%s%%)", "column", "outlier_count", F.col("outlier_pct").cast("string")),
+                 [F.desc("outlier_pct"), "ord"], 6)
+    out.append("Trends:")
+    out += lines(trend_lines, F.concat(F.lit("  • "), F.col("text")), ["ord"], 5)
+    out.append("Charts:")
     if plan is not None:
-        charts = block(plan, F.format_string("  • Chart %d: '%s' - %s", F.col("ord") + 1, "title", F.coalesce("description", F.lit(""))),
-                       ["ord"], 1_000_000, 500_000)
-        parts = parts.unionByName(charts)
-    return parts.agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "\n").alias("text")
-    )
+        out += lines(plan, F.format_string("  • Chart %d: '%s' - %s", F.col("ord") + 1, "title", F.coalesce("description", F.lit(""))), ["ord"], None)
+    return spark.createDataFrame([("\n".join(out),)], "text string")
 
 
 def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
@@ -307,23 +299,21 @@ def _empty_corr(df: DataFrame) -> DataFrame:
 
 def report_lines(result: dict[str, DataFrame]) -> DataFrame:
     """K4 input: (section_ord, section, ord, text) for summary, numbered
-    insights, bullet patterns and numbered recommendations."""
+    insights, bullet patterns and numbered recommendations (each section is
+    a handful of sentences)."""
     spark = result["insights"].sparkSession
-    w = lambda: Window.orderBy("ord")  # noqa: E731 - each section is a handful of rows
-
-    def numbered(df, sec, sec_ord, bullet=False):
-        rn = F.row_number().over(w())
-        text = F.concat(F.lit("- "), F.col("text")) if bullet else F.concat(rn.cast("string"), F.lit(". "), F.col("text"))
-        return df.select(F.lit(sec_ord).alias("section_ord"), F.lit(sec).alias("section"), F.col("ord"), text.alias("text"))
-
-    heads = spark.createDataFrame(
-        [(0, "summary", -1, "EXECUTIVE SUMMARY"), (1, "insights", -1, "KEY INSIGHTS"), (2, "patterns", -1, "PATTERNS"), (3, "recommendations", -1, "RECOMMENDATIONS")],
-        "section_ord int, section string, ord int, text string",
-    )
-    summ = result["executive_summary"].select(F.lit(0).alias("section_ord"), F.lit("summary").alias("section"), "ord", "text")
-    return (
-        heads.unionByName(summ)
-        .unionByName(numbered(result["insights"], "insights", 1))
-        .unionByName(numbered(result["patterns"], "patterns", 2, bullet=True))
-        .unionByName(numbered(result["recommendations"], "recommendations", 3))
-    )
+    rows = []
+    heads = ["EXECUTIVE SUMMARY", "KEY INSIGHTS", "PATTERNS", "RECOMMENDATIONS"]
+    names = ["summary", "insights", "patterns", "recommendations"]
+    for sec, (head, name) in enumerate(zip(heads, names)):
+        rows.append((sec, name, -1, head))
+        key = "executive_summary" if name == "summary" else name
+        for k, r in enumerate(result[key].orderBy("ord").select("ord", "text").collect()):
+            if name in ("insights", "recommendations"):
+                text = f"{k + 1}. {r['text']}"
+            elif name == "patterns":
+                text = f"- {r['text']}"
+            else:
+                text = r["text"]
+            rows.append((sec, name, r["ord"], text))
+    return spark.createDataFrame(rows, "section_ord int, section string, ord int, text string")
