@@ -264,33 +264,43 @@ def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: Dat
     return spark.createDataFrame([("\n".join(out),)], "text string")
 
 
+def _local(df: DataFrame) -> DataFrame:
+    """A small result (one row per column / pair / sentence) held as a local frame."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """The whole insight step; the input is cached once for its passes."""
+    """The whole insight step.
+
+    The input is persisted once for its statistics passes; every result is a
+    small table (per column, per pair or per sentence), materialised before
+    the input is released, so the returned frames never re-read the input.
+    """
     from pyspark import StorageLevel
 
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        table = P.table_stats(cached).cache()
+        table = _local(P.table_stats(cached))
         has_num = any(is_numeric_type(f.dataType) for f in cached.schema.fields)
-        corr = S.strong_correlations(cached).cache() if has_num else _empty_corr(cached)
-        outl = S.outlier_report(cached, approx=approx).cache()
-        trend_l = trends(cached).cache()
+        corr = _local(S.strong_correlations(cached)) if has_num else _empty_corr(cached)
+        outl = _local(S.outlier_report(cached, approx=approx))
+        trend_l = _local(trends(cached))
         out = {
             "table": table,
             "correlations": corr,
             "outliers": outl,
             "trends": trend_l,
-            "insights": rule_insights(cached, corr, outl, table),
-            "patterns": patterns(cached, trend_l),
-            "recommendations": recommendations(corr),
+            "insights": _local(rule_insights(cached, corr, outl, table)),
+            "patterns": _local(patterns(cached, trend_l)),
+            "recommendations": _local(recommendations(corr)),
             "executive_summary": executive_summary(table, corr, outl),
-            "business_context": business_context(cached),
+            "business_context": _local(business_context(cached)),
         }
         if has_num:
-            out["numerical"] = P.describe(cached, approx=approx)
+            out["numerical"] = _local(P.describe(cached, approx=approx))
         return out
     finally:
-        pass
+        cached.unpersist()
 
 
 def _empty_corr(df: DataFrame) -> DataFrame:
