@@ -20,7 +20,7 @@ from tablewise.functions.exprs import is_numeric_type, latin1_safe, standardize_
 from tablewise.operators.clean import _c, _types
 from tablewise.operators.quantiles import BROADCAST_TARGET_ROWS
 from tablewise.operators.stats import iqr_bounds, _num
-from tablewise.session import materialize
+from tablewise.session import materialize, ship_package
 
 BATCH_SIZE = 30
 ROW_GATE = 500
@@ -52,6 +52,7 @@ def enrich_batches(
     with ``ERROR:``, yields one marker row with ``_ok = false``; every other
     output row has ``_ok = true``.  Chunks run in parallel across partitions.
     """
+    ship_package(df.sparkSession)
     out_schema = _as_struct(schema)
     names = out_schema.fieldNames()
     # marker rows of failed chunks hold NULLs, so every output field is nullable

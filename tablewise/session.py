@@ -88,3 +88,34 @@ def materialize(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 - e.g. interval / void columns
         return df.checkpoint(eager=True)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablewise`` importable in Python workers (once per application).
+
+    Operators that run Python in tasks (``mapInPandas``) pickle functions by
+    module reference, so executors need the package.  This zips the package
+    sources and registers them with ``addPyFile`` - Spark copies the file to
+    every executor (the same as ``spark-submit --py-files``).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import tablewise
+
+    root = os.path.dirname(os.path.abspath(tablewise.__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="tablewise-pkg-"), "tablewise.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
