@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.functions.exprs import NULL_TOKENS, nullify_tokens
-from tablewise.operators.clean import _c, apply_numeric_plan, nan_to_null_all, numeric_text_plan
+from tablewise.functions.exprs import INTEGER_REGEX, NULL_TOKENS, STRICT_NUMBER_REGEX, nullify_tokens
+from tablewise.operators.clean import _c, apply_numeric_plan, nan_to_null_all
 
 # Text read as booleans by the CSV loader.
 TRUE_TOKENS = ["True", "TRUE", "true"]
@@ -45,27 +45,38 @@ def _raw_csv(spark: SparkSession, path: str | Sequence[str], encoding: str, mult
     return _strip_bom(reader.csv(path if isinstance(path, str) else list(path)))
 
 
-def _bool_plan(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    if not cols:
-        return []
+def _inference_aggs(df: DataFrame, text: Sequence[str]) -> list:
+    """Every per-column check of type inference, for ONE aggregate."""
     toks = TRUE_TOKENS + FALSE_TOKENS
-    row = df.agg(*[F.count_if(_c(n).isNotNull() & ~_c(n).isin(toks)).alias(f"b{i}") for i, n in enumerate(cols)],
-                 *[F.count(_c(n)).alias(f"n{i}") for i, n in enumerate(cols)]).first()
-    return [n for i, n in enumerate(cols) if row[f"b{i}"] == 0 and row[f"n{i}"] > 0]
-
-
-def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns -> bigint / double / boolean when every value allows it
-    (the whole column or not at all); an all-null column becomes double."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    text = [n for n, t in types.items() if isinstance(t, T.StringType)]
-    plan = numeric_text_plan(df, text)
-    nn = df.agg(*[F.count(_c(n)).alias(f"n{i}") for i, n in enumerate(text)]).first() if text else None
-    empty = [n for i, n in enumerate(text) if nn is not None and nn[f"n{i}"] == 0]
-    for n in empty:
-        plan[n] = "double"
-    bools = _bool_plan(df, [n for n in text if n not in plan])
-    out = apply_numeric_plan(df, {k: v for k, v in plan.items() if k not in empty})
+    aggs = []
+    for i, n in enumerate(text):
+        c = _c(n)
+        blank = c.isNull() | (F.trim(c) == "")
+        aggs += [
+            F.count(c).alias(f"nn_{i}"),
+            F.count_if(~blank & ~c.rlike(STRICT_NUMBER_REGEX)).alias(f"bad_{i}"),
+            F.count_if(blank | ~c.rlike(INTEGER_REGEX) | F.trim(c).try_cast("bigint").isNull()).alias(f"nonint_{i}"),
+            F.count_if(c.isNotNull() & ~c.isin(toks)).alias(f"nonbool_{i}"),
+        ]
+    return aggs
+
+
+def _plan_from_row(row, text: Sequence[str]) -> tuple[dict[str, str], list[str], list[str]]:
+    numeric: dict[str, str] = {}
+    empty: list[str] = []
+    bools: list[str] = []
+    for i, n in enumerate(text):
+        if row[f"nn_{i}"] == 0:
+            empty.append(n)
+        elif row[f"bad_{i}"] == 0:
+            numeric[n] = "bigint" if row[f"nonint_{i}"] == 0 else "double"
+        elif row[f"nonbool_{i}"] == 0:
+            bools.append(n)
+    return numeric, empty, bools
+
+
+def _apply_inference(df: DataFrame, numeric: dict[str, str], empty: list[str], bools: list[str]) -> DataFrame:
+    out = apply_numeric_plan(df, numeric)
     sel = []
     for n in out.columns:
         if n in empty:
@@ -77,6 +88,18 @@ def infer_types(df: DataFrame) -> DataFrame:
     return out.select(*sel)
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns -> bigint / double / boolean when every value allows it
+    (the whole column or not at all); an all-null column becomes double.
+    One aggregate decides every column."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    text = [n for n, t in types.items() if isinstance(t, T.StringType)]
+    if not text:
+        return df
+    row = df.agg(*_inference_aggs(df, text)).first()
+    return _apply_inference(df, *_plan_from_row(row, text))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -89,20 +112,37 @@ def read_csv(
     become NULL; types inferred per whole column; UTF-8 first, and if any cell
     holds the replacement character the file is re-read as ISO-8859-1.
 
+    The encoding check and all inference checks share ONE aggregate over the
+    file (a second one only when the file had to be re-read as Latin-1).
     ``multiline`` allows quoted line breaks but makes each file one task, so
     it is off by default (large files then split across tasks).
     """
     toks = list(NULL_TOKENS if null_tokens is None else null_tokens)
-    enc = encoding or "UTF-8"
-    raw = _raw_csv(spark, path, enc, multiline)
-    if encoding is None and raw.columns:
-        has_bad = raw.agg(
-            F.count_if(F.concat_ws("", *[_c(n) for n in raw.columns]).contains(REPLACEMENT_CHAR)).alias("bad")
-        ).first()["bad"]
-        if has_bad or any(REPLACEMENT_CHAR in n for n in raw.columns):
-            raw = _raw_csv(spark, path, "ISO-8859-1", multiline)
-    clean = raw.select(*[nullify_tokens(_c(n), toks).alias(n) for n in raw.columns])
-    return infer_types(clean) if infer else clean
+
+    def load(enc: str) -> DataFrame:
+        raw = _raw_csv(spark, path, enc, multiline)
+        return raw.select(*[nullify_tokens(_c(n), toks).alias(n) for n in raw.columns])
+
+    clean = load(encoding or "UTF-8")
+    if not clean.columns:
+        return clean
+    text = list(clean.columns)
+    aggs = _inference_aggs(clean, text) if infer else []
+    check_enc = encoding is None
+    if check_enc:
+        aggs.append(F.count_if(F.concat_ws("", *[_c(n) for n in text]).contains(REPLACEMENT_CHAR)).alias("__bad_enc"))
+    if not aggs:
+        return clean
+    row = clean.agg(*aggs).first()
+    if check_enc and (row["__bad_enc"] or any(REPLACEMENT_CHAR in n for n in text)):
+        clean = load("ISO-8859-1")
+        text = list(clean.columns)
+        if not infer:
+            return clean
+        row = clean.agg(*_inference_aggs(clean, text)).first()
+    if not infer:
+        return clean
+    return _apply_inference(clean, *_plan_from_row(row, text))
 
 
 def jdbc_options(
