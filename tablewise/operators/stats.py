@@ -292,7 +292,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, density: bool =
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / nb
-    b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(nb)).cast("int"), F.lit(nb - 1))
+    # NULL stays NULL (``least`` alone would skip it and put it in the last bin)
+    b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(nb)).cast("int"), F.lit(nb - 1)))
     counts = df.select(b.alias("bin")).filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("count"))
     # every bin index (nb rows, a fixed bound) so empty bins appear as zeros
     all_bins = spark.range(nb).select(F.col("id").cast("int").alias("bin"))

@@ -290,3 +290,12 @@ def q_t04(spark, sf):
 
     first3 = non_numeric_columns(o)[:3]
     return P.top_values(o, first3, k=3, width=20)
+
+
+@query(
+    "a12_histogram_with_nulls",
+    _with(fx.DIRTY_EVENTS_SQL)
+    + _hist_sql("dirty_ev", "value", "CAST(LEAST(50, GREATEST(10, FLOOR(sqrt(n)))) AS INTEGER)", False).replace("WITH ", ", ", 1),
+)
+def q_a12n(spark, sf):
+    return _hist_out(S.histogram(fx.dirty_events(spark, sf), "value"), False)
