@@ -269,30 +269,40 @@ def retype_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 # ---------------------------------------------------------------------------
 
 
-def minmax_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """C11: (x - min) / (max - min) for numeric columns; constant column -> NULL."""
+def _minmax_stats(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, tuple]:
     types = _types(df)
     num = [n for n in (cols or types) if is_numeric_type(types[n])]
     if not num:
-        return df
+        return {}
+    x = {n: nan_to_null(_c(n).cast("double"), types[n]) for n in num}
     row = df.agg(
-        *[F.min(_c(n).cast("double")).alias(f"mn_{i}") for i, n in enumerate(num)],
-        *[F.max(_c(n).cast("double")).alias(f"mx_{i}") for i, n in enumerate(num)],
+        *[F.min(x[n]).alias(f"mn_{i}") for i, n in enumerate(num)],
+        *[F.max(x[n]).alias(f"mx_{i}") for i, n in enumerate(num)],
     ).first()
+    return {n: (row[f"mn_{i}"], row[f"mx_{i}"]) for i, n in enumerate(num)}
+
+
+def _scale_with(df: DataFrame, stats: dict[str, tuple]) -> DataFrame:
     out = []
-    for n in types:
-        if n in num:
-            i = num.index(n)
-            lo, hi = row[f"mn_{i}"], row[f"mx_{i}"]
-            x = nan_to_null(_c(n).cast("double"), T.DoubleType())
-            out.append(
-                F.try_divide(x - F.lit(lo).cast("double"), F.lit(hi).cast("double") - F.lit(lo).cast("double")).alias(n)
-            )
+    for f in df.schema.fields:
+        n = f.name
+        if n in stats:
+            lo, hi = stats[n]
+            x = nan_to_null(_c(n).cast("double"), f.dataType)
+            lo_c, hi_c = F.lit(lo).cast("double"), F.lit(hi).cast("double")
+            out.append(F.try_divide(x - lo_c, hi_c - lo_c).alias(n))
         else:
             out.append(_c(n))
     return df.select(*out)
 
 
+def minmax_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """C11: (x - min) / (max - min) for numeric columns; constant column -> NULL.
+
+    One aggregate for every column's min and max, applied as literals."""
+    return _scale_with(df, _minmax_stats(df, cols))
+
+
 # ---------------------------------------------------------------------------
 # C13  text dates
 # ---------------------------------------------------------------------------
@@ -360,21 +370,28 @@ def clean(
     strategy: str = "mean",
     normalize: bool = False,
     approx: bool = False,
-    checkpoint: bool = True,
+    checkpoint: bool = False,
 ) -> DataFrame:
     """Missing values -> de-duplicate -> retype -> optional min-max scale.
 
-    The order matters: a number-like text column is mode-filled before it is
-    retyped, and rows that became equal through imputation are de-duplicated.
-    The de-duplicated table is checkpointed once (shared checkpoint folder) so
-    the retype/scale statistics passes and the final plan reuse it instead of
-    repeating the full-row shuffle.
+    The order matters and is kept in the plan: a number-like text column is
+    mode-filled before it is retyped, and rows that became equal through
+    imputation are de-duplicated (on the text values, before any cast).
+
+    The retype decision and the min/max for scaling depend only on the SET of
+    values in each column, which de-duplication does not change, so both are
+    computed on the filled table before the de-duplication shuffle.  The
+    result is therefore one lazy plan - fill projection, one full-row
+    shuffle, cast/scale projection - and no intermediate copy of the table
+    is written.  ``checkpoint=True`` additionally writes the result to the
+    shared checkpoint folder (for callers that read it many times).
     """
-    out = dedupe(impute(df, strategy, approx=approx))
-    has_text = any(isinstance(f.dataType, T.StringType) for f in out.schema.fields)
-    if checkpoint and (has_text or normalize):
-        out = materialize(out)
-    out = retype_numeric(out)
+    filled = impute(df, strategy, approx=approx)
+    plan = numeric_text_plan(filled)
+    scale_src = apply_numeric_plan(filled, plan)
+    out = apply_numeric_plan(dedupe(filled), plan)
     if normalize:
-        out = minmax_scale(out)
+        out = _scale_with(out, _minmax_stats(scale_src))
+    if checkpoint:
+        out = materialize(out)
     return out

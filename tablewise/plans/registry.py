@@ -87,7 +87,8 @@ cleaned AS (
 def cleaned_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewise.operators.clean import clean
 
-    return clean(fx.dirty_lineitem(spark, sf_dir), strategy="mean")
+    # written once to the checkpoint folder: its consumers read it in several passes
+    return clean(fx.dirty_lineitem(spark, sf_dir), strategy="mean", checkpoint=True)
 
 
 @query(
