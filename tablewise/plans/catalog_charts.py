@@ -231,3 +231,47 @@ def q_v08x(spark, sf):
     kind, data = V.distribution(fx.table(spark, sf, "events"), "value", {"value": "numerical"})
     assert kind == "box"
     return data.select(*[F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "lower_whisker", "upper_whisker", "mean", "sd")], "n")
+
+
+
+def _hist(src: str, col: str, nb, density: bool) -> str:
+    from tablewise.plans.catalog_stats import _hist_sql
+
+    return _hist_sql(src, col, nb, density)
+
+
+@query("v01_univariate_numerical_density", _hist("documents", "n_chars", 60, True))
+def q_v01n(spark, sf):
+    from tablewise.plans.catalog_stats import _hist_out
+
+    parts = V.univariate(fx.table(spark, sf, "documents"), "n_chars", {"n_chars": "numerical"})
+    return _hist_out(parts["density"], True)
+
+
+@query(
+    "v01_univariate_high_cardinality",
+    "SELECT 'p_name' AS column, CAST(rank AS INTEGER) AS rank, value, count FROM ("
+    "SELECT p_name AS value, CAST(count(*) AS BIGINT) AS count, row_number() OVER (ORDER BY count(*) DESC, p_name) AS rank "
+    "FROM part GROUP BY p_name) WHERE rank <= 20",
+)
+def q_v01h(spark, sf):
+    return V.univariate(fx.table(spark, sf, "part"), "p_name", {"p_name": "high_cardinality"})["top"]
+
+
+@query("v08_distribution_datetime", "SELECT strftime(o_orderdate, '%Y-%m') AS period, CAST(count(*) AS BIGINT) AS count FROM orders GROUP BY 1")
+def q_v08d(spark, sf):
+    kind, data = V.distribution(fx.table(spark, sf, "orders"), "o_orderdate", {"o_orderdate": "datetime"})
+    assert kind == "bar"
+    return data
+
+
+@query(
+    "v08_distribution_top10_other",
+    "SELECT 'c_name' AS column, CAST(rank AS INTEGER) AS rank, value, count FROM ("
+    "SELECT c_name AS value, CAST(count(*) AS BIGINT) AS count, row_number() OVER (ORDER BY count(*) DESC, c_name) AS rank "
+    "FROM customer GROUP BY c_name) WHERE rank <= 10",
+)
+def q_v08o(spark, sf):
+    kind, data = V.distribution(fx.table(spark, sf, "customer"), "c_name", {"c_name": "high_cardinality"})
+    assert kind == "bar"
+    return data

@@ -268,3 +268,33 @@ def q_a03(spark, sf):
        "UNION ALL SELECT DISTINCT 'c_name', substr(c_name, 1, 20) FROM customer)) WHERE rank <= 2")
 def q_r07(spark, sf):
     return P.sample_values(fx.table(spark, sf, "customer"), ["c_mktsegment", "c_name"]).select("column", "rank", "value")
+
+
+@query(
+    "p13_statistical_summary_categorical",
+    _with(f"vc AS ({_vc_long_sql('orders', _ORD_TXT)})")
+    + """SELECT column, CAST(count(*) AS BIGINT) AS "unique",
+                arg_min(value, (-count, value)) AS top_value, CAST(max(count) AS BIGINT) AS top_count
+         FROM vc GROUP BY column""",
+)
+def q_p13c(spark, sf):
+    s = P.statistical_summary(fx.table(spark, sf, "orders"))
+    return s["categorical"].select("column", "unique", "top_value", "top_count")
+
+
+@query("p13_statistical_summary_value_counts", _topk_sql("orders", _ORD_TXT, 20))
+def q_p13v(spark, sf):
+    return P.statistical_summary(fx.table(spark, sf, "orders"))["value_counts"]
+
+
+@query(
+    "p14_compact_summary_describe",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column, CAST(count({c}) AS DOUBLE) AS count, {_r(f'avg({c})')} AS mean, {_r(f'stddev_samp({c})')} AS std, "
+        f"{_r(f'min({c})')} AS min, {_r(f'quantile_cont({c}, 0.25)')} AS q25, {_r(f'quantile_cont({c}, 0.5)')} AS q50, "
+        f"{_r(f'quantile_cont({c}, 0.75)')} AS q75, {_r(f'max({c})')} AS max FROM orders"
+        for c in ["o_orderkey", "o_custkey", "o_totalprice"]
+    ),
+)
+def q_p14d(spark, sf):
+    return P.compact_summary(fx.table(spark, sf, "orders"))["numerical"].drop("ord")
