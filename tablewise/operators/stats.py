@@ -409,6 +409,13 @@ def bar_totals(df: DataFrame, x: str, y: str, color: str | None = None) -> DataF
 
 
 def sorted_by(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
-    """Rows ordered by ``col`` (nulls last), a distributed range sort."""
+    """Rows ordered by ``col`` (nulls last), a distributed range sort.
+
+    A hash of the whole row is the last sort key: the range partitioner
+    cannot split one key value, so a value held by a third of the rows would
+    otherwise fill one partition; with the tie-breaker equal keys spread over
+    as many ranges as they need (their relative order is not meaningful).
+    """
     c = _c(col)
-    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last())
+    tie = F.xxhash64(*[_c(n) for n in df.columns])
+    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), tie)
