@@ -123,11 +123,17 @@ def impute(df: DataFrame, strategy: str = "mean", approx: bool = False) -> DataF
     Integral columns filled with a mean or median become double (as a pandas
     column holding NaN is float).  NaN counts as missing.
     """
+    return _impute(df, strategy, approx)[0]
+
+
+def _impute(df: DataFrame, strategy: str, approx: bool, extra_aggs: Sequence[Column] = ()) -> tuple[DataFrame, object]:
+    """``impute`` plus optional extra aggregates evaluated in its first pass
+    over the (NaN-normalised) input; returns (filled frame, that row)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     df = nan_to_null_all(df)
     if strategy == "drop":
-        return df.na.drop("any")
+        return df.na.drop("any"), None
     types = _types(df)
     scalar = [n for n, t in types.items() if is_scalar_type(t)]
     numeric = [n for n in scalar if is_numeric_type(types[n])]
@@ -135,12 +141,12 @@ def impute(df: DataFrame, strategy: str = "mean", approx: bool = False) -> DataF
     aggs += [F.count(_c(n)).alias(f"nn_{i}") for i, n in enumerate(scalar)]
     if strategy == "mean":
         aggs += [F.avg(_c(n)).alias(f"mean_{i}") for i, n in enumerate(numeric)]
-    row = df.agg(*aggs).first()
+    row = df.agg(*aggs, *extra_aggs).first()
     nulls = {n: row[f"nulls_{i}"] for i, n in enumerate(scalar)}
     nonnull = {n: row[f"nn_{i}"] for i, n in enumerate(scalar)}
     need = [n for n in scalar if nulls[n] > 0]
     if not need:
-        return df
+        return df, row
 
     fills: dict[str, Column] = {}
     num_need = [n for n in need if n in numeric and nonnull[n] > 0]
@@ -149,8 +155,10 @@ def impute(df: DataFrame, strategy: str = "mean", approx: bool = False) -> DataF
             if n in num_need:
                 fills[n] = F.lit(row[f"mean_{i}"]).cast("double")
     elif strategy == "median" and num_need:
-        q = quantiles(df, num_need, [0.5], approx=approx).select("column", "value").collect()
-        for r in q:
+        # a non-null count bounds the distinct count: small columns skip the
+        # quantile step's own counting pass
+        q = quantiles(df, num_need, [0.5], approx=approx, hints={n: nonnull[n] for n in num_need})
+        for r in q.select("column", "value").collect():
             fills[r["column"]] = F.lit(r["value"]).cast("double")
     mode_cols = [n for n in need if nonnull[n] > 0 and (n not in numeric or strategy == "mode")]
     for n, v in modes(df, mode_cols).items():
@@ -169,7 +177,7 @@ def impute(df: DataFrame, strategy: str = "mean", approx: bool = False) -> DataF
         if isinstance(t, T.IntegralType) and strategy in ("mean", "median"):
             base = base.cast("double")
         out.append(F.coalesce(base, fills[n]).alias(n))
-    return df.select(*out)
+    return df.select(*out), row
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -243,6 +251,28 @@ def numeric_text_plan(df: DataFrame, cols: Sequence[str] | None = None) -> dict[
     return plan
 
 
+def _prefill_retype_aggs(df: DataFrame, text: Sequence[str]) -> list[Column]:
+    """Retype checks on the raw non-null values (see ``clean``)."""
+    aggs = []
+    for i, n in enumerate(text):
+        c = _c(n)
+        blank = F.trim(c) == ""
+        aggs.append(F.count(c).alias(f"rt_nn_{i}"))
+        aggs.append(F.count_if(c.isNotNull() & ~blank & ~c.rlike(STRICT_NUMBER_REGEX)).alias(f"rt_bad_{i}"))
+        aggs.append(
+            F.count_if(c.isNotNull() & (blank | ~c.rlike(INTEGER_REGEX) | F.trim(c).try_cast("bigint").isNull())).alias(f"rt_nonint_{i}")
+        )
+    return aggs
+
+
+def _prefill_retype_plan(row, text: Sequence[str]) -> dict[str, str]:
+    plan = {}
+    for i, n in enumerate(text):
+        if row[f"rt_nn_{i}"] > 0 and row[f"rt_bad_{i}"] == 0:
+            plan[n] = "bigint" if row[f"rt_nonint_{i}"] == 0 else "double"
+    return plan
+
+
 def apply_numeric_plan(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     if not plan:
         return df
@@ -386,8 +416,17 @@ def clean(
     is written.  ``checkpoint=True`` additionally writes the result to the
     shared checkpoint folder (for callers that read it many times).
     """
-    filled = impute(df, strategy, approx=approx)
-    plan = numeric_text_plan(filled)
+    if strategy == "drop":
+        filled = impute(df, strategy, approx=approx)
+        plan = numeric_text_plan(filled)
+    else:
+        # Filling adds only the column's own mode (or "Unknown" to an all-null
+        # text column), so "every value is a number / an integer" reads the
+        # same on the raw non-null values: the retype checks ride along in
+        # the imputation's first aggregate instead of costing another pass.
+        text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        filled, row = _impute(df, strategy, approx, _prefill_retype_aggs(df, text))
+        plan = _prefill_retype_plan(row, text)
     scale_src = apply_numeric_plan(filled, plan)
     out = apply_numeric_plan(dedupe(filled), plan)
     if normalize:

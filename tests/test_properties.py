@@ -59,3 +59,19 @@ def test_histogram_counts_sum_and_corr_bounded(spark, rows):
     for r in S.correlation_pairs(df).collect():
         if r.r is not None:
             assert abs(r.r) <= 1 + 1e-9 and not math.isnan(r.r)
+
+
+text_cell = st.one_of(st.none(), st.sampled_from(["1", "2", "-3", " 4 ", "", "  ", "1.5", "2e3", "x", "$75", "inf"]))
+text_frames = st.lists(st.tuples(text_cell, text_cell), min_size=1, max_size=30)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=text_frames, strategy=st.sampled_from(["mean", "median", "mode", "drop"]))
+def test_clean_retype_decided_before_dedupe_equals_after(spark, rows, strategy):
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = C.clean(df, strategy)
+    filled = C.impute(df, strategy)
+    ref = C.apply_numeric_plan(C.dedupe(filled), C.numeric_text_plan(filled))
+    assert got.dtypes == ref.dtypes
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(got.collect(), key=key) == sorted(ref.collect(), key=key)
