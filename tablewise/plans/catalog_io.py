@@ -36,7 +36,7 @@ tok AS (
 @query(
     "s01_read_csv_tokens_inference",
     _with(fx.DIRTY_LINEITEM_SQL, _TOKENS_SQL)
-    + "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, supp_txt, 'Missing' AS note FROM tok",
+    + "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_returnflag, supp_txt, 'Missing' AS note FROM tok",
 )
 def q_s01(spark, sf):
     d = fx.dirty_lineitem(spark, sf)
@@ -151,9 +151,9 @@ def q_k04(spark, sf):
           """a AS (SELECT count(*) AS rows, 5 AS columns, count_if(event_type IS NULL) + count_if(value IS NULL) AS missing,
                         count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)) AS duplicates FROM c)""")
     + """SELECT 'rows' AS metric, CAST(b.rows AS BIGINT) AS before, CAST(a.rows AS BIGINT) AS after FROM a, b
-         UNION ALL SELECT 'columns', b.columns, a.columns FROM a, b
-         UNION ALL SELECT 'missing', b.missing, a.missing FROM a, b
-         UNION ALL SELECT 'duplicates', b.duplicates, a.duplicates FROM a, b""",
+         UNION ALL SELECT 'columns', CAST(b.columns AS BIGINT), CAST(a.columns AS BIGINT) FROM a, b
+         UNION ALL SELECT 'missing', CAST(b.missing AS BIGINT), CAST(a.missing AS BIGINT) FROM a, b
+         UNION ALL SELECT 'duplicates', CAST(b.duplicates AS BIGINT), CAST(a.duplicates AS BIGINT) FROM a, b""",
 )
 def q_k05(spark, sf):
     d = fx.dirty_events(spark, sf)
