@@ -40,6 +40,19 @@ def _c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def long_form(df: DataFrame, named: Sequence[tuple[str, Column]], ids: Sequence[Column] = (), var: str = "column", val: str = "__cell") -> DataFrame:
+    """Unpivot ``named`` (original name, value expression) to rows of
+    (ids..., var, val).  Values travel under internal aliases and the original
+    names come back through a literal map, so names with dots or spaces are
+    never parsed as paths."""
+    safe = [(f"__u{i}", name, expr) for i, (name, expr) in enumerate(named)]
+    wide = df.select(*ids, *[expr.alias(alias) for alias, _n, expr in safe])
+    id_names = [c for c in wide.columns if c not in {a for a, _n, _e in safe}]
+    long = wide.unpivot(id_names, [a for a, _n, _e in safe], "__var", val)
+    names = F.create_map(*[x for a, n, _e in safe for x in (F.lit(a), F.lit(n))])
+    return long.select(*id_names, names[F.col("__var")].alias(var), val)
+
+
 # ---------------------------------------------------------------------------
 # C1  NaN -> NULL
 # ---------------------------------------------------------------------------
@@ -84,11 +97,7 @@ def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         ).alias(c)
         for c in cols
     ]
-    long = (
-        df.select(*structs)
-        .unpivot([], list(cols), "column", "__cell")
-        .filter(F.col("__cell.s").isNotNull())
-    )
+    long = long_form(df, list(zip(cols, structs))).filter(F.col("__cell.s").isNotNull())
     return long.groupBy("column", F.col("__cell.s").alias("value")).agg(
         F.max("__cell.k").alias("okey"), F.count("*").alias("count")
     )
@@ -183,7 +192,12 @@ def _impute(df: DataFrame, strategy: str, approx: bool, extra_aggs: Sequence[Col
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with a null (NaN counts) in any / the given columns."""
     df = nan_to_null_all(df)
-    return df.na.drop("any", subset=list(subset) if subset else None)
+    if not subset:
+        return df.na.drop("any")
+    keep = F.lit(True)
+    for c in subset:
+        keep = keep & _c(c).isNotNull()
+    return df.filter(keep)
 
 
 # ---------------------------------------------------------------------------

@@ -145,7 +145,7 @@ def parse_reply(df: DataFrame, col: str, schema: T.StructType | str, kind: str =
             | F.lit(len(elem.fields) == 0)
         )
     parsed = F.from_json(body, elem)
-    return df.select(*[_c(k) for k in keep], parsed.alias("__o")).select(*keep, "__o.*")
+    return df.select(*[_c(k) for k in keep], parsed.alias("__o")).select(*[_c(k) for k in keep], "__o.*")
 
 
 def reply_ok(df: DataFrame, col: str, schema: T.StructType | str, kind: str = "array") -> DataFrame:
@@ -189,7 +189,10 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
     group costs one row per partition) and is broadcast only when its row
     count is within a fixed bound; otherwise it is a shuffle join (AQE splits
     skewed partitions)."""
-    keys = [by] if isinstance(by, str) else list(by)
+    orig_keys = [by] if isinstance(by, str) else list(by)
+    keys = [f"__k{i}" for i in range(len(orig_keys))]
+    original = df
+    df = df.select("*", *[_c(k).alias(s) for k, s in zip(orig_keys, keys)])
     dt = _types(df)[col]
     numeric = is_numeric_type(dt)
     if stat not in ("mean", "mode"):
@@ -200,8 +203,8 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
         glob = df.agg(F.avg(x).alias("v")).first()["v"]
         fill_type = "double"
     else:
-        vc = df.filter(_c(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("__n"))
-        grp = vc.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(col).alias("v"))).alias("__m")).select(
+        vc = df.filter(_c(col).isNotNull()).groupBy(*keys, _c(col).alias("__x")).agg(F.count("*").alias("__n"))
+        grp = vc.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__x").alias("v"))).alias("__m")).select(
             *keys, F.col("__m.v").alias("__g")
         )
         from tablewise.operators.clean import modes
@@ -215,7 +218,7 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
     j = df.join(small, keys, "left")
     base = _c(col).cast("double") if (numeric and stat == "mean") else _c(col)
     filled = F.coalesce(base, F.col("__g").cast(fill_type), F.lit(glob).cast(fill_type))
-    return j.select(*[filled.alias(n) if n == col else _c(n) for n in df.columns])
+    return j.select(*[filled.alias(n) if n == col else _c(n) for n in original.columns])
 
 
 # ---------------------------------------------------------------------------

@@ -362,9 +362,10 @@ def sample_values(df: DataFrame, cols: Sequence[str], k: int = 2, width: int = 2
     (The reference shows the first two rows; Spark has no row order, so the
     smallest two distinct cut values are used - a deterministic choice.)
     """
+    from tablewise.operators.clean import long_form
+
     long = (
-        df.select(*[F.substring(_c(n).cast("string"), 1, width).alias(n) for n in cols])
-        .unpivot([], list(cols), "column", "value")
+        long_form(df, [(n, F.substring(_c(n).cast("string"), 1, width)) for n in cols], val="value")
         .filter(F.col("value").isNotNull())
         .distinct()
     )

@@ -39,17 +39,14 @@ BROADCAST_TARGET_ROWS = 2_000_000
 
 
 def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Unpivot numeric columns to ``(by..., column, v double)`` without NULL/NaN."""
+    """Unpivot numeric columns to ``(by..., column, __v double)`` without NULL/NaN.
+
+    ``by`` columns keep their names; callers pass internal (safe) names."""
+    from tablewise.operators.clean import _c, long_form
+
     types = {f.name: f.dataType for f in df.schema.fields}
-    vals = [nan_to_null(F.col(c).cast("double"), types[c]).alias(c) for c in cols]
-    wide = df.select(*[F.col(b) for b in by], *vals)
-    if not by:
-        wide = wide.withColumn("__one", F.lit(0))
-        ids = ["__one"]
-    else:
-        ids = list(by)
-    long = wide.unpivot(ids, list(cols), "column", "__v").filter(F.col("__v").isNotNull())
-    return long.drop("__one") if not by else long
+    named = [(c, nan_to_null(_c(c).cast("double"), types[c])) for c in cols]
+    return long_form(df, named, ids=[_c(b) for b in by], val="__v").filter(F.col("__v").isNotNull())
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], small_rows: int) -> DataFrame:
@@ -79,10 +76,21 @@ def quantiles(
     probability that has at least one non-null value.
     """
     cols = list(cols)
-    by = list(by)
-    keys = [*by, "column"]
     if not cols:
         raise ValueError("no columns")
+    orig_by = list(by)
+    if orig_by:
+        from tablewise.operators.clean import _c
+
+        safe_by = [f"__by{i}" for i in range(len(orig_by))]
+        df = df.select(*[_c(b).alias(s) for b, s in zip(orig_by, safe_by)], *[_c(c) for c in cols])
+        res = _quantiles(df, cols, probs, safe_by, approx, accuracy, max_candidates, None)
+        return res.select(*[F.col(s).alias(b) for b, s in zip(orig_by, safe_by)], "column", "p", "value", "n")
+    return _quantiles(df, cols, probs, [], approx, accuracy, max_candidates, hints)
+
+
+def _quantiles(df, cols, probs, by, approx, accuracy, max_candidates, hints) -> DataFrame:
+    keys = [*by, "column"]
     long = long_numeric(df, cols, by)
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
 
@@ -233,9 +241,11 @@ def quantiles_wide(
     hints: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pivot ``quantiles`` to one row per (by..., column) with one column per prob."""
+    from tablewise.operators.clean import _c
+
     q = quantiles(df, cols, probs, by=by, approx=approx, hints=hints)
     aggs = [
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value"))).alias(name)
         for p, name in zip(probs, names)
     ]
-    return q.groupBy(*by, "column").agg(*aggs)
+    return q.groupBy(*[_c(b) for b in by], "column").agg(*aggs)

@@ -246,10 +246,11 @@ def outlier_rows(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """A11 (long form): (a, b, count) for rows where both are non-null."""
     return (
-        df.select(_c(a).alias(a), _c(b).alias(b))
+        df.select(_c(a).alias("__a"), _c(b).alias("__b"))
         .na.drop("any")
-        .groupBy(a, b)
+        .groupBy("__a", "__b")
         .agg(F.count("*").alias("count"))
+        .select(F.col("__a").alias(a), F.col("__b").alias(b), "count")
     )
 
 
@@ -259,11 +260,12 @@ def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> D
     The pivot values are fetched first and checked against ``max_levels``
     (the result width is bounded), then a single pivot aggregate runs.
     """
-    levels = [r[0] for r in df.select(_c(b)).na.drop().distinct().orderBy(b).limit(max_levels + 1).collect()]
+    pair = df.select(_c(a).alias("__a"), _c(b).alias("__b")).na.drop("any")
+    levels = [r[0] for r in pair.select("__b").distinct().orderBy("__b").limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
         raise ValueError(f"{b} has more than {max_levels} distinct values; use contingency()")
-    piv = df.select(_c(a).alias(a), _c(b).alias(b)).na.drop("any").groupBy(a).pivot(b, levels).count()
-    return piv.na.fill(0)
+    piv = pair.groupBy("__a").pivot("__b", levels).count().na.fill(0)
+    return piv.withColumnRenamed("__a", a)
 
 
 # ---------------------------------------------------------------------------
@@ -321,12 +323,12 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, approx: bool = F
     Pass 1: distributed quartiles per group; pass 2: one grouped aggregate
     with the fences joined in (broadcast when the group count is bounded).
     """
-    keys = [by] if by else []
-    d = df.select(*[_c(k).alias(k) for k in keys], _num(df, value).alias(value)).na.drop("any")
-    q = quantiles_wide(d, [value], [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=keys, approx=approx).drop("column")
+    keys = ["__grp"] if by else []
+    d = df.select(*([_c(by).alias("__grp")] if by else []), _num(df, value).alias("__val")).na.drop("any")
+    q = quantiles_wide(d, ["__val"], [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=keys, approx=approx).drop("column")
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*keys, "q1", "median", "q3", (F.col("q1") - IQR_FACTOR * iqr).alias("__lf"), (F.col("q3") + IQR_FACTOR * iqr).alias("__uf"))
-    v = F.col(value)
+    v = F.col("__val")
     if not keys:
         # one group: the fences are one row, applied as literals
         f = fences.first()
@@ -351,7 +353,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, approx: bool = F
         F.stddev_samp(v).alias("sd"),
         F.count(v).alias("n"),
     )
-    return agg
+    return agg.withColumnRenamed("__grp", by)
 
 
 # ---------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def univariate(df: DataFrame, col: str, tmap: dict[str, str] | None = None) -> d
 def scatter_data(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """V2 / V6: the null-free (x, y[, color]) pairs."""
     cols = [x, y] + ([color] if color else [])
-    return df.select(*[_c(c).alias(c) for c in cols]).na.drop("any", subset=[x, y])
+    return df.select(*[_c(c).alias(c) for c in cols]).filter(_c(x).isNotNull() & _c(y).isNotNull())
 
 
 def time_series(df: DataFrame, dt: str, y: str, period: str | None = None) -> DataFrame:
