@@ -40,17 +40,33 @@ def _c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def long_form(df: DataFrame, named: Sequence[tuple[str, Column]], ids: Sequence[Column] = (), var: str = "column", val: str = "__cell") -> DataFrame:
+def long_form(
+    df: DataFrame,
+    named: Sequence[tuple[str, Column]],
+    ids: Sequence[Column] = (),
+    var: str = "column",
+    val: str = "__cell",
+    translate: bool = True,
+) -> DataFrame:
     """Unpivot ``named`` (original name, value expression) to rows of
-    (ids..., var, val).  Values travel under internal aliases and the original
-    names come back through a literal map, so names with dots or spaces are
-    never parsed as paths."""
-    safe = [(f"__u{i}", name, expr) for i, (name, expr) in enumerate(named)]
-    wide = df.select(*ids, *[expr.alias(alias) for alias, _n, expr in safe])
-    id_names = [c for c in wide.columns if c not in {a for a, _n, _e in safe}]
-    long = wide.unpivot(id_names, [a for a, _n, _e in safe], "__var", val)
-    names = F.create_map(*[x for a, n, _e in safe for x in (F.lit(a), F.lit(n))])
-    return long.select(*id_names, names[F.col("__var")].alias(var), val)
+    (ids..., var, val).  Values travel under internal aliases, so names with
+    dots or spaces are never parsed as paths.  With ``translate=False`` the
+    ``var`` column holds the internal alias; aggregate first, then map the
+    (few) result rows back with ``name_of(named)``."""
+    safe = [(f"__u{i}", expr) for i, (_name, expr) in enumerate(named)]
+    wide = df.select(*ids, *[expr.alias(alias) for alias, expr in safe])
+    aliases = {a for a, _e in safe}
+    id_names = [c for c in wide.columns if c not in aliases]
+    long = wide.unpivot(id_names, [a for a, _e in safe], var, val)
+    if translate:
+        long = long.withColumn(var, name_of(named)(F.col(var)))
+    return long
+
+
+def name_of(named: Sequence[tuple[str, object]]):
+    """Map an internal ``__u{i}`` alias column back to the original name."""
+    lookup = F.create_map(*[x for i, (n, _e) in enumerate(named) for x in (F.lit(f"__u{i}"), F.lit(n))])
+    return lambda c: lookup[c]
 
 
 # ---------------------------------------------------------------------------
@@ -97,10 +113,12 @@ def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         ).alias(c)
         for c in cols
     ]
-    long = long_form(df, list(zip(cols, structs))).filter(F.col("__cell.s").isNotNull())
-    return long.groupBy("column", F.col("__cell.s").alias("value")).agg(
+    named = list(zip(cols, structs))
+    long = long_form(df, named, translate=False).filter(F.col("__cell.s").isNotNull())
+    vc = long.groupBy("column", F.col("__cell.s").alias("value")).agg(
         F.max("__cell.k").alias("okey"), F.count("*").alias("count")
     )
+    return vc.withColumn("column", name_of(named)(F.col("column")))
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:

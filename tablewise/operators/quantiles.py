@@ -38,7 +38,7 @@ MAX_LEVELS = 6
 BROADCAST_TARGET_ROWS = 2_000_000
 
 
-def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), translate: bool = True) -> DataFrame:
     """Unpivot numeric columns to ``(by..., column, __v double)`` without NULL/NaN.
 
     ``by`` columns keep their names; callers pass internal (safe) names."""
@@ -46,7 +46,7 @@ def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
     types = {f.name: f.dataType for f in df.schema.fields}
     named = [(c, nan_to_null(_c(c).cast("double"), types[c])) for c in cols]
-    return long_form(df, named, ids=[_c(b) for b in by], val="__v").filter(F.col("__v").isNotNull())
+    return long_form(df, named, ids=[_c(b) for b in by], val="__v", translate=translate).filter(F.col("__v").isNotNull())
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], small_rows: int) -> DataFrame:
@@ -90,8 +90,17 @@ def quantiles(
 
 
 def _quantiles(df, cols, probs, by, approx, accuracy, max_candidates, hints) -> DataFrame:
+    from tablewise.operators.clean import name_of
+
+    # internal column aliases throughout; names are restored on the result
+    to_name = name_of([(c, None) for c in cols])
+    res = _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates, hints)
+    return res.withColumn("column", to_name(F.col("column")))
+
+
+def _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates, hints) -> DataFrame:
     keys = [*by, "column"]
-    long = long_numeric(df, cols, by)
+    long = long_numeric(df, cols, by, translate=False)
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
 
     if approx:
