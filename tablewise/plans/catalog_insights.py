@@ -8,7 +8,7 @@ from tablewise.operators import clean as C
 from tablewise.operators import stats as S
 from tablewise.plans import fixtures as fx
 from tablewise.plans import insights as I
-from tablewise.plans.catalog_stats import _STRONG_SQL, _outlier_sql
+from tablewise.plans.catalog_stats import _STRONG_SQL, _outlier_sql, strong_pairs_sql
 from tablewise.plans.registry import _with, query
 
 _CF = fx.CORR_FRAME_SQL
@@ -67,11 +67,18 @@ def q_i02(spark, sf):
     return I.business_context(fx.table(spark, sf, "orders"))
 
 
-@query("i03_choose_columns")
+@query(
+    "i03_choose_columns",
+    _with("dt AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date, o_totalprice AS Price FROM orders)")
+    + "SELECT CASE WHEN count_if(try_strptime(order_date, '%Y-%m-%d') IS NULL) = 0 THEN 'order_date' END AS date_col, "
+    "'Price' AS value_col FROM dt",
+)
 def q_i03(spark, sf):
-    o = fx.table(spark, sf, "orders")
-    d, v = I.choose_columns(o)
-    return o.limit(1).select(F.lit(d).alias("date_col"), F.lit(v).alias("value_col"))
+    o = fx.table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"), F.col("o_totalprice").alias("Price")
+    )
+    d, v = I.choose_columns(o)  # the date probe scans the whole text column
+    return spark.createDataFrame([(d, v)], "date_col string, value_col string")
 
 
 def _i4_sql() -> str:
@@ -161,19 +168,52 @@ def q_i08(spark, sf):
 
 @query(
     "i09_top_up_recommendations",
-    "SELECT 0 AS ord, 'Investigate outlier rows manually before using the data for modelling.' AS text "
-    "UNION ALL SELECT 2, 'Apply feature scaling (StandardScaler / MinMaxScaler) before ML training.' "
-    "UNION ALL SELECT 1000, 'Investigate outlier rows manually before using the data for modelling.' "
-    "UNION ALL SELECT 1001, 'Apply feature scaling before ML training.' "
-    "UNION ALL SELECT 1002, 'Consider dimensionality reduction if the feature count is large.' "
-    "UNION ALL SELECT 1, 'x' WHERE (SELECT count(*) FROM events) < 0",
+    _with(
+        f"sp AS ({strong_pairs_sql('events', ['event_id', 'user_id', 'value'])})",
+        """recs AS (SELECT 0 AS ord, 'Investigate outlier rows manually before using the data for modelling.' AS text
+                   UNION ALL SELECT 2, 'Apply feature scaling (StandardScaler / MinMaxScaler) before ML training.'
+                   UNION ALL SELECT 1, printf('Consider using ''%s'' and ''%s'' as features in a predictive model.', col1, col2)
+                             FROM (SELECT * FROM sp LIMIT 1))""",
+        "n AS (SELECT count(*) AS n FROM recs)",
+        """extra AS (SELECT * FROM (VALUES
+                     (1000, 'Investigate outlier rows manually before using the data for modelling.'),
+                     (1001, 'Apply feature scaling before ML training.'),
+                     (1002, 'Consider dimensionality reduction if the feature count is large.')) t(ord, text))""",
+    )
+    + "SELECT CAST(ord AS INTEGER) AS ord, text FROM recs UNION ALL "
+    "SELECT CAST(extra.ord AS INTEGER), extra.text FROM extra, n WHERE n.n < 3 AND extra.ord - 1000 < 5 - n.n",
 )
 def q_i09(spark, sf):
     ev = fx.table(spark, sf, "events")
     return I.top_up_recommendations(I.recommendations(S.strong_correlations(ev)))
 
 
-@query("i10_analyze_insights")
+@query(
+    "i09_top_up_not_needed",
+    _cf_wrap(
+        _with(f"sp AS ({strong_pairs_sql('cf', _CF_COLS)})")
+        + "SELECT 0 AS ord, 'Investigate outlier rows manually before using the data for modelling.' AS text "
+        "UNION ALL SELECT 2, 'Apply feature scaling (StandardScaler / MinMaxScaler) before ML training.' "
+        "UNION ALL SELECT 1, printf('Consider using ''%s'' and ''%s'' as features in a predictive model.', col1, col2) FROM (SELECT * FROM sp LIMIT 1)"
+    ),
+)
+def q_i09b(spark, sf):
+    return I.top_up_recommendations(I.recommendations(S.strong_correlations(fx.corr_frame(spark, sf))))
+
+
+_EV_NUM = ["event_id", "user_id", "value"]
+
+_I10_SQL = (
+    _with(f"sp AS ({strong_pairs_sql('events', _EV_NUM)})", f"ol AS ({_outlier_sql('events', _EV_NUM)})")
+    + "SELECT 0 AS ord, printf('The dataset contains %s rows and %d columns.', format('{:,}', count(*)), 6) AS text FROM events "
+    "UNION ALL SELECT 2, printf('Strongest correlation: ''%s'' and ''%s'' (%+.2f, %s).', col1, col2, correlation, strength) "
+    "FROM (SELECT * FROM sp LIMIT 1) "
+    "UNION ALL SELECT 3, printf('''%s'' has the most outliers (%s%% of values fall outside [%.2f, %.2f]).', column, "
+    "CAST(outlier_pct AS VARCHAR), lower_bound, upper_bound) FROM (SELECT * FROM ol ORDER BY outlier_pct DESC LIMIT 1)"
+)
+
+
+@query("i10_analyze_insights", _I10_SQL)
 def q_i10(spark, sf):
     return I.analyze(fx.table(spark, sf, "events"))["insights"]
 

@@ -26,6 +26,23 @@ def _pairs(cols):
     return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
+def pairs_sql(src: str, cols: list[str]) -> str:
+    """All column pairs with their pairwise-complete r (NULL if undefined)."""
+    return " UNION ALL ".join(
+        f"SELECT '{cols[i]}' AS col1, '{cols[j]}' AS col2, {i} AS i, {j} AS j, {_corr_sql(cols[i], cols[j])} AS r FROM {src}"
+        for i, j in _pairs(cols)
+    )
+
+
+def strong_pairs_sql(src: str, cols: list[str]) -> str:
+    """A6 in SQL: rounded r, |r| >= 0.3, labelled, by |r| desc, at most 15."""
+    return f"""SELECT col1, col2, correlation, i, j,
+       CASE WHEN abs(correlation) >= 0.7 THEN 'strong' WHEN abs(correlation) >= 0.5 THEN 'moderate' ELSE 'weak' END
+       || ' ' || CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS strength
+    FROM (SELECT col1, col2, i, j, ROUND(r, 4) AS correlation FROM ({pairs_sql(src, cols)}) WHERE r IS NOT NULL)
+    WHERE abs(correlation) >= 0.3 ORDER BY abs(correlation) DESC, i, j LIMIT 15"""
+
+
 _PAIRS_SQL = " UNION ALL ".join(
     f"SELECT '{_CF_COLS[i]}' AS col1, '{_CF_COLS[j]}' AS col2, {i} AS i, {j} AS j, {_corr_sql(_CF_COLS[i], _CF_COLS[j])} AS r FROM cf"
     for i, j in _pairs(_CF_COLS)
