@@ -1,25 +1,28 @@
 """Exact (linear-interpolated) and approximate quantiles, distributed.
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
-one buffer, so a 100 TB column with billions of distinct values would land in
-one task.  ``quantiles(approx=False)`` bounds that buffer:
+one hash map, so a 100 TB column with billions of distinct values would land
+in one task.  ``quantiles(approx=False)`` never needs that map:
 
 1. Long form ``(by..., column, v)`` of the numeric columns (one scan).
-2. Per group: row count ``n`` and HyperLogLog distinct count ``d``.
-3. Groups with ``d`` within ``max_candidates`` use the built-in exact
-   ``percentile`` (its buffer is at most ``max_candidates`` entries, and it
-   combines partially per partition); this is the common case.
-4. Larger groups bracket the target ranks with a ``percentile_approx`` grid;
-   the bracket is verified with exact counts (values below / at-or-below), and
-   only values inside it stay candidates.  Repeat until each bracket holds at
-   most ``max_candidates`` distinct values (every level shrinks it ~B times).
-5. Bracketed candidates are collapsed to ``(value, multiplicity)`` and a
-   running count in value order gives the exact order statistics at ranks
-   floor(h) and ceil(h), h = (n-1)*p; the result interpolates linearly
-   between them (pandas / DuckDB ``quantile_cont`` semantics, which the
-   built-in ``percentile`` shares).
-
-No group ever holds more than ``max_candidates`` distinct values in one task.
+2. Pass 1: per group the row count and a ``percentile_approx`` grid (a
+   bounded-memory sketch, combined partially per partition).
+3. Each target rank (floor/ceil of h = (n-1)*p) gets a bracket [L, H] from
+   the grid, widened by twice the sketch's rank error; edge buckets are left
+   unbounded.
+4. Pass 2: rows below L collapse into ONE NULL-keyed count per target and
+   rows inside the bracket into (value, multiplicity); a running count in
+   value order (NULL first, so it is the rank offset) gives the exact order
+   statistics; the result interpolates linearly between them (pandas /
+   DuckDB ``quantile_cont`` semantics).  A missed bracket is detected for
+   free (no pick) and only that group falls back to exact ``percentile``.
+5. Groups whose bracket would exceed ``max_candidates`` rows (very large
+   groups) take the multi-level path: HyperLogLog sizing, exact
+   ``percentile`` where the distinct count is bounded, and verified
+   brackets narrowed level by level until each holds at most
+   ``max_candidates`` distinct values.
+
+No group ever puts more than ``max_candidates`` values into one task.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ from tablewise.session import materialize
 
 GRID_BUCKETS = 1000
 SKETCH_ACCURACY = 10000
+# the one-level bracket path: a coarser sketch is cheaper and its wider
+# brackets (about 1.5% of a group's rows) are still far below the bound
+BRACKET_BUCKETS = 200
+BRACKET_ACCURACY = 2000
 MAX_LEVELS = 6
 BROADCAST_TARGET_ROWS = 2_000_000
 
@@ -111,15 +118,98 @@ def _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates, h
             *keys, "n", F.explode(F.arrays_zip(probs_col.alias("p"), F.col("qs").alias("q"))).alias("__z")
         ).select(*keys, F.col("__z.p").alias("p"), F.col("__z.q").cast("double").alias("value"), "n")
 
+    bracketed = _bracket_path(long, keys, probs, accuracy, max_candidates)
+    if bracketed is not None:
+        return bracketed
+    return _refine_path(long, keys, probs, by, accuracy, max_candidates, hints)
+
+
+def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_candidates: int) -> DataFrame | None:
+    """Two passes: (1) count + percentile_approx grid per group; (2) rows below
+    each target's bracket collapse into one NULL-keyed count, rows inside it
+    into (value, count); a running count gives the exact order statistics.
+
+    Returns None when some bracket would hold more than ``max_candidates``
+    rows (very large groups); those go through the multi-level refinement.
+    A bracket that misses its ranks (the sketch's error bound makes this a
+    should-not-happen case) falls back to exact ``percentile`` for that group.
+    """
+    probs_col = F.array(*[F.lit(float(p)) for p in probs])
+    nb, acc = BRACKET_BUCKETS, BRACKET_ACCURACY
+    grid = F.array(*[F.lit(i / nb) for i in range(nb + 1)])
+    sk = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", grid, acc).alias("__grid"))
+    n = F.col("n")
+    slack = F.ceil(n / F.lit(acc)) * 2 + 2
+    pos = (n - 1).cast("double") * F.col("p")
+    k_lo, k_hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
+    i_lo = F.greatest(F.lit(0), F.floor((k_lo - slack) / n * nb)).cast("int")
+    i_hi = F.least(F.lit(nb), F.ceil((k_hi + 1 + slack) / n * nb)).cast("int")
+    tgt = sk.select(*keys, "n", "__grid", F.explode(probs_col).alias("p")).select(
+        *keys,
+        "n",
+        "p",
+        pos.alias("__pos"),
+        k_lo.alias("__klo"),
+        k_hi.alias("__khi"),
+        F.when(i_lo > 0, F.element_at("__grid", i_lo + 1)).alias("__blo"),
+        F.when(i_hi < nb, F.element_at("__grid", i_hi + 1)).alias("__bhi"),
+        ((i_hi - i_lo) / F.lit(nb) * n + slack * 2).alias("__est"),
+    )
+    # one row per group and probability: cached (short lineage, small)
+    tgt = tgt.cache()
+    summary = tgt.agg(F.count("*").alias("t"), F.count_if(F.col("__est") > max_candidates).alias("big")).first()
+    if summary["big"]:
+        return None
+    n_t = summary["t"]
+    tkeys = [*keys, "p"]
+    j = _join_small(long, tgt.select(*tkeys, "__blo", "__bhi"), keys, n_t)
+    v = F.col("__v")
+    below = F.col("__blo").isNotNull() & (v < F.col("__blo"))
+    inside = (F.col("__blo").isNull() | (v >= F.col("__blo"))) & (F.col("__bhi").isNull() | (v <= F.col("__bhi")))
+    cand = j.filter(below | inside).groupBy(*tkeys, F.when(inside, v).alias("__cv")).agg(F.count("*").alias("__c"))
+    # NULL (= below the bracket) sorts first, so its count is the rank offset
+    w = Window.partitionBy(*tkeys).orderBy(F.col("__cv").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("__start", F.sum("__c").over(w) - F.col("__c")).filter(F.col("__cv").isNotNull())
+
+    def at(k: str):
+        hit = (F.col("__start") <= F.col(k)) & (F.col(k) < F.col("__start") + F.col("__c"))
+        return F.max(F.when(hit, F.col("__cv")))
+
+    picked = (
+        _join_small(cand, tgt.select(*tkeys, "__klo", "__khi"), tkeys, n_t)
+        .groupBy(*tkeys)
+        .agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
+    )
+    picked = picked.cache()  # one row per target; the selection pass runs once
+    out = tgt.select(*tkeys, "n", "__pos", "__klo").join(picked, tkeys, "left")
+    value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
+    res = out.select(*keys, "p", value.alias("value"), "n")
+    missed = res.filter(F.col("value").isNull()).select(*keys).distinct()
+    if missed.limit(1).count() == 0:
+        return res
+    # fallback for groups whose bracket missed: exact percentile, those groups only
+    n_missed = missed.count()
+    redo = (
+        _join_small(long, missed, keys, n_missed)
+        .groupBy(*keys)
+        .agg(F.percentile("__v", probs_col).alias("__qs"), F.count("*").alias("n"))
+        .select(*keys, "n", F.explode(F.arrays_zip(probs_col.alias("p"), F.col("__qs").alias("q"))).alias("__z"))
+        .select(*keys, F.col("__z.p").alias("p"), F.col("__z.q").cast("double").alias("value"), "n")
+    )
+    return res.join(missed, keys, "left_anti").unionByName(redo)
+
+
+def _refine_path(long: DataFrame, keys: list[str], probs, by, accuracy: int, max_candidates: int, hints) -> DataFrame:
+    """Groups too large for one bracket: HyperLogLog sizing, exact percentile
+    for groups with few distinct values, verified multi-level brackets for
+    the rest."""
+    probs_col = F.array(*[F.lit(float(p)) for p in probs])
     counts = long.groupBy(*keys).agg(
         F.count("*").alias("n"), F.approx_count_distinct("__v").alias("__d")
     )
     # HyperLogLog has ~5% relative error: keep a margin below the bound
     safe = int(max_candidates / 1.2)
-    if hints is not None and not by and all(c in hints and hints[c] <= safe for c in cols):
-        summary0 = {"t": len(cols), "big": 0}
-    else:
-        summary0 = counts.agg(F.count("*").alias("t"), F.count_if(F.col("__d") > safe).alias("big")).first()
+    summary0 = counts.agg(F.count("*").alias("t"), F.count_if(F.col("__d") > safe).alias("big")).first()
     small_keys = counts.filter(F.col("__d") <= safe).select(*keys)
     src = long if not summary0["big"] else _join_small(long, small_keys, keys, summary0["t"])
     exact_small = (

@@ -9,7 +9,7 @@ def _pandas_q(pdf, col, p):
     return pdf[col].dropna().quantile(p)
 
 
-@pytest.mark.parametrize("max_candidates", [1_000_000, 50])
+@pytest.mark.parametrize("max_candidates", [1_000_000, 50, 5])
 def test_exact_quantiles_match_pandas(spark, max_candidates):
     rng = np.random.default_rng(7)
     n = 3000
@@ -44,3 +44,12 @@ def test_approx_quantiles(spark):
     df = spark.range(1000).selectExpr("cast(id as double) as x")
     got = quantiles(df, ["x"], [0.5], approx=True).first()
     assert abs(got.value - 499.5) <= 2
+
+
+def test_refine_path_heavy_tie(spark):
+    vals = [5.0] * 2000 + list(np.arange(300, dtype=float))
+    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+    got = quantiles(df, ["x"], [0.1, 0.5, 0.9, 1.0], max_candidates=3).toPandas()
+    s = pd.Series(vals)
+    for _, r in got.iterrows():
+        assert r.value == pytest.approx(s.quantile(r.p))
