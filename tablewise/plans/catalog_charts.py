@@ -275,3 +275,15 @@ def q_v08o(spark, sf):
     kind, data = V.distribution(fx.table(spark, sf, "customer"), "c_name", {"c_name": "high_cardinality"})
     assert kind == "bar"
     return data
+
+
+@query(
+    "v11_classify_plan",
+    _PLAN_SQL
+    + """SELECT ord, title, CASE WHEN chart_type = 'heatmap' THEN 'correlation'
+                     WHEN lower(title) LIKE '%vs%' OR title LIKE '%×%' OR lower(title) LIKE '% by %' THEN 'bivariate'
+                     ELSE 'univariate' END AS kind FROM plan""",
+)
+def q_v11(spark, sf):
+    plan = V.rule_plan(fx.table(spark, sf, "lineitem")).drop("kind")
+    return V.classify_plan(plan).select("ord", "title", "kind")

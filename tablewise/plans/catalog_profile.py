@@ -298,3 +298,11 @@ def q_p13v(spark, sf):
 )
 def q_p14d(spark, sf):
     return P.compact_summary(fx.table(spark, sf, "orders"))["numerical"].drop("ord")
+
+
+@query(
+    "p09_kurtosis",
+    " UNION ALL ".join(f"SELECT '{c}' AS column, {_r(f'kurtosis({c})')} AS kurtosis FROM documents" for c in ["doc_id", "n_chars"]),
+)
+def q_p09(spark, sf):
+    return P.skew_kurtosis(fx.table(spark, sf, "documents")).select("column", "kurtosis")
