@@ -91,8 +91,12 @@ def _order_key(c: Column, dt: T.DataType) -> Column:
     """Numeric sort key so ties resolve to the smallest value in natural order."""
     if is_numeric_type(dt):
         return c.cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # its text form 'yyyy-MM-dd HH:mm:ss[.f]' already sorts in time order,
+        # and a cast to an instant would depend on the session time zone
+        return F.lit(None).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, T.BooleanType):
