@@ -181,7 +181,8 @@ def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_ca
         .agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
     )
     picked = picked.cache()  # one row per target; the selection pass runs once
-    out = tgt.select(*tkeys, "n", "__pos", "__klo").join(picked, tkeys, "left")
+    small_picked = F.broadcast(picked) if n_t <= BROADCAST_TARGET_ROWS else picked
+    out = tgt.select(*tkeys, "n", "__pos", "__klo").join(small_picked, tkeys, "left")
     value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
     res = out.select(*keys, "p", value.alias("value"), "n")
     missed = res.filter(F.col("value").isNull()).select(*keys).distinct()
