@@ -141,10 +141,8 @@ def q_i06(spark, sf):
     ),
 )
 def q_i07(spark, sf):
-    from tablewise.operators import profile as P
-
     cf = fx.corr_frame(spark, sf)
-    return I.executive_summary(P.table_stats(cf), S.strong_correlations(cf), S.outlier_report(cf))
+    return I.executive_summary(I.shape_and_missing(cf), S.strong_correlations(cf), S.outlier_report(cf))
 
 
 @query(

@@ -61,9 +61,13 @@ def _lines(df: DataFrame, text: Column, order: Column) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def trends(df: DataFrame) -> DataFrame:
+def trends(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Skew > 1 / < -1 sentences per numeric column (>= 3 values), then the
-    missing-cells sentence when more than 5 % of cells are missing."""
+    missing-cells sentence when more than 5 % of cells are missing.
+
+    ``table`` (rows, columns, missing) may be passed in when already known;
+    otherwise one light aggregate counts rows and missing cells (no
+    duplicate detection is needed here)."""
     spark = df.sparkSession
     parts = []
     if numeric_columns(df):
@@ -74,7 +78,9 @@ def trends(df: DataFrame) -> DataFrame:
             .when(sk < -SKEW_LIMIT, F.format_string(LEFT_SKEW, F.col("column"), sk))
         )
         parts.append(_lines(s, text, F.col("ord")).filter(F.col("text").isNotNull()))
-    cells = P.table_stats(df).select(
+    if table is None:
+        table = shape_and_missing(df)
+    cells = table.select(
         (F.col("missing") / F.greatest(F.col("rows") * F.col("columns"), F.lit(1)) * 100).alias("pct")
     )
     parts.append(
@@ -157,13 +163,22 @@ def business_context(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+def shape_and_missing(df: DataFrame) -> DataFrame:
+    """(rows, columns, missing) from one aggregate."""
+    from tablewise.operators.profile import _null_expr
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    total = sum((F.count_if(_null_expr(n, t)) for n, t in types.items()), F.lit(0).cast("long"))
+    return df.agg(F.count("*").alias("rows"), F.lit(len(types)).cast("long").alias("columns"), total.cast("long").alias("missing"))
+
+
 def _first_or_empty(df: DataFrame) -> DataFrame:
     return df.limit(1)
 
 
 def rule_insights(df: DataFrame, correlations: DataFrame, outliers: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """I4: shape, missing, strongest correlation, worst outlier sentences."""
-    tbl = table if table is not None else P.table_stats(df)
+    tbl = table if table is not None else shape_and_missing(df)
     shape_l = _lines(tbl, F.format_string(SHAPE_SENTENCE, _thousands(F.col("rows")), F.col("columns")), F.lit(0))
     miss_l = _lines(tbl.filter(F.col("missing") > 0), F.format_string(MISSING_SENTENCE, _thousands(F.col("missing"))), F.lit(1))
     top = _first_or_empty(correlations.orderBy(F.desc(F.abs("correlation")), "i", "j"))
@@ -284,7 +299,7 @@ def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
         has_num = any(is_numeric_type(f.dataType) for f in cached.schema.fields)
         corr = _local(S.strong_correlations(cached)) if has_num else _empty_corr(cached)
         outl = _local(S.outlier_report(cached, approx=approx))
-        trend_l = _local(trends(cached))
+        trend_l = _local(trends(cached, table))
         out = {
             "table": table,
             "correlations": corr,
