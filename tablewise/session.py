@@ -87,9 +87,25 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.mode("error").parquet(path)
     except Exception:  # noqa: BLE001 - e.g. interval / void columns
         return df.checkpoint(eager=True)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release_materialized(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` wrote for this application (call when
+    the frames read from them are no longer needed).  Returns the count."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+    return len(paths)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -14,3 +14,16 @@ def test_entry_and_registry(spark):
     for name in ("p01_shape", "a03_value_counts", "c09_duplicate_count"):
         assert q[name](spark, SF001).count() >= 1
     assert "pipeline" not in " ".join(q)
+
+
+def test_package_exports_and_release(spark):
+    import os
+
+    import tablewise as tw
+
+    df = spark.createDataFrame([(1, None), (1, None), (2, "a")], "x long, t string")
+    out = tw.materialize(tw.clean(df))
+    assert out.count() == 2
+    path = out.inputFiles()[0]
+    assert tw.release_materialized(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
