@@ -130,7 +130,36 @@ def q_k03(spark, sf):
     return back.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("k04_insights_text_export")
+def _k04_sql() -> str:
+    from tablewise.plans.catalog_insights import _I10_SQL, _trend_sql
+    from tablewise.plans.catalog_stats import _outlier_sql, strong_pairs_sql
+
+    num = ["event_id", "user_id", "value"]
+    cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    cv = " UNION ALL ".join(
+        f"SELECT {i} AS ord, printf('''%s'' shows high variability (CV = %.2f).', '{c}', stddev_samp({c}) / abs(avg({c}))) AS text "
+        f"FROM events HAVING stddev_samp({c}) / abs(avg({c})) > 1"
+        for i, c in enumerate(num)
+    )
+    return _with(
+        f"sp AS ({strong_pairs_sql('events', num)})",
+        f"ol AS ({_outlier_sql('events', num)})",
+        f"ins AS ({_I10_SQL})",
+        f"tr AS ({_trend_sql('events', num, cols)})",
+        f"pat AS ({cv} UNION ALL SELECT 100000 + row_number() OVER (ORDER BY ord) AS ord, text FROM tr QUALIFY row_number() OVER (ORDER BY ord) <= 3)",
+        """recs AS (SELECT 0 AS ord, 'Investigate outlier rows manually before using the data for modelling.' AS text
+                   UNION ALL SELECT 2, 'Apply feature scaling (StandardScaler / MinMaxScaler) before ML training.'
+                   UNION ALL SELECT 1, printf('Consider using ''%s'' and ''%s'' as features in a predictive model.', col1, col2)
+                             FROM (SELECT * FROM sp LIMIT 1))""",
+        """summ AS (SELECT printf('This dataset (%s rows × %d cols) has been cleaned and analysed. %d significant correlations and %d columns with outliers were identified. See detailed insights and recommendations above.',
+                                  format('{:,}', (SELECT count(*) FROM events)), 6, (SELECT count(*) FROM sp), (SELECT count(*) FROM ol)) AS text)""",
+    ) + """SELECT 'EXECUTIVE SUMMARY' AS value UNION ALL SELECT text FROM summ
+           UNION ALL SELECT 'KEY INSIGHTS' UNION ALL SELECT CAST(row_number() OVER (ORDER BY ord) AS VARCHAR) || '. ' || text FROM ins
+           UNION ALL SELECT 'PATTERNS' UNION ALL SELECT '- ' || text FROM pat
+           UNION ALL SELECT 'RECOMMENDATIONS' UNION ALL SELECT CAST(row_number() OVER (ORDER BY ord) AS VARCHAR) || '. ' || text FROM recs"""
+
+
+@query("k04_insights_text_export", _k04_sql())
 def q_k04(spark, sf):
     from tablewise.plans.insights import analyze, report_lines
 
