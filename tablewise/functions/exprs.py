@@ -33,6 +33,7 @@ __all__ = [
     "corrected_kurtosis",
     "strength_label",
     "quote_ident",
+    "general_number",
 ]
 
 # ---------------------------------------------------------------------------
@@ -247,3 +248,11 @@ def strength_label(r: Column) -> Column:
     band = F.when(a >= 0.7, "strong").when(a >= 0.5, "moderate").otherwise("weak")
     sign = F.when(r > 0, "positive").otherwise("negative")
     return F.concat_ws(" ", band, sign)
+
+
+def general_number(c: Column, digits: int = 4) -> Column:
+    """``%.<digits>g`` text without trailing zeros (Python / C style); Java's
+    ``%g`` keeps them ("25.40" -> "25.4", "100.0" -> "100")."""
+    g = F.format_string(f"%.{digits}g", c)
+    g = F.regexp_replace(g, r"^([-+]?\d+\.\d*?)0+(e[-+]\d+)?$", "$1$2")
+    return F.regexp_replace(g, r"^([-+]?\d+)\.(e[-+]\d+)?$", "$1$2")

@@ -28,8 +28,11 @@ def _types_ord_sql(src: str, cols: list[str], dt: set[str], num: set[str]) -> st
     )
 
 
-_PLAN_SQL = _with(
-    f"t AS ({_types_ord_sql('lineitem', _LI_COLS, {'l_shipdate'}, set(_LI_NUM))})",
+def plan_sql(src: str, cols: list[str], dt: set[str], num: set[str], n_numeric: int) -> str:
+    """V9 in SQL: the rule plan from data-driven semantic types (a WITH prefix
+    defining ``plan``)."""
+    return _with(
+    f"t AS ({_types_ord_sql(src, cols, dt, num)})",
     """u AS (SELECT 1 AS sec, ord AS k, 'univariate' AS kind,
                  CASE type WHEN 'numerical' THEN 'histogram' WHEN 'datetime' THEN 'line' ELSE 'bar' END AS chart_type,
                  column AS x, CAST(NULL AS VARCHAR) AS y,
@@ -50,12 +53,15 @@ _PLAN_SQL = _with(
                   '''' || n.column || ''' over time' AS title
            FROM dtc d, num n WHERE d.r <= 2 AND n.r <= 2)""",
     f"""hm AS (SELECT 5 AS sec, 0 AS k, 'correlation' AS kind, 'heatmap' AS chart_type, CAST(NULL AS VARCHAR) AS x,
-                   CAST(NULL AS VARCHAR) AS y, 'Pearson Correlation Heatmap' AS title WHERE {len(_LI_NUM)} >= 2)""",
+                   CAST(NULL AS VARCHAR) AS y, 'Pearson Correlation Heatmap' AS title WHERE {n_numeric} >= 2)""",
     """plan AS (SELECT CAST(row_number() OVER (ORDER BY sec, k) - 1 AS INTEGER) AS ord, kind, chart_type, x, y, title FROM
              (SELECT * FROM u UNION ALL SELECT * FROM sc UNION ALL SELECT * FROM bx UNION ALL SELECT * FROM ln UNION ALL SELECT * FROM hm))""",
 )
 
 
+_PLAN_SQL = plan_sql("lineitem", _LI_COLS, {"l_shipdate"}, set(_LI_NUM), len(_LI_NUM))
+
+
 @query("v09_rule_chart_plan", _PLAN_SQL + "SELECT ord, kind, chart_type, x, y, title FROM plan")
 def q_v09(spark, sf):
     return V.rule_plan(fx.table(spark, sf, "lineitem")).select("ord", "kind", "chart_type", "x", "y", "title")

@@ -216,7 +216,45 @@ def q_i10(spark, sf):
     return I.analyze(fx.table(spark, sf, "events"))["insights"]
 
 
-@query("i11_context_block")
+def _i11_sql() -> str:
+    from tablewise.plans.catalog_charts import plan_sql
+
+    num = ["event_id", "user_id", "value"]
+    cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    desc = " UNION ALL ".join(
+        f"SELECT {i} AS ord, '{c}' AS column, ROUND(avg({c}), 4) AS mean, ROUND(stddev_samp({c}), 4) AS std, "
+        f"ROUND(CAST(min({c}) AS DOUBLE), 4) AS min, ROUND(CAST(max({c}) AS DOUBLE), 4) AS max FROM events"
+        for i, c in enumerate(num)
+    )
+    pos = "CASE column " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(num)) + " END"
+    lines = " UNION ALL ".join(
+        [
+            "SELECT 0 AS o, 'Numerical statistics:' AS t",
+            "SELECT 100 + ord, printf('  %s: mean=%.4g, std=%.4g, min=%.4g, max=%.4g', column, mean, std, min, max) FROM dsc",
+            "SELECT 200000, 'Correlations:'",
+            "SELECT 200000 + row_number() OVER (ORDER BY abs(correlation) DESC, i, j), "
+            "printf('  %s ↔ %s: r=%+.2f (%s)', col1, col2, correlation, strength) "
+            "FROM (SELECT * FROM sp ORDER BY abs(correlation) DESC, i, j LIMIT 8)",
+            "SELECT 300000, 'Outliers:'",
+            "SELECT 300000 + row_number() OVER (ORDER BY outlier_pct DESC, pos), "
+            "printf('  %s: %d outliers (%s%%)', column, outlier_count, CAST(outlier_pct AS VARCHAR)) "
+            f"FROM (SELECT *, {pos} AS pos FROM ol ORDER BY outlier_pct DESC, pos LIMIT 6)",
+            "SELECT 400000, 'Trends:'",
+            "SELECT 400000 + row_number() OVER (ORDER BY ord), '  • ' || text FROM (SELECT * FROM tr ORDER BY ord LIMIT 5)",
+            "SELECT 500000, 'Charts:'",
+            "SELECT 500001 + ord, printf('  • Chart %d: ''%s'' - %s', ord + 1, title, '') FROM plan",
+        ]
+    )
+    prefix = plan_sql("events", cols, {"ts"}, set(num), len(num)).rstrip().rstrip("\n")
+    return (
+        prefix
+        + f",\ndsc AS ({desc}),\nsp AS ({strong_pairs_sql('events', num)}),\nol AS ({_outlier_sql('events', num)}),\n"
+        + f"tr AS ({_trend_sql('events', num, cols)}),\nlines AS ({lines})\n"
+        + "SELECT string_agg(t, chr(10) ORDER BY o) AS text FROM lines"
+    )
+
+
+@query("i11_context_block", _i11_sql())
 def q_i11(spark, sf):
     from tablewise.operators import profile as P
     from tablewise.plans.charts import rule_plan

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.functions.exprs import MONTH_ABBR, is_numeric_type, non_numeric_columns, numeric_columns
+from tablewise.functions.exprs import MONTH_ABBR, general_number, is_numeric_type, non_numeric_columns, numeric_columns
 from tablewise.operators import profile as P
 from tablewise.operators import stats as S
 from tablewise.operators.clean import _c, date_text_plan
@@ -264,7 +264,8 @@ def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: Dat
         return [r[0] for r in q.select(text).collect()]
 
     out = ["Numerical statistics:"]
-    out += lines(describe_df, F.format_string("  %s: mean=%.4g, std=%.4g, min=%.4g, max=%.4g", "column", "mean", "std", "min", "max"), ["ord"], None)
+    g = lambda c: general_number(F.col(c))  # noqa: E731 - Python-style %.4g
+    out += lines(describe_df, F.format_string("  %s: mean=%s, std=%s, min=%s, max=%s", "column", g("mean"), g("std"), g("min"), g("max")), ["ord"], None)
     out.append("Correlations:")
     out += lines(correlations, F.format_string("  %s ↔ %s: r=%+.2f (%s)", "col1", "col2", "correlation", "strength"),
                  [F.desc(F.abs("correlation")), "i", "j"], 8)
