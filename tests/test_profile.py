@@ -65,3 +65,9 @@ def test_cleaning_report(spark):
 
     rep = {r.metric: (r.before, r.after) for r in P.cleaning_report(before, clean(before)).collect()}
     assert rep["rows"] == (3, 2) and rep["missing"] == (2, 0) and rep["duplicates"] == (1, 0)
+
+
+def test_column_types_approx_agrees_on_small_counts(spark, mixed):
+    exact = {r.column: r.type for r in P.column_types(mixed).collect()}
+    approx = {r.column: r.type for r in P.column_types(mixed, approx=True).collect()}
+    assert exact == approx
