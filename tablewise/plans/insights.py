@@ -285,16 +285,25 @@ def _local(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
+def _has_shuffle_work(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(k in plan for k in ("Aggregate", "Join", "Window", "Deduplicate", "Sort", "Generate", "MapInPandas"))
+
+
+def analyze(df: DataFrame, approx: bool = False, persist: bool | None = None) -> dict[str, DataFrame]:
     """The whole insight step.
 
-    The input is persisted once for its statistics passes; every result is a
-    small table (per column, per pair or per sentence), materialised before
-    the input is released, so the returned frames never re-read the input.
+    Every result is a small table (per column, per pair or per sentence),
+    materialised before returning, so the returned frames never re-read the
+    input.  ``persist=None`` caches the input for the statistics passes only
+    when it is expensive to recompute (its plan aggregates, joins or sorts);
+    a plain column-pruned file scan is cheaper to re-read than to cache.
     """
     from pyspark import StorageLevel
 
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist is None:
+        persist = _has_shuffle_work(df)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     try:
         table = _local(P.table_stats(cached))
         has_num = any(is_numeric_type(f.dataType) for f in cached.schema.fields)
@@ -316,7 +325,8 @@ def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
             out["numerical"] = _local(P.describe(cached, approx=approx))
         return out
     finally:
-        cached.unpersist()
+        if persist:
+            cached.unpersist()
 
 
 def _empty_corr(df: DataFrame) -> DataFrame:
