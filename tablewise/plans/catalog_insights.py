@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.operators import clean as C
 from tablewise.operators import stats as S
 from tablewise.plans import fixtures as fx
 from tablewise.plans import insights as I

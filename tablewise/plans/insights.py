@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.functions.exprs import MONTH_ABBR, general_number, is_numeric_type, non_numeric_columns, numeric_columns
+from tablewise.functions.exprs import general_number, is_numeric_type, non_numeric_columns, numeric_columns
 from tablewise.operators import profile as P
 from tablewise.operators import stats as S
 from tablewise.operators.clean import _c, date_text_plan

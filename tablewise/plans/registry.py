@@ -13,7 +13,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablewise.plans import fixtures as fx
 
