@@ -90,3 +90,11 @@ def test_records_from_column(spark):
     df = spark.createDataFrame([(1, '[{"k": 1}, {"k": 2}]'), (2, '{"k": 3}')], "id long, payload string")
     out = SR.records_from_column(df, "payload", "k bigint", keep=["id"])
     assert sorted((r.id, r.k) for r in out.collect()) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_from_records_and_cut_text(spark):
+    df = SR.from_records(spark, [{"a": 1.0, "t": "abcdef"}, {"a": float("nan"), "t": None}], "a double, t string")
+    rows = df.collect()
+    assert rows[1].a is None  # NaN is missing
+    cut = SR.cut_text(df, "t", width=3).collect()
+    assert cut[0].t == "abc" and cut[1].t is None
