@@ -53,3 +53,13 @@ def test_refine_path_heavy_tie(spark):
     s = pd.Series(vals)
     for _, r in got.iterrows():
         assert r.value == pytest.approx(s.quantile(r.p))
+
+
+def test_refine_path_equals_default_on_driver_table(spark):
+    from tests.conftest import SF01
+
+    li = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    cols, probs = ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.99]
+    a = sorted(map(tuple, quantiles(li, cols, probs).collect()))
+    b = sorted(map(tuple, quantiles(li, cols, probs, max_candidates=200).collect()))
+    assert a == b
