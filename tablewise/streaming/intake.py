@@ -44,9 +44,21 @@ def row_local_clean(
     return df.select(*out)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv", max_files: int | None = None) -> DataFrame:
-    """A file stream (csv with header / json / parquet) with a fixed schema."""
+def read_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    fmt: str = "csv",
+    max_files: int | None = None,
+    base_path: str | None = None,
+) -> DataFrame:
+    """A file stream (csv with header / json / parquet) with a fixed schema.
+
+    ``path`` may be a folder or a glob; ``base_path`` names the folder when
+    ``path`` points at files inside it."""
     reader = spark.readStream.schema(schema)
+    if base_path:
+        reader = reader.option("basePath", base_path)
     if fmt == "csv":
         reader = reader.option("header", True).option("escape", '"')
     if max_files:
