@@ -112,6 +112,10 @@ PUNCTUATION_MAP = {
 
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
+# Correlation strength bands on |r| (rounded to 4): strong, moderate, else weak.
+STRONG_R = 0.7
+MODERATE_R = 0.5
+
 # ---------------------------------------------------------------------------
 # Schema helpers
 # ---------------------------------------------------------------------------
@@ -245,7 +249,7 @@ def corrected_kurtosis(c: Column) -> Column:
 def strength_label(r: Column) -> Column:
     """Band on |r| (>=0.7 strong, >=0.5 moderate, else weak) and sign by r > 0."""
     a = F.abs(r)
-    band = F.when(a >= 0.7, "strong").when(a >= 0.5, "moderate").otherwise("weak")
+    band = F.when(a >= STRONG_R, "strong").when(a >= MODERATE_R, "moderate").otherwise("weak")
     sign = F.when(r > 0, "positive").otherwise("negative")
     return F.concat_ws(" ", band, sign)
 

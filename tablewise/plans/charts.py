@@ -24,6 +24,12 @@ MAX_BOX_CATEGORICALS = 3
 MAX_BOX_NUMERICS = 3
 MAX_TIME_DATETIMES = 2
 MAX_TIME_NUMERICS = 2
+TITLE_DISTRIBUTION = "Distribution of '{x}'"
+TITLE_VALUE_COUNTS = "Value Counts – '{x}'"
+TITLE_TIME_SERIES = "Time Series – '{x}'"
+TITLE_SCATTER = "'{x}' vs '{y}'"
+TITLE_BOX = "'{y}' by '{x}'"
+TITLE_OVER_TIME = "'{y}' over time"
 HEATMAP_TITLE = "Pearson Correlation Heatmap"
 SUPPORTED_PLAN_TYPES = ["line", "bar", "scatter", "box", "heatmap"]
 
@@ -136,21 +142,21 @@ def rule_plan_rows(tmap: dict[str, str], numeric_dtype_cols: Sequence[str]) -> l
         if t == "high_cardinality":
             continue
         if t == "numerical":
-            add("univariate", "histogram", c, None, f"Distribution of '{c}'")
+            add("univariate", "histogram", c, None, TITLE_DISTRIBUTION.format(x=c))
         elif t in ("categorical", "boolean"):
-            add("univariate", "bar", c, None, f"Value Counts – '{c}'")
+            add("univariate", "bar", c, None, TITLE_VALUE_COUNTS.format(x=c))
         elif t == "datetime":
-            add("univariate", "line", c, None, f"Time Series – '{c}'")
+            add("univariate", "line", c, None, TITLE_TIME_SERIES.format(x=c))
     nums = _by_type(tmap, "numerical")[:MAX_PAIR_NUMERICS]
     for i, c1 in enumerate(nums):
         for c2 in nums[i + 1:]:
-            add("bivariate", "scatter", c1, c2, f"'{c1}' vs '{c2}'")
+            add("bivariate", "scatter", c1, c2, TITLE_SCATTER.format(x=c1, y=c2))
     for cat in _by_type(tmap, "categorical")[:MAX_BOX_CATEGORICALS]:
         for num in nums[:MAX_BOX_NUMERICS]:
-            add("bivariate", "box", cat, num, f"'{num}' by '{cat}'")
+            add("bivariate", "box", cat, num, TITLE_BOX.format(x=cat, y=num))
     for dt in _by_type(tmap, "datetime")[:MAX_TIME_DATETIMES]:
         for num in nums[:MAX_TIME_NUMERICS]:
-            add("bivariate", "line", dt, num, f"'{num}' over time")
+            add("bivariate", "line", dt, num, TITLE_OVER_TIME.format(x=dt, y=num))
     if len(numeric_dtype_cols) >= 2:
         add("correlation", "heatmap", None, None, HEATMAP_TITLE)
     return rows
