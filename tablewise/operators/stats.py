@@ -30,6 +30,9 @@ MIN_ABS_R = 0.3
 MAX_PAIRS = 15
 IQR_FACTOR = 1.5
 PIE_MAX_CATEGORIES = 8
+HIST_MIN_BINS = 10
+HIST_MAX_BINS = 50
+DENSITY_BINS = 60
 
 
 def _num(df: DataFrame, c: str) -> Column:
@@ -273,7 +276,7 @@ def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> D
 
 
 def _bins_for(n: int) -> int:
-    return min(50, max(10, int(math.sqrt(n))))
+    return min(HIST_MAX_BINS, max(HIST_MIN_BINS, int(math.sqrt(n))))
 
 
 def histogram(df: DataFrame, col: str, bins: int | None = None, density: bool = False) -> DataFrame:

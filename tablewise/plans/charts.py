@@ -31,6 +31,8 @@ TITLE_SCATTER = "'{x}' vs '{y}'"
 TITLE_BOX = "'{y}' by '{x}'"
 TITLE_OVER_TIME = "'{y}' over time"
 HEATMAP_TITLE = "Pearson Correlation Heatmap"
+TOP_UNIVARIATE = 20
+TOP_DISTRIBUTION = 10
 SUPPORTED_PLAN_TYPES = ["line", "bar", "scatter", "box", "heatmap"]
 
 PLAN_SCHEMA = "ord int, kind string, chart_type string, x string, y string, color string, title string, description string"
@@ -56,12 +58,12 @@ def univariate(df: DataFrame, col: str, tmap: dict[str, str] | None = None) -> d
     tmap = tmap or _types_map(df)
     t = tmap.get(col)
     if t == "numerical":
-        return {"histogram": S.histogram(df, col), "density": S.histogram(df, col, bins=60, density=True)}
+        return {"histogram": S.histogram(df, col), "density": S.histogram(df, col, bins=S.DENSITY_BINS, density=True)}
     if t in ("categorical", "boolean"):
         return {"value_counts": P.value_counts(df, col)}
     if t == "datetime":
         return {"by_period": S.counts_by_period(df, col)}
-    return {"top": P.top_values(df, [col], k=20)}
+    return {"top": P.top_values(df, [col], k=TOP_UNIVARIATE)}
 
 
 def scatter_data(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -118,7 +120,7 @@ def distribution(df: DataFrame, col: str, tmap: dict[str, str] | None = None) ->
         return "bar", P.value_counts(df, col)
     if t == "datetime":
         return "bar", S.counts_by_period(df, col)
-    return "bar", P.top_values(df, [col], k=10)
+    return "bar", P.top_values(df, [col], k=TOP_DISTRIBUTION)
 
 
 def distribution_grid(df: DataFrame, tmap: dict[str, str] | None = None) -> list[tuple[str, str, DataFrame]]:

@@ -22,6 +22,13 @@ MISSING_PCT_LIMIT = 5.0
 CV_LIMIT = 1.0
 VALUE_NAMES = ["sales", "revenue", "amount", "price", "quantity", "quantityordered"]
 DATE_NAME_HINTS = ["date", "time"]
+CONTEXT_COLUMNS = 3  # business context: first 3 non-numeric columns ...
+CONTEXT_TOP = 3  # ... their top 3 values ...
+CONTEXT_WIDTH = 20  # ... cut to 20 characters
+PATTERN_TRENDS = 3
+BLOCK_PAIRS = 8
+BLOCK_OUTLIERS = 6
+BLOCK_TRENDS = 5
 RIGHT_SKEW = "'%s' is heavily right-skewed (skew=%.2f), indicating a long tail of high values."
 LEFT_SKEW = "'%s' is heavily left-skewed (skew=%.2f), indicating a concentration of high values."
 MISSING_TREND = "Dataset has %.1f%% missing values — imputation strategy significantly impacts results."
@@ -123,12 +130,12 @@ def business_context(df: DataFrame) -> DataFrame:
     """Top-3 values of the first 3 non-numeric columns (names cut to 20) and
     monthly totals of the value column over the date column, as text lines."""
     parts = []
-    cats = [c for c in non_numeric_columns(df) if c in df.columns][:3]
+    cats = [c for c in non_numeric_columns(df) if c in df.columns][:CONTEXT_COLUMNS]
     types = {f.name: f.dataType for f in df.schema.fields}
     cats = [c for c in cats if not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType))]
     spark = df.sparkSession
     if cats:
-        top = P.top_values(df, cats, k=3, width=20)
+        top = P.top_values(df, cats, k=CONTEXT_TOP, width=CONTEXT_WIDTH)
         order = {c: i for i, c in enumerate(cats)}
         ordmap = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
         item = F.format_string("'%s': %d records", F.col("value"), F.col("count"))
@@ -198,7 +205,7 @@ def patterns(df: DataFrame, trend_lines: DataFrame) -> DataFrame:
     if numeric_columns(df):
         v = S.variability(df).filter(F.col("high_variability"))
         parts.append(_lines(v, F.format_string(CV_SENTENCE, "column", F.col("cv")), F.col("ord")))
-    first3 = trend_lines.orderBy("ord").limit(3).collect()  # at most 3 short lines
+    first3 = trend_lines.orderBy("ord").limit(PATTERN_TRENDS).collect()  # a few short lines
     spark = df.sparkSession
     parts.append(spark.createDataFrame([(100_001 + k, r["text"]) for k, r in enumerate(first3)], LINES))
     out = parts[0]
@@ -268,12 +275,12 @@ def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: Dat
     out += lines(describe_df, F.format_string("  %s: mean=%s, std=%s, min=%s, max=%s", "column", g("mean"), g("std"), g("min"), g("max")), ["ord"], None)
     out.append("Correlations:")
     out += lines(correlations, F.format_string("  %s ↔ %s: r=%+.2f (%s)", "col1", "col2", "correlation", "strength"),
-                 [F.desc(F.abs("correlation")), "i", "j"], 8)
+                 [F.desc(F.abs("correlation")), "i", "j"], BLOCK_PAIRS)
     out.append("Outliers:")
     out += lines(outliers, F.format_string("  %s: %d outliers (%s%%)", "column", "outlier_count", F.col("outlier_pct").cast("string")),
-                 [F.desc("outlier_pct"), "ord"], 6)
+                 [F.desc("outlier_pct"), "ord"], BLOCK_OUTLIERS)
     out.append("Trends:")
-    out += lines(trend_lines, F.concat(F.lit("  • "), F.col("text")), ["ord"], 5)
+    out += lines(trend_lines, F.concat(F.lit("  • "), F.col("text")), ["ord"], BLOCK_TRENDS)
     out.append("Charts:")
     if plan is not None:
         out += lines(plan, F.format_string("  • Chart %d: '%s' - %s", F.col("ord") + 1, "title", F.coalesce("description", F.lit(""))), ["ord"], None)
