@@ -186,9 +186,7 @@ def _impute(df: DataFrame, strategy: str, approx: bool, extra_aggs: Sequence[Col
             if n in num_need:
                 fills[n] = F.lit(row[f"mean_{i}"]).cast("double")
     elif strategy == "median" and num_need:
-        # a non-null count bounds the distinct count: small columns skip the
-        # quantile step's own counting pass
-        q = quantiles(df, num_need, [0.5], approx=approx, hints={n: nonnull[n] for n in num_need})
+        q = quantiles(df, num_need, [0.5], approx=approx)
         for r in q.select("column", "value").collect():
             fills[r["column"]] = F.lit(r["value"]).cast("double")
     mode_cols = [n for n in need if nonnull[n] > 0 and (n not in numeric or strategy == "mode")]

@@ -71,14 +71,9 @@ def quantiles(
     approx: bool = False,
     accuracy: int = SKETCH_ACCURACY,
     max_candidates: int = 1_000_000,
-    hints: dict[str, int] | None = None,
 ) -> DataFrame:
     """Quantiles of each numeric column (per ``by`` group).
 
-    ``hints`` (only without ``by``): column -> non-null count already computed
-    by the caller.  A count bounds the distinct count, so when every column
-    is within the bound the counting (HyperLogLog) pass is skipped.
-
     Returns ``(by..., column, p, value, n)``: one row per group, column and
     probability that has at least one non-null value.
     """
@@ -91,21 +86,21 @@ def quantiles(
 
         safe_by = [f"__by{i}" for i in range(len(orig_by))]
         df = df.select(*[_c(b).alias(s) for b, s in zip(orig_by, safe_by)], *[_c(c) for c in cols])
-        res = _quantiles(df, cols, probs, safe_by, approx, accuracy, max_candidates, None)
+        res = _quantiles(df, cols, probs, safe_by, approx, accuracy, max_candidates)
         return res.select(*[F.col(s).alias(b) for b, s in zip(orig_by, safe_by)], "column", "p", "value", "n")
-    return _quantiles(df, cols, probs, [], approx, accuracy, max_candidates, hints)
+    return _quantiles(df, cols, probs, [], approx, accuracy, max_candidates)
 
 
-def _quantiles(df, cols, probs, by, approx, accuracy, max_candidates, hints) -> DataFrame:
+def _quantiles(df, cols, probs, by, approx, accuracy, max_candidates) -> DataFrame:
     from tablewise.operators.clean import name_of
 
     # internal column aliases throughout; names are restored on the result
     to_name = name_of([(c, None) for c in cols])
-    res = _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates, hints)
+    res = _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates)
     return res.withColumn("column", to_name(F.col("column")))
 
 
-def _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates, hints) -> DataFrame:
+def _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates) -> DataFrame:
     keys = [*by, "column"]
     long = long_numeric(df, cols, by, translate=False)
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
@@ -121,7 +116,7 @@ def _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates, h
     bracketed = _bracket_path(long, keys, probs, accuracy, max_candidates)
     if bracketed is not None:
         return bracketed
-    return _refine_path(long, keys, probs, by, accuracy, max_candidates, hints)
+    return _refine_path(long, keys, probs, accuracy, max_candidates)
 
 
 def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_candidates: int) -> DataFrame | None:
@@ -200,7 +195,7 @@ def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_ca
     return res.join(missed, keys, "left_anti").unionByName(redo)
 
 
-def _refine_path(long: DataFrame, keys: list[str], probs, by, accuracy: int, max_candidates: int, hints) -> DataFrame:
+def _refine_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_candidates: int) -> DataFrame:
     """Groups too large for one bracket: HyperLogLog sizing, exact percentile
     for groups with few distinct values, verified multi-level brackets for
     the rest."""
@@ -338,12 +333,11 @@ def quantiles_wide(
     names: Sequence[str],
     by: Sequence[str] = (),
     approx: bool = False,
-    hints: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pivot ``quantiles`` to one row per (by..., column) with one column per prob."""
     from tablewise.operators.clean import _c
 
-    q = quantiles(df, cols, probs, by=by, approx=approx, hints=hints)
+    q = quantiles(df, cols, probs, by=by, approx=approx)
     aggs = [
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value"))).alias(name)
         for p, name in zip(probs, names)
