@@ -98,3 +98,16 @@ def test_from_records_and_cut_text(spark):
     assert rows[1].a is None  # NaN is missing
     cut = SR.cut_text(df, "t", width=3).collect()
     assert cut[0].t == "abc" and cut[1].t is None
+
+
+def test_csv_orders_clean_mean_has_no_nulls_and_price_stays_text(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from tablewise.operators.clean import clean
+
+    df = SR.read_csv(spark, _write(tmp_dir, "orders2.csv", CSV_ORDERS))
+    out = clean(df, "mean")
+    assert out.count() == 6
+    assert dict(out.dtypes)["Price"] == "string"
+    nulls = out.select([F.count_if(F.col(c).isNull()).alias(c) for c in out.columns]).first()
+    assert all(v == 0 for v in nulls)
