@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -75,3 +77,25 @@ def test_clean_retype_decided_before_dedupe_equals_after(spark, rows, strategy):
     assert got.dtypes == ref.dtypes
     key = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted(got.collect(), key=key) == sorted(ref.collect(), key=key)
+
+
+qvals = st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e3, 1e3, allow_nan=False)), min_size=1, max_size=60)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(vals=qvals, probs=st.lists(st.floats(0, 1), min_size=1, max_size=4, unique=True),
+       bound=st.sampled_from([3, 8, 1_000_000]), groups=st.integers(1, 3))
+def test_quantiles_match_pandas_any_path(spark, vals, probs, bound, groups):
+    from tablewise.operators.quantiles import quantiles
+
+    rows = [(i % groups, v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {(r.g, r.p): r.value for r in quantiles(df, ["x"], probs, by=["g"], max_candidates=bound).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for g, part in pdf.groupby("g"):
+        s = part["x"].dropna()
+        for p in probs:
+            if len(s) == 0:
+                assert (g, float(p)) not in got
+            else:
+                assert got[(g, float(p))] == pytest.approx(s.quantile(p), rel=1e-9, abs=1e-9)
