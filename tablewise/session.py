@@ -92,11 +92,23 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 _WRITTEN: dict[str, list[str]] = {}
+_CACHED: dict[str, list[DataFrame]] = {}
+
+
+def cache_small(df: DataFrame) -> DataFrame:
+    """Cache a small helper table (e.g. one row per quantile target) and
+    remember it so ``release_materialized`` can unpersist it."""
+    out = df.cache()
+    _CACHED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(out)
+    return out
 
 
 def release_materialized(spark: SparkSession) -> int:
-    """Delete the tables ``materialize`` wrote for this application (call when
-    the frames read from them are no longer needed).  Returns the count."""
+    """Delete the tables ``materialize`` wrote and unpersist the helper tables
+    ``cache_small`` cached for this application (call when the frames derived
+    from them are no longer needed).  Returns the number of written tables."""
+    for cached in _CACHED.pop(spark.sparkContext.applicationId, []):
+        cached.unpersist()
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

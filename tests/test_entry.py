@@ -27,3 +27,16 @@ def test_package_exports_and_release(spark):
     path = out.inputFiles()[0]
     assert tw.release_materialized(spark) >= 1
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_release_unpersists_quantile_helpers(spark):
+    import tablewise as tw
+    from tablewise import session as S
+
+    df = spark.range(200).selectExpr("cast(id as double) as x")
+    tw.quantiles(df, ["x"], [0.5]).collect()
+    app = spark.sparkContext.applicationId
+    held = list(S._CACHED.get(app, []))
+    assert held and all(d.is_cached for d in held)
+    tw.release_materialized(spark)
+    assert not any(d.is_cached for d in held)
