@@ -368,16 +368,28 @@ def sample_values(df: DataFrame, cols: Sequence[str], k: int = 2, width: int = 2
 
     (The reference shows the first two rows; Spark has no row order, so the
     smallest two distinct cut values are used - a deterministic choice.)
+    k global aggregates - the smallest value, then the smallest above it -
+    replace a distinct over all values: no shuffle of values, and only k
+    values per column reach the driver.
     """
-    from tablewise.operators.clean import long_form
-
-    long = (
-        long_form(df, [(n, F.substring(_c(n).cast("string"), 1, width)) for n in cols], val="value")
-        .filter(F.col("value").isNotNull())
-        .distinct()
-    )
-    w = Window.partitionBy("column").orderBy("value")
-    return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    cut = {n: F.substring(_c(n).cast("string"), 1, width) for n in cols}
+    prev: dict[str, str | None] = {n: None for n in cols}
+    rows = []
+    for rank in range(1, k + 1):
+        live = [n for n in cols if rank == 1 or prev[n] is not None]
+        if not live:
+            break
+        aggs = [
+            F.min(cut[n] if rank == 1 else F.when(cut[n] > F.lit(prev[n]), cut[n])).alias(f"m{i}")
+            for i, n in enumerate(live)
+        ]
+        got = df.agg(*aggs).first()
+        for i, n in enumerate(live):
+            v = got[f"m{i}"]
+            prev[n] = v
+            if v is not None:
+                rows.append((n, rank, v))
+    return df.sparkSession.createDataFrame(rows, "column string, rank int, value string")
 
 
 def planning_metadata(df: DataFrame, approx: bool = False) -> DataFrame:
