@@ -20,7 +20,7 @@ from tablewise.functions.exprs import is_numeric_type, latin1_safe, standardize_
 from tablewise.operators.clean import _c, _types
 from tablewise.operators.quantiles import BROADCAST_TARGET_ROWS
 from tablewise.operators.stats import iqr_bounds, _num
-from tablewise.session import materialize, ship_package
+from tablewise.session import cache_tracked, materialize, ship_package
 
 BATCH_SIZE = 30
 ROW_GATE = 500
@@ -204,12 +204,17 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
         fill_type = "double"
     else:
         vc = df.filter(_c(col).isNotNull()).groupBy(*keys, _c(col).alias("__x")).agg(F.count("*").alias("__n"))
+        vc = cache_tracked(vc)  # per (group, value) counts: both modes come from it
         grp = vc.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__x").alias("v"))).alias("__m")).select(
             *keys, F.col("__m.v").alias("__g")
         )
-        from tablewise.operators.clean import modes
-
-        glob = modes(df, [col])[col]
+        # the global mode from the same counts (ties -> smallest value)
+        glob_row = (
+            vc.groupBy("__x").agg(F.sum("__n").alias("__n"))
+            .agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__x").alias("v"))).alias("__m"))
+            .first()
+        )
+        glob = glob_row["__m"]["v"] if glob_row["__m"] is not None else None
         fill_type = dt
     for k in keys:
         grp = grp.filter(F.col(k).isNotNull())

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.exprs import nan_to_null
-from tablewise.session import cache_small, materialize
+from tablewise.session import cache_tracked, materialize
 
 GRID_BUCKETS = 1000
 SKETCH_ACCURACY = 10000
@@ -151,7 +151,7 @@ def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_ca
         ((i_hi - i_lo) / F.lit(nb) * n + slack * 2).alias("__est"),
     )
     # one row per group and probability: cached (short lineage, small)
-    tgt = cache_small(tgt)
+    tgt = cache_tracked(tgt)
     summary = tgt.agg(F.count("*").alias("t"), F.count_if(F.col("__est") > max_candidates).alias("big")).first()
     if summary["big"]:
         return None
@@ -175,7 +175,7 @@ def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_ca
         .groupBy(*tkeys)
         .agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
     )
-    picked = cache_small(picked)  # one row per target; the selection pass runs once
+    picked = cache_tracked(picked)  # one row per target; the selection pass runs once
     small_picked = F.broadcast(picked) if n_t <= BROADCAST_TARGET_ROWS else picked
     out = tgt.select(*tkeys, "n", "__pos", "__klo").join(small_picked, tkeys, "left")
     value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))

@@ -263,6 +263,10 @@ def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> D
     (the result width is bounded), then a single pivot aggregate runs.
     """
     pair = df.select(_c(a).alias("__a"), _c(b).alias("__b")).na.drop("any")
+    # HyperLogLog pre-check (no shuffle of values): a clearly too-wide column
+    # is rejected before the exact distinct runs
+    if pair.agg(F.approx_count_distinct("__b").alias("d")).first()["d"] > 1.2 * max_levels:
+        raise ValueError(f"{b} has more than {max_levels} distinct values; use contingency()")
     levels = [r[0] for r in pair.select("__b").distinct().orderBy("__b").limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
         raise ValueError(f"{b} has more than {max_levels} distinct values; use contingency()")
@@ -394,9 +398,15 @@ def category_shares(df: DataFrame, col: str, max_categories: int = PIE_MAX_CATEG
         df.select(_c(col).alias("value")).filter(F.col("value").isNotNull())
         .groupBy("value").agg(F.count("*").alias("count"))
     )
+    empty = vc.limit(0).withColumn("share", F.lit(None).cast("double"))
+    # HyperLogLog pre-check: a column with clearly more categories needs no
+    # exact value counts (for small counts the sketch is near exact; the
+    # exact check below decides the borderline cases)
+    if df.agg(F.approx_count_distinct(_c(col)).alias("d")).first()["d"] > 2 * max_categories:
+        return empty
     n_levels = vc.limit(max_categories + 1).count()
     if n_levels > max_categories:
-        return vc.limit(0).withColumn("share", F.lit(None).cast("double"))
+        return empty
     total = df.agg(F.count(_c(col)).alias("n")).first()["n"]
     return vc.withColumn("share", F.col("count") / F.lit(total))
 

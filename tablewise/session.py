@@ -95,9 +95,10 @@ _WRITTEN: dict[str, list[str]] = {}
 _CACHED: dict[str, list[DataFrame]] = {}
 
 
-def cache_small(df: DataFrame) -> DataFrame:
-    """Cache a small helper table (e.g. one row per quantile target) and
-    remember it so ``release_materialized`` can unpersist it."""
+def cache_tracked(df: DataFrame) -> DataFrame:
+    """Cache a helper table reused by several jobs of one operator (e.g. one
+    row per quantile target) and remember it, so ``release_materialized`` can
+    unpersist it.  Cached blocks lost with an executor are recomputed."""
     out = df.cache()
     _CACHED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(out)
     return out
@@ -105,7 +106,7 @@ def cache_small(df: DataFrame) -> DataFrame:
 
 def release_materialized(spark: SparkSession) -> int:
     """Delete the tables ``materialize`` wrote and unpersist the helper tables
-    ``cache_small`` cached for this application (call when the frames derived
+    ``cache_tracked`` cached for this application (call when the frames derived
     from them are no longer needed).  Returns the number of written tables."""
     for cached in _CACHED.pop(spark.sparkContext.applicationId, []):
         cached.unpersist()
