@@ -283,7 +283,14 @@ def _bins_for(n: int) -> int:
     return min(HIST_MAX_BINS, max(HIST_MIN_BINS, int(math.sqrt(n))))
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None, density: bool = False) -> DataFrame:
+def range_stats(df: DataFrame, col: str) -> tuple:
+    """(min, max, non-null count) of one column in one aggregate."""
+    x = _num(df, col)
+    st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    return st["lo"], st["hi"], st["n"]
+
+
+def histogram(df: DataFrame, col: str, bins: int | None = None, density: bool = False, stats: tuple | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed; a constant
     column widens to [v-0.5, v+0.5]); empty bins are present as zeros.
 
@@ -291,7 +298,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, density: bool =
     min(50, max(10, floor(sqrt(n)))).
     """
     x = _num(df, col)
-    st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    lo_, hi_, n_ = stats if stats is not None else range_stats(df, col)
+    st = {"lo": lo_, "hi": hi_, "n": n_}
     spark = df.sparkSession
     if st["n"] == 0:
         return spark.createDataFrame([], "bin int, lo double, hi double, mid double, count long, density double")

@@ -58,7 +58,8 @@ def univariate(df: DataFrame, col: str, tmap: dict[str, str] | None = None) -> d
     tmap = tmap or _types_map(df)
     t = tmap.get(col)
     if t == "numerical":
-        return {"histogram": S.histogram(df, col), "density": S.histogram(df, col, bins=S.DENSITY_BINS, density=True)}
+        st = S.range_stats(df, col)  # one min/max/count pass for both charts
+        return {"histogram": S.histogram(df, col, stats=st), "density": S.histogram(df, col, bins=S.DENSITY_BINS, density=True, stats=st)}
     if t in ("categorical", "boolean"):
         return {"value_counts": P.value_counts(df, col)}
     if t == "datetime":
