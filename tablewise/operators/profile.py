@@ -401,14 +401,14 @@ def planning_metadata(df: DataFrame, approx: bool = False) -> DataFrame:
     out = types_df.filter(F.col("type") != "high_cardinality")
     if num_cols:
         ns = numeric_summary(df, num_cols, with_quartiles=False).select("column", "min", "max", "mean")
-        out = out.join(ns, "column", "left")
+        out = out.join(F.broadcast(ns), "column", "left")  # one row per column
     else:
         out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean")])
     if cat_cols:
         sv = sample_values(df, cat_cols).groupBy("column").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
         )
-        out = out.join(sv, "column", "left")
+        out = out.join(F.broadcast(sv), "column", "left")  # one row per column
     else:
         out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
     return out.select("column", "ord", "type", "non_null", "unique", "min", "max", "mean", "sample_values")
