@@ -256,7 +256,8 @@ def chart_records(plan: DataFrame) -> DataFrame:
 
 
 def visualize(df: DataFrame) -> dict:
-    """The chart step end to end: types, rule plan, per-chart datasets, summary."""
+    """The chart step end to end: types, rule plan, per-chart datasets (each a
+    dict of named small DataFrames), statistical summary."""
     types_df = P.column_types(df)
     tmap = _types_map(df, types_df)
     plan = rule_plan(df, types_df)
@@ -265,9 +266,10 @@ def visualize(df: DataFrame) -> dict:
         if it["kind"] == "univariate":
             data = univariate(df, it["x"], tmap)
         elif it["kind"] == "bivariate":
-            data = bivariate(df, it["x"], it["y"], tmap)[1]
+            kind, frame = bivariate(df, it["x"], it["y"], tmap)
+            data = {kind: frame}
         else:
-            data = heatmap(df)
+            data = {"heatmap": heatmap(df)}
         charts.append((it, data))
     return {"column_types": types_df, "plan": plan, "charts": charts, "statistical_summary": P.statistical_summary(df)}
 

@@ -72,3 +72,15 @@ def test_insight_sentences(spark):
     assert recs == 3
     summary = res["executive_summary"].first().text
     assert summary.startswith("This dataset (100 rows × 3 cols)")
+
+
+def test_visualize_end_to_end(spark):
+    df = _frame(spark)
+    out = V.visualize(df)
+    plan = out["plan"].orderBy("ord").collect()
+    assert len(out["charts"]) == len(plan)
+    for item, data in out["charts"]:
+        assert isinstance(data, dict) and data
+        for frame in data.values():
+            assert frame.count() >= 0
+    assert set(out["statistical_summary"]) >= {"numerical", "missing_values", "shape"}
