@@ -26,3 +26,18 @@ def test_small_tables(spark, rows):
     assert V.rule_plan(df).count() >= 0
     res = I.analyze(df)
     assert res["insights"].first().text.startswith(f"The dataset contains {len(rows)} rows")
+
+
+def test_mode_fill_for_bool_timestamp_date(spark):
+    import datetime as dt
+
+    rows = [
+        (True, dt.datetime(2024, 1, 2, 3, 4, 5), dt.date(2024, 1, 2)),
+        (True, dt.datetime(2024, 1, 2, 3, 4, 5), dt.date(2024, 1, 2)),
+        (False, dt.datetime(2023, 5, 6, 0, 0, 0), dt.date(2023, 5, 6)),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "b boolean, ts timestamp, d date")
+    out = C.impute(df, "mean").collect()
+    assert out[3].b is True and out[3].ts == dt.datetime(2024, 1, 2, 3, 4, 5) and out[3].d == dt.date(2024, 1, 2)
+    assert dict(C.impute(df, "mean").dtypes) == {"b": "boolean", "ts": "timestamp", "d": "date"}
