@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions.exprs import json_safe
 from tablewise.operators.clean import _c
@@ -17,8 +18,15 @@ def json_safe_frame(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """K1: CSV with a header row, no index column."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """K1: CSV with a header row, no index column.  Array / map / struct
+    columns (which CSV cannot hold) are written as JSON text."""
+    flat = df.select(
+        *[
+            F.to_json(_c(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else _c(f.name)
+            for f in df.schema.fields
+        ]
+    )
+    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path
 
 

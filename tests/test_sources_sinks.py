@@ -111,3 +111,14 @@ def test_csv_orders_clean_mean_has_no_nulls_and_price_stays_text(spark, tmp_dir)
     assert dict(out.dtypes)["Price"] == "string"
     nulls = out.select([F.count_if(F.col(c).isNull()).alias(c) for c in out.columns]).first()
     assert all(v == 0 for v in nulls)
+
+
+def test_csv_sink_writes_nested_columns_as_json(spark, tmp_dir):
+    from tests.conftest import SF001
+
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    out = os.path.join(tmp_dir, "emb_csv")
+    SK.write_csv(emb, out)
+    back = SR.read_csv(spark, out)
+    assert back.count() == emb.count()
+    assert back.first().embedding.startswith("[")
