@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tablewise.llm import hyper_shards, mix_weights, url_digest
+from tablewise.llm import bestfit_swap, hyper_shards, mix_weights, simhash_blocks, url_digest
 
 QUERIES = {
     "op2_mix_weights": mix_weights.query,
+    "op4_simhash_blocks": simhash_blocks.query,
+    "op6_bestfit_swap": bestfit_swap.query,
     "op8_url_digest": url_digest.query,
     "op10_hyper_shards": hyper_shards.query,
 }
