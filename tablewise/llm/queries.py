@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tablewise.llm import bestfit_swap, hyper_shards, mix_weights, simhash_blocks, url_digest
+from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, mix_weights, simhash_blocks, url_digest
 
 QUERIES = {
+    "op1_ann_block": ann_block.query,
     "op2_mix_weights": mix_weights.query,
     "op4_simhash_blocks": simhash_blocks.query,
     "op6_bestfit_swap": bestfit_swap.query,
     "op8_url_digest": url_digest.query,
+    "op9_embed_pigeonhole": embed_pigeonhole.query,
     "op10_hyper_shards": hyper_shards.query,
 }
 SQL = {
+    "op1_ann_block": ann_block.SQL,
     "op8_url_digest": url_digest.SQL,
+    "op9_embed_pigeonhole": embed_pigeonhole.SQL,
 }
