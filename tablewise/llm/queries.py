@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, mix_weights, simhash_blocks, url_digest
+from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, secret_grammar, simhash_blocks, url_digest
 
 QUERIES = {
     "op1_ann_block": ann_block.query,
     "op2_mix_weights": mix_weights.query,
+    "op3_lang_rank": lang_rank.query,
     "op4_simhash_blocks": simhash_blocks.query,
+    "op5_secret_grammar": secret_grammar.query,
     "op6_bestfit_swap": bestfit_swap.query,
     "op8_url_digest": url_digest.query,
     "op9_embed_pigeonhole": embed_pigeonhole.query,
