@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, secret_grammar, simhash_blocks, url_digest
+from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, secret_grammar, simhash_blocks, suffix_dedup, url_digest
 
 QUERIES = {
     "op1_ann_block": ann_block.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_blocks": simhash_blocks.query,
     "op5_secret_grammar": secret_grammar.query,
     "op6_bestfit_swap": bestfit_swap.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_url_digest": url_digest.query,
     "op9_embed_pigeonhole": embed_pigeonhole.query,
     "op10_hyper_shards": hyper_shards.query,
