@@ -104,38 +104,56 @@ def _order_key(c: Column, dt: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def zero_unsigned(c: Column, dt: T.DataType) -> Column:
+    """-0.0 and 0.0 are one value (pandas and SQL agree; their texts differ)."""
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
+    return c
+
+
 def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, value string, okey double, count)`` for every non-null value.
 
     One Expand + one hash aggregate (partial counts map-side, so a value that
-    holds a third of all rows is pre-combined before the shuffle).
+    holds a third of all rows is pre-combined before the shuffle).  The order
+    key is part of the group: two instants that read alike in the session zone
+    (the hour a clock is set back) stay two values.
     """
     types = _types(df)
-    structs = [
-        F.struct(
-            _c(c).cast("string").alias("s"), _order_key(_c(c), types[c]).alias("k")
-        ).alias(c)
-        for c in cols
-    ]
+    structs = []
+    for c in cols:
+        x = zero_unsigned(_c(c), types[c])
+        structs.append(F.struct(x.cast("string").alias("s"), _order_key(x, types[c]).alias("k")).alias(c))
     named = list(zip(cols, structs))
     long = long_form(df, named, translate=False).filter(F.col("__cell.s").isNotNull())
-    vc = long.groupBy("column", F.col("__cell.s").alias("value")).agg(
-        F.max("__cell.k").alias("okey"), F.count("*").alias("count")
-    )
-    return vc.withColumn("column", name_of(named)(F.col("column")))
+    vc = long.groupBy("column", F.col("__cell.s").alias("value"), F.col("__cell.k").alias("okey")).agg(F.count("*").alias("count"))
+    return vc.select(name_of(named)(F.col("column")).alias("column"), "value", "okey", "count")
 
 
-def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent value per column (smallest on ties), as text; None if all-null."""
-    cols = list(cols)
+def _modes(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
+    """column -> (text, order key) of its most frequent value (smallest on ties)."""
     if not cols:
         return {}
-    vc = value_counts_long(df, cols)
-    best = vc.groupBy("column").agg(
+    best = value_counts_long(df, cols).groupBy("column").agg(
         F.min(F.struct((-F.col("count")).alias("nc"), F.col("okey"), F.col("value"))).alias("b")
     )
-    got = {r["column"]: r["value"] for r in best.select("column", "b.value").collect()}
-    return {c: got.get(c) for c in cols}
+    return {r["column"]: (r["value"], r["okey"]) for r in best.select("column", "b.value", "b.okey").collect()}
+
+
+def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
+    """Most frequent value per column (smallest on ties), as text; None if all-null."""
+    got = _modes(df, list(cols))
+    return {c: got[c][0] if c in got else None for c in cols}
+
+
+def mode_literals(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """Most frequent value per column as a typed literal; all-null columns are left out.
+    Instants come from their microseconds, not from a text in the session zone."""
+    types = _types(df)
+    out = {}
+    for c, (text, okey) in _modes(df, list(cols)).items():
+        out[c] = F.timestamp_micros(F.lit(int(okey))) if isinstance(types[c], T.TimestampType) else F.lit(text).cast(types[c])
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -190,9 +208,7 @@ def _impute(df: DataFrame, strategy: str, approx: bool, extra_aggs: Sequence[Col
         for r in q.select("column", "value").collect():
             fills[r["column"]] = F.lit(r["value"]).cast("double")
     mode_cols = [n for n in need if nonnull[n] > 0 and (n not in numeric or strategy == "mode")]
-    for n, v in modes(df, mode_cols).items():
-        if v is not None:
-            fills[n] = F.lit(v).cast(types[n])
+    fills |= mode_literals(df, mode_cols)
     for n in need:
         if nonnull[n] == 0 and isinstance(types[n], T.StringType):
             fills[n] = F.lit(UNKNOWN)
@@ -230,12 +246,22 @@ def dedupe(df: DataFrame) -> DataFrame:
 
     Spark plans this as a hash aggregate on all columns with map-side partial
     aggregation, so a heavily repeated row is collapsed before the shuffle.
-    Map columns cannot be grouped; they are rejected with a clear message.
+    Map columns compare by their sorted entries.
     """
-    bad = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
-    if bad:
-        raise TypeError(f"cannot de-duplicate on map columns: {bad}")
-    return df.dropDuplicates()
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return df.dropDuplicates()
+    keys = [_map_key(f).alias(f"__k{i}") for i, f in enumerate(df.schema.fields)]
+    firsts = [F.first(_c(f.name)).alias(f"__v{i}") for i, f in enumerate(df.schema.fields)]
+    grouped = df.groupBy(*keys).agg(*firsts)
+    return grouped.select(*[F.col(f"__v{i}").alias(f.name) for i, f in enumerate(df.schema.fields)])
+
+
+def _map_key(f: T.StructField) -> Column:
+    """What a column is grouped by: a map as its sorted entries, anything else as it is."""
+    if isinstance(f.dataType, T.MapType):
+        return F.sort_array(F.map_entries(_c(f.name)))
+    return _c(f.name)
 
 
 def duplicate_stats(df: DataFrame) -> DataFrame:
@@ -243,7 +269,7 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
 
     A single shuffle: group by the whole row, then a global sum.
     """
-    cols = [_c(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    cols = [_map_key(f).alias(f"__k{i}") for i, f in enumerate(df.schema.fields)]
     grouped = df.groupBy(*cols).agg(F.count("*").alias("__n"))
     return grouped.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
@@ -271,6 +297,7 @@ def numeric_text_plan(df: DataFrame, cols: Sequence[str] | None = None) -> dict[
     for i, n in enumerate(text):
         c = _c(n)
         blank = c.isNull() | (F.trim(c) == "")
+        aggs.append(F.count(c).alias(f"nn_{i}"))
         aggs.append(F.count_if(~blank & ~c.rlike(STRICT_NUMBER_REGEX)).alias(f"bad_{i}"))
         aggs.append(
             F.count_if(blank | ~c.rlike(INTEGER_REGEX) | F.trim(c).try_cast("bigint").isNull()).alias(
@@ -280,7 +307,7 @@ def numeric_text_plan(df: DataFrame, cols: Sequence[str] | None = None) -> dict[
     row = df.agg(*aggs).first()
     plan = {}
     for i, n in enumerate(text):
-        if row[f"bad_{i}"] == 0:
+        if row[f"nn_{i}"] > 0 and row[f"bad_{i}"] == 0:
             plan[n] = "bigint" if row[f"nonint_{i}"] == 0 else "double"
     return plan
 

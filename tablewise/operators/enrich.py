@@ -12,15 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.functions.exprs import is_numeric_type, latin1_safe, standardize_text
+from tablewise.functions.exprs import is_numeric_type, latin1_safe, nan_to_null, standardize_text
 from tablewise.operators.clean import _c, _types
-from tablewise.operators.quantiles import BROADCAST_TARGET_ROWS
+from tablewise.operators.quantiles import broadcastable
 from tablewise.operators.stats import iqr_bounds, _num
-from tablewise.session import cache_tracked, materialize, ship_package
+from tablewise.session import materialize, ship_package
 
 BATCH_SIZE = 30
 ROW_GATE = 500
@@ -78,18 +78,15 @@ def enrich_batches(
         return res
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: list[pd.DataFrame] = []
-        held = 0
+        rest: pd.DataFrame | None = None
         for pdf in batches:
-            pending.append(pdf)
-            held += len(pdf)
-            while held >= batch_size:
-                buf = pd.concat(pending, ignore_index=True)
-                yield run(buf.iloc[:batch_size])
-                rest = buf.iloc[batch_size:]
-                pending, held = ([rest] if len(rest) else []), len(rest)
-        if held:
-            yield run(pd.concat(pending, ignore_index=True))
+            buf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            whole = len(buf) - len(buf) % batch_size
+            for s in range(0, whole, batch_size):
+                yield run(buf.iloc[s : s + batch_size])
+            rest = buf.iloc[whole:] if whole < len(buf) else None
+        if rest is not None:
+            yield run(rest)
 
     return df.mapInPandas(per_partition, full)
 
@@ -104,13 +101,14 @@ def enrich_or_fallback(
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str | None = None,
     batch_size: int = BATCH_SIZE,
-    max_rows: int | None = ROW_GATE,
+    max_rows: int | None = None,
 ) -> tuple[DataFrame, bool, str]:
     """Enrich, or return ``df`` unchanged if ANY batch failed.
 
     Returns ``(frame, enhanced, message)``.  The enriched result is
     checkpointed before the all-ok check so ``fn`` runs once per chunk.
-    ``max_rows`` applies the R9 gate (None disables it).
+    Tables of any size are enriched; a caller with a row budget passes
+    ``max_rows`` (R9 gate, e.g. ``ROW_GATE``).
     """
     if max_rows is not None and not row_gate(df, max_rows):
         return df, False, f"more than {max_rows} rows: rule-based result"
@@ -126,35 +124,57 @@ def enrich_or_fallback(
 # E2  reply parsing
 # ---------------------------------------------------------------------------
 
-ARRAY_PATTERN = r"(\[[\s\S]*\])"
-OBJECT_PATTERN = r"(\{[\s\S]*\})"
+FENCE = r"```[A-Za-z0-9_-]*\s*([\s\S]*?)```"
+BRACKETS = {"array": ("[", "]"), "object": ("{", "}")}
 
 
-def parse_reply(df: DataFrame, col: str, schema: T.StructType | str, kind: str = "array", keep: Sequence[str] = ()) -> DataFrame:
-    """Text reply -> rows.  Takes the outermost ``[...]`` (or ``{...}``),
-    which also strips a code fence, parses it with ``schema`` (the element
-    struct) and returns one row per element, next to the ``keep`` columns.
-    Unparsable replies give no rows (``parse_ok`` false, see ``reply_ok``)."""
+def _outermost(text: Column, kind: str) -> Column:
+    """From the first opening bracket to the last closing one (NULL if there is no such pair)."""
+    left, right = BRACKETS[kind]
+    start = F.locate(left, text)
+    stop = F.length(text) - F.locate(right, F.reverse(text)) + 1
+    return F.when((start > 0) & (F.locate(right, text) > 0) & (stop >= start), F.substring(text, start, stop - start + 1))
+
+
+def reply_body(reply: Column, kind: str = "array") -> Column:
+    """The JSON text of a reply (NULL if there is none): the body of a code fence if it holds
+    valid JSON of the wanted kind, else the outermost brackets of the fence, else those of the
+    whole reply - so brackets in the prose around a fence do no harm."""
+    fenced = F.regexp_extract(reply, FENCE, 1)
+
+    def valid(text: Column) -> Column:
+        t = F.trim(text)
+        return F.when(t.startswith(BRACKETS[kind][0]) & F.get_json_object(t, "$").isNotNull(), t)
+
+    return F.coalesce(valid(fenced), valid(_outermost(fenced, kind)), valid(_outermost(reply, kind)))
+
+
+def parse_reply(df: DataFrame, col: str, schema: T.StructType | str, kind: str = "array", keep: Sequence[str] = (), position: str | None = None) -> DataFrame:
+    """Text reply -> rows, parsed with ``schema`` (the element struct), next to
+    the ``keep`` columns: one row per element of an array reply, one row per
+    object reply.
+
+    A reply without valid JSON gives no row (``reply_ok`` tells which).  A field that
+    is missing, null or of another type is NULL in its row; the row stays.
+    ``position`` names a column for the element's place in its array.
+    """
     elem = _as_struct(schema)
-    pattern = ARRAY_PATTERN if kind == "array" else OBJECT_PATTERN
-    body = F.regexp_extract(_c(col), pattern, 1)
+    body = reply_body(_c(col), kind)
+    rows = df.select(*[_c(k) for k in keep], body.alias("__body")).filter(F.col("__body").isNotNull())
     if kind == "array":
-        parsed = F.from_json(body, T.ArrayType(elem))
-        return df.select(*[_c(k) for k in keep], F.inline_outer(parsed)).filter(
-            F.coalesce(*[F.col(f.name).isNotNull() for f in elem.fields], F.lit(False))
-            | F.lit(len(elem.fields) == 0)
-        )
-    parsed = F.from_json(body, elem)
-    return df.select(*[_c(k) for k in keep], parsed.alias("__o")).select(*[_c(k) for k in keep], "__o.*")
+        parsed = F.from_json("__body", T.ArrayType(elem))
+        rows = rows.select(*[_c(k) for k in keep], F.posexplode(parsed).alias("__pos", "__o"))
+    else:
+        rows = rows.select(*[_c(k) for k in keep], F.lit(0).alias("__pos"), F.from_json("__body", elem).alias("__o"))
+    fields = [F.col("__o")[f.name].alias(f.name) for f in elem.fields]
+    return rows.select(*[_c(k) for k in keep], *([F.col("__pos").alias(position)] if position else []), *fields)
 
 
 def reply_ok(df: DataFrame, col: str, schema: T.StructType | str, kind: str = "array") -> DataFrame:
     """Per-row flag: does the reply parse (feeds the E3 decision)."""
     elem = _as_struct(schema)
-    pattern = ARRAY_PATTERN if kind == "array" else OBJECT_PATTERN
-    body = F.regexp_extract(_c(col), pattern, 1)
     target = T.ArrayType(elem) if kind == "array" else elem
-    ok = ~F.trim(_c(col)).startswith(ERROR_PREFIX) & F.from_json(body, target).isNotNull()
+    ok = ~F.trim(_c(col)).startswith(ERROR_PREFIX) & F.from_json(reply_body(_c(col), kind), target).isNotNull()
     return df.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
 
 
@@ -186,14 +206,16 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
     """E5: fill ``col`` from the row's group (mean for numbers, mode otherwise),
     else from the whole column.  Rows whose group key is NULL use the global
     value.  The per-group table is one aggregate (partial-combined, so a hot
-    group costs one row per partition) and is broadcast only when its row
-    count is within a fixed bound; otherwise it is a shuffle join (AQE splits
+    group costs one row per partition) and is broadcast only when its measured
+    size is within a fixed bound; otherwise it is a shuffle join (AQE splits
     skewed partitions)."""
     orig_keys = [by] if isinstance(by, str) else list(by)
     keys = [f"__k{i}" for i in range(len(orig_keys))]
     original = df
-    df = df.select("*", *[_c(k).alias(s) for k, s in zip(orig_keys, keys)])
     dt = _types(df)[col]
+    # NaN is missing here as everywhere
+    df = df.select(*[nan_to_null(_c(n), t).alias(n) if n == col else _c(n) for n, t in _types(df).items()])
+    df = df.select("*", *[_c(k).alias(s) for k, s in zip(orig_keys, keys)])
     numeric = is_numeric_type(dt)
     if stat not in ("mean", "mode"):
         raise ValueError("stat must be 'mean' or 'mode'")
@@ -204,7 +226,7 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
         fill_type = "double"
     else:
         vc = df.filter(_c(col).isNotNull()).groupBy(*keys, _c(col).alias("__x")).agg(F.count("*").alias("__n"))
-        vc = cache_tracked(vc)  # per (group, value) counts: both modes come from it
+        vc = materialize(vc)  # per (group, value) counts, which grow with the table: both modes come from it
         grp = vc.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__x").alias("v"))).alias("__m")).select(
             *keys, F.col("__m.v").alias("__g")
         )
@@ -218,8 +240,7 @@ def impute_by_group(df: DataFrame, col: str, by: str | Sequence[str], stat: str
         fill_type = dt
     for k in keys:
         grp = grp.filter(F.col(k).isNotNull())
-    n_groups = grp.count()
-    small = F.broadcast(grp) if n_groups <= BROADCAST_TARGET_ROWS else grp
+    small = F.broadcast(grp) if broadcastable(grp, [*keys, "__g"]) else grp
     j = df.join(small, keys, "left")
     base = _c(col).cast("double") if (numeric and stat == "mean") else _c(col)
     filled = F.coalesce(base, F.col("__g").cast(fill_type), F.lit(glob).cast(fill_type))

@@ -2,9 +2,9 @@
 
 Two shared building blocks keep the job count flat in the number of columns:
 
-* ``numeric_summary`` - ONE aggregate over all numeric columns (count, nulls,
-  mean, std, min, max, corrected skew/kurtosis), turned into a long table with
-  an in-plan explode (no driver round trip), joined to distributed quantiles.
+* ``numeric_summary`` - ONE long-form aggregate over all numeric columns (count,
+  nulls, mean, std, min, max, corrected skew/kurtosis; one scan however many
+  columns), joined to distributed quantiles.
 * ``value_counts_long`` (in ``clean``) - ONE Expand + hash aggregate giving
   (column, value, count) for every column; distinct counts, modes, top-k and
   categorical profiles are all small aggregates over it.  Top-k uses a window
@@ -27,10 +27,10 @@ from tablewise.functions.exprs import (
     is_scalar_type,
     nan_to_null,
 )
-from tablewise.operators.clean import _c, _types, date_text_plan, nan_to_null_all, value_counts_long
+from tablewise.operators.clean import _c, _types, date_text_plan, nan_to_null_all, value_counts_long, zero_unsigned
 from tablewise.operators.quantiles import quantiles_wide
+from tablewise.session import cache_tracked
 
-MOMENT_CHUNK = 2
 SEMANTIC_TYPES = ["numerical", "categorical", "datetime", "boolean", "high_cardinality"]
 
 
@@ -120,54 +120,26 @@ def numeric_summary(
     num = [n for n in (cols or types) if is_numeric_type(types[n])]
     if not num:
         raise ValueError("no numeric columns")
-    x = {n: nan_to_null(_c(n).cast("double"), types[n]) for n in num}
-    # Skewness / kurtosis keep several moment buffers each; one aggregate over
-    # many columns outgrows whole-stage codegen (measured ~4x slower), so the
-    # columns are aggregated in chunks whose long rows are unioned - still one
-    # job, and each branch scans only its own columns.
-    parts = []
-    for start in range(0, len(num), MOMENT_CHUNK):
-        chunk = list(enumerate(num))[start : start + MOMENT_CHUNK]
-        aggs = []
-        for i, n in chunk:
-            c = x[n]
-            aggs += [
-                F.count(c).alias(f"cnt{i}"),
-                F.count_if(c.isNull()).alias(f"nul{i}"),
-                F.avg(c).alias(f"avg{i}"),
-                F.stddev_samp(c).alias(f"std{i}"),
-                F.min(c).alias(f"min{i}"),
-                F.max(c).alias(f"max{i}"),
-                F.sum(c).alias(f"sum{i}"),
-                corrected_skewness(c).alias(f"sk{i}"),
-                corrected_kurtosis(c).alias(f"ku{i}"),
-            ]
-        agg = df.agg(*aggs)
-        parts.append(
-            agg.select(
-                _explode_rows(
-                    [
-                        F.struct(
-                            F.lit(n).alias("column"),
-                            F.lit(i).alias("ord"),
-                            F.col(f"cnt{i}").alias("count"),
-                            F.col(f"nul{i}").alias("nulls"),
-                            F.col(f"avg{i}").alias("mean"),
-                            F.col(f"std{i}").alias("std"),
-                            F.col(f"min{i}").alias("min"),
-                            F.col(f"max{i}").alias("max"),
-                            F.col(f"sum{i}").alias("sum"),
-                            F.col(f"sk{i}").alias("skewness"),
-                            F.col(f"ku{i}").alias("kurtosis"),
-                        )
-                        for i, n in chunk
-                    ]
-                )
-            ).select("__r.*")
+    # long form: one scan and one set of moment buffers, however many columns
+    cell = [F.struct(F.lit(i).alias("ord"), nan_to_null(_c(n).cast("double"), types[n]).alias("v")) for i, n in enumerate(num)]
+    v = F.col("v")
+    long = (
+        df.select(F.explode(F.array(*cell)).alias("__r")).select("__r.*").groupBy("ord").agg(
+            F.count(v).alias("count"),
+            F.count_if(v.isNull()).alias("nulls"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.sum(v).alias("sum"),
+            corrected_skewness(v).alias("skewness"),
+            corrected_kurtosis(v).alias("kurtosis"),
         )
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+    )
+    names = df.sparkSession.createDataFrame(list(enumerate(num)), "ord int, column string")  # one row per column
+    long = names.join(long, "ord", "left").select(
+        "column", "ord", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("count", "nulls")], "mean", "std", "min", "max", "sum", "skewness", "kurtosis"
+    )
     if not with_quartiles:
         return long
     q = quantiles_wide(df, num, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx=approx)
@@ -176,7 +148,10 @@ def numeric_summary(
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, 25%, 50%, 75%, max per numeric column, rounded 4."""
-    s = numeric_summary(df, cols, approx=approx)
+    return _described(numeric_summary(df, cols, approx=approx))
+
+
+def _described(s: DataFrame) -> DataFrame:
     r = lambda c: F.round(F.col(c), 4).alias(c)
     return s.select(
         "column", "ord", F.col("count").cast("double").alias("count"),
@@ -209,15 +184,16 @@ def _scalar_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A2: (column, ord, unique) - distinct non-null values per column.
 
-    One single-column ``count(DISTINCT c)`` aggregate per column, unioned into
-    one job: each branch scans only its column and shuffles its distinct
-    values after a map-side distinct.  (Spark's rewrite of many distinct
-    aggregates in ONE aggregate expands every row into one wide row per
-    column; measured 3x slower.)  ``approx=True`` uses HyperLogLog sketches in
-    a single aggregate instead (no shuffle of values).
+    One scan for any number of columns: every cell becomes (column, 128-bit hash),
+    distinct map side before the shuffle, so long texts never travel.
+    ``approx=True`` uses HyperLogLog sketches in a single aggregate instead (no
+    shuffle of values).
     """
+    types = _types(df)
     cols = _scalar_cols(df, cols)
     df = nan_to_null_all(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, ord int, unique long")
     if approx:
         agg = df.agg(*[F.approx_count_distinct(_c(n)).alias(f"u{i}") for i, n in enumerate(cols)])
         return agg.select(
@@ -225,16 +201,13 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
                 [F.struct(F.lit(n).alias("column"), F.lit(i).alias("ord"), F.col(f"u{i}").cast("long").alias("unique")) for i, n in enumerate(cols)]
             )
         ).select("__r.*")
-    parts = [
-        df.agg(F.count_distinct(_c(n)).cast("long").alias("unique")).select(
-            F.lit(n).alias("column"), F.lit(i).alias("ord"), "unique"
-        )
-        for i, n in enumerate(cols)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    cells = []
+    for i, n in enumerate(cols):
+        c = zero_unsigned(_c(n), types[n])
+        cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("ord"), F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"))))
+    found = df.select(F.explode(F.array_compact(F.array(*cells))).alias("__r")).select("__r.*").distinct().groupBy("ord").agg(F.count("*").alias("unique"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "ord int, column string")  # one row per column
+    return names.join(found, "ord", "left").select("column", "ord", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -249,24 +222,24 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 20, width: int | None = None) -> DataFrame:
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 20, width: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Per column the k most frequent values (ties: smallest value).
 
     Returns (column, rank, value, count).  ``width`` cuts the value text.
     """
     cols = _scalar_cols(df, cols)
-    vc = value_counts_long(nan_to_null_all(df), cols)
+    vc = counts if counts is not None else value_counts_long(nan_to_null_all(df), cols)
     w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("okey"), F.asc("value"))
     top = vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     value = F.col("value") if width is None else F.substring("value", 1, width)
     return top.select("column", "rank", value.alias("value"), "count")
 
 
-def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """P10: non-numeric columns -> (column, unique, top_value, top_count)."""
     types = _types(df)
     cols = [n for n in _scalar_cols(df, cols) if not is_numeric_type(types[n])]
-    vc = value_counts_long(df, cols)
+    vc = counts if counts is not None else value_counts_long(df, cols)
     best = vc.groupBy("column").agg(
         F.count("*").alias("unique"),
         F.min(F.struct((-F.col("count")).alias("nc"), F.col("okey"), F.col("value"))).alias("b"),
@@ -364,15 +337,16 @@ def column_catalog(df: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame, cols: Sequence[str], k: int = 2, width: int = 20) -> DataFrame:
-    """Per column the k smallest distinct values, cut to ``width`` chars.
+    """Per column the k smallest distinct values, cut to ``width`` chars
+    after they were chosen (so two long values with one prefix are both shown).
 
     (The reference shows the first two rows; Spark has no row order, so the
-    smallest two distinct cut values are used - a deterministic choice.)
+    smallest two distinct values are used - a deterministic choice.)
     k global aggregates - the smallest value, then the smallest above it -
     replace a distinct over all values: no shuffle of values, and only k
     values per column reach the driver.
     """
-    cut = {n: F.substring(_c(n).cast("string"), 1, width) for n in cols}
+    text = {n: _c(n).cast("string") for n in cols}
     prev: dict[str, str | None] = {n: None for n in cols}
     rows = []
     for rank in range(1, k + 1):
@@ -380,7 +354,7 @@ def sample_values(df: DataFrame, cols: Sequence[str], k: int = 2, width: int = 2
         if not live:
             break
         aggs = [
-            F.min(cut[n] if rank == 1 else F.when(cut[n] > F.lit(prev[n]), cut[n])).alias(f"m{i}")
+            F.min(text[n] if rank == 1 else F.when(text[n] > F.lit(prev[n]), text[n])).alias(f"m{i}")
             for i, n in enumerate(live)
         ]
         got = df.agg(*aggs).first()
@@ -388,14 +362,14 @@ def sample_values(df: DataFrame, cols: Sequence[str], k: int = 2, width: int = 2
             v = got[f"m{i}"]
             prev[n] = v
             if v is not None:
-                rows.append((n, rank, v))
+                rows.append((n, rank, v[:width]))
     return df.sparkSession.createDataFrame(rows, "column string, rank int, value string")
 
 
 def planning_metadata(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per non-high-cardinality column: type, non-null, unique; min/max/mean
     for numericals; two sample values (cut to 20) for categoricals."""
-    types_df = column_types(df)
+    types_df = column_types(df, approx=approx)
     num_cols = [r["column"] for r in types_df.filter(F.col("type") == "numerical").select("column").collect()]
     cat_cols = [r["column"] for r in types_df.filter(F.col("type") == "categorical").select("column").collect()]
     out = types_df.filter(F.col("type") != "high_cardinality")
@@ -428,8 +402,10 @@ def statistical_summary(df: DataFrame, approx: bool = False) -> dict[str, DataFr
         )
     cat = [n for n, t in types.items() if not is_numeric_type(t) and is_scalar_type(t)]
     if cat:
-        out["categorical"] = categorical_profile(df, cat)
-        out["value_counts"] = top_values(df, cat, k=20)
+        # both come from one table of value counts
+        vc = cache_tracked(value_counts_long(nan_to_null_all(df), cat))
+        out["categorical"] = categorical_profile(df, cat, counts=vc)
+        out["value_counts"] = top_values(df, cat, k=20, counts=vc)
     out["missing_values"] = missing_per_column(df)
     out["shape"] = shape(df)
     return out
@@ -440,8 +416,9 @@ def compact_summary(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]
     types = _types(df)
     out = {"table": table_stats(df)}
     if any(is_numeric_type(t) for t in types.values()):
-        out["numerical"] = describe(df, approx=approx)
-        out["moments"] = skew_kurtosis(df)
+        s = cache_tracked(numeric_summary(df, approx=approx))  # one row per column, used twice
+        out["numerical"] = _described(s)
+        out["moments"] = s.select("column", "ord", F.round("skewness", 4).alias("skewness"), F.round("kurtosis", 4).alias("kurtosis"))
     if any(not is_numeric_type(t) and is_scalar_type(t) for t in types.values()):
         out["categorical"] = categorical_profile(df)
     return out

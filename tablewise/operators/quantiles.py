@@ -2,27 +2,29 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
 one hash map, so a 100 TB column with billions of distinct values would land
-in one task.  ``quantiles(approx=False)`` never needs that map:
-
-1. Long form ``(by..., column, v)`` of the numeric columns (one scan).
-2. Pass 1: per group the row count and a ``percentile_approx`` grid (a
-   bounded-memory sketch, combined partially per partition).
-3. Each target rank (floor/ceil of h = (n-1)*p) gets a bracket [L, H] from
-   the grid, widened by twice the sketch's rank error; edge buckets are left
-   unbounded.
-4. Pass 2: rows below L collapse into ONE NULL-keyed count per target and
-   rows inside the bracket into (value, multiplicity); a running count in
-   value order (NULL first, so it is the rank offset) gives the exact order
-   statistics; the result interpolates linearly between them (pandas /
-   DuckDB ``quantile_cont`` semantics).  A missed bracket is detected for
-   free (no pick) and only that group falls back to exact ``percentile``.
-5. Groups whose bracket would exceed ``max_candidates`` rows (very large
-   groups) take the multi-level path: HyperLogLog sizing, exact
-   ``percentile`` where the distinct count is bounded, and verified
-   brackets narrowed level by level until each holds at most
-   ``max_candidates`` distinct values.
-
-No group ever puts more than ``max_candidates`` values into one task.
+in one task.  ``quantiles(approx=False)`` never needs that map.  One loop serves
+every size:
+
+1. Long form ``(by..., column, v)`` of the numeric columns; one scan gives each
+   group's row count and a ``percentile_approx`` grid (a bounded-memory
+   sketch, combined partially per partition).
+2. Each target rank (floor/ceil of h = (n-1)*p) gets a bracket from its
+   grid, widened by twice the sketch's rank error; edge buckets stay open.
+3. A target whose bracket is expected to hold more than ``max_candidates`` rows
+   goes through one more scan, which at once counts the rows below and inside
+   the bracket (the check) and sketches the rows inside (the next grid).  A
+   bracket that fails its check is widened and goes round again; one that holds
+   is narrowed further.  A bracket that cannot shrink consists of heavy values.
+4. Selection: rows below the bracket collapse into ONE NULL-keyed count per
+   target and rows inside it into (value, multiplicity), both combined map side;
+   a running count in value order gives the exact order statistics,
+   interpolated linearly (pandas / DuckDB ``quantile_cont`` semantics).  A bracket
+   that missed a rank shows as a missing pick; its target is widened and goes
+   round again.
+
+A selection window holds the distinct values of one target's bracket: at most
+about ``max_candidates`` rows, and for brackets of heavy values the few
+values that remain after combining.
 """
 
 from __future__ import annotations
@@ -35,14 +37,12 @@ from pyspark.sql import functions as F
 from tablewise.functions.exprs import nan_to_null
 from tablewise.session import cache_tracked, materialize
 
-GRID_BUCKETS = 1000
-SKETCH_ACCURACY = 10000
-# the one-level bracket path: a coarser sketch is cheaper and its wider
-# brackets (about 1.5% of a group's rows) are still far below the bound
+SKETCH_ACCURACY = 10000  # of approximate quantiles
+# brackets: a coarse sketch is cheap, its brackets hold about 1.5% of the rows
 BRACKET_BUCKETS = 200
 BRACKET_ACCURACY = 2000
-MAX_LEVELS = 6
-BROADCAST_TARGET_ROWS = 2_000_000
+# a helper table is broadcast up to this many bytes (rows and key text measured)
+BROADCAST_BYTES = 64 << 20
 
 
 def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), translate: bool = True) -> DataFrame:
@@ -56,11 +56,17 @@ def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), tra
     return long_form(df, named, ids=[_c(b) for b in by], val="__v", translate=translate).filter(F.col("__v").isNotNull())
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], small_rows: int) -> DataFrame:
-    """Join a large frame to a small one; broadcast only under a counted bound."""
-    if small_rows <= BROADCAST_TARGET_ROWS:
-        return big.join(F.broadcast(small), on)
-    return big.join(small, on)
+def broadcastable(df: DataFrame, text: Sequence[str] = ()) -> bool:
+    """Is this helper table small enough to broadcast?  Rows count 64 bytes each
+    plus the text of the ``text`` columns (four bytes a character)."""
+    size = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in text), F.lit(0))
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("chars")).first()
+    return 64 * r["n"] + 4 * r["chars"] <= BROADCAST_BYTES
+
+
+def _join_small(big: DataFrame, small: DataFrame, on: list[str], fits: bool) -> DataFrame:
+    """Join a large frame to a small one; broadcast only under a measured bound."""
+    return big.join(F.broadcast(small) if fits else small, on)
 
 
 def quantiles(
@@ -113,55 +119,111 @@ def _quantiles_internal(df, cols, probs, by, approx, accuracy, max_candidates) -
             *keys, "n", F.explode(F.arrays_zip(probs_col.alias("p"), F.col("qs").alias("q"))).alias("__z")
         ).select(*keys, F.col("__z.p").alias("p"), F.col("__z.q").cast("double").alias("value"), "n")
 
-    bracketed = _bracket_path(long, keys, probs, accuracy, max_candidates)
-    if bracketed is not None:
-        return bracketed
-    return _refine_path(long, keys, probs, accuracy, max_candidates)
+    return _exact(long, keys, probs, max_candidates)
+
+
+def _bracketed(tgt: DataFrame) -> DataFrame:
+    """Add ``__blo``/``__bhi`` (NULL = open), the rows expected inside and whether
+    the bracket is narrower than the range ``[__lo, __hi]`` its grid describes."""
+    nb = BRACKET_BUCKETS
+    m, lo, hi = F.col("__m"), F.col("__lo"), F.col("__hi")
+    slack = (F.ceil(m / F.lit(BRACKET_ACCURACY)) * 2 + 2) * F.col("__wide")
+    i_lo = F.greatest(F.lit(0), F.floor((F.col("__klo") - F.col("__base") - slack) / m * nb)).cast("int")
+    i_hi = F.least(F.lit(nb), F.ceil((F.col("__khi") - F.col("__base") + 1 + slack) / m * nb)).cast("int")
+    blo = F.when(i_lo > 0, F.element_at("__grid", i_lo + 1)).otherwise(lo)
+    bhi = F.when(i_hi < nb, F.element_at("__grid", i_hi + 1)).otherwise(hi)
+    return tgt.withColumns(
+        {
+            "__blo": blo,
+            "__bhi": bhi,
+            "__est": (i_hi - i_lo) / F.lit(nb) * m + slack * 2,
+            "__shrinks": ~(blo.eqNullSafe(lo) & bhi.eqNullSafe(hi)),
+        }
+    )
 
 
-def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_candidates: int) -> DataFrame | None:
-    """Two passes: (1) count + percentile_approx grid per group; (2) rows below
-    each target's bracket collapse into one NULL-keyed count, rows inside it
-    into (value, count); a running count gives the exact order statistics.
+def _in(v, lo: str, hi: str):
+    return (F.col(lo).isNull() | (v >= F.col(lo))) & (F.col(hi).isNull() | (v <= F.col(hi)))
 
-    Returns None when some bracket would hold more than ``max_candidates``
-    rows (very large groups); those go through the multi-level refinement.
-    A bracket that misses its ranks (the sketch's error bound makes this a
-    should-not-happen case) falls back to exact ``percentile`` for that group.
-    """
-    probs_col = F.array(*[F.lit(float(p)) for p in probs])
-    nb, acc = BRACKET_BUCKETS, BRACKET_ACCURACY
-    grid = F.array(*[F.lit(i / nb) for i in range(nb + 1)])
-    sk = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", grid, acc).alias("__grid"))
-    n = F.col("n")
-    slack = F.ceil(n / F.lit(acc)) * 2 + 2
-    pos = (n - 1).cast("double") * F.col("p")
-    k_lo, k_hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-    i_lo = F.greatest(F.lit(0), F.floor((k_lo - slack) / n * nb)).cast("int")
-    i_hi = F.least(F.lit(nb), F.ceil((k_hi + 1 + slack) / n * nb)).cast("int")
-    tgt = sk.select(*keys, "n", "__grid", F.explode(probs_col).alias("p")).select(
-        *keys,
-        "n",
-        "p",
-        pos.alias("__pos"),
-        k_lo.alias("__klo"),
-        k_hi.alias("__khi"),
-        F.when(i_lo > 0, F.element_at("__grid", i_lo + 1)).alias("__blo"),
-        F.when(i_hi < nb, F.element_at("__grid", i_hi + 1)).alias("__bhi"),
-        ((i_hi - i_lo) / F.lit(nb) * n + slack * 2).alias("__est"),
+
+def _exact(long: DataFrame, keys: list[str], probs, max_candidates: int) -> DataFrame:
+    grid = F.array(*[F.lit(i / BRACKET_BUCKETS) for i in range(BRACKET_BUCKETS + 1)])
+    v = F.col("__v")
+    sk = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", grid, BRACKET_ACCURACY).alias("__grid"))
+    pos = (F.col("n") - 1).cast("double") * F.col("p")
+    tgt = (
+        sk.select(*keys, "n", "__grid", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+        .withColumns({"__pos": pos, "__klo": F.floor(pos).cast("long"), "__khi": F.ceil(pos).cast("long"), "__m": F.col("n")})
+        .withColumns({"__base": F.lit(0).cast("long"), "__wide": F.lit(1).cast("long"), "__lo": F.lit(None).cast("double"), "__hi": F.lit(None).cast("double")})
     )
-    # one row per group and probability: cached (short lineage, small)
-    tgt = cache_tracked(tgt)
-    summary = tgt.agg(F.count("*").alias("t"), F.count_if(F.col("__est") > max_candidates).alias("big")).first()
-    if summary["big"]:
-        return None
-    n_t = summary["t"]
     tkeys = [*keys, "p"]
-    j = _join_small(long, tgt.select(*tkeys, "__blo", "__bhi"), keys, n_t)
+    state = [*tkeys, "n", "__pos", "__klo", "__khi", "__m", "__base", "__wide", "__lo", "__hi"]
+    done: list[DataFrame] = []
+    level = 0
+    while True:
+        tgt = _bracketed(tgt)
+        # later rounds keep the grid in a stored table; the common single round caches narrow rows
+        held = cache_tracked(tgt.drop("__grid")) if level == 0 else tgt
+        big = (F.col("__est") > max_candidates) & F.col("__shrinks")
+        size = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
+        s = held.agg(F.count("*").alias("t"), F.count_if(big).alias("big"), F.coalesce(F.sum(size), F.lit(0)).alias("chars")).first()
+        fits = 64 * s["t"] + 4 * s["chars"] <= BROADCAST_BYTES
+        ready = held.filter(~big)
+        if s["big"]:
+            if level == 0:
+                tgt = materialize(tgt)
+                ready = tgt.filter(~big)
+            rough = tgt.filter(big)
+            scan = (
+                _join_small(long, rough.select(*tkeys, "__lo", "__hi", "__blo", "__bhi"), keys, fits)
+                .filter(_in(v, "__lo", "__hi"))
+                .groupBy(*tkeys)
+                .agg(
+                    F.count_if(v < F.col("__blo")).alias("__below"),
+                    F.count_if(_in(v, "__blo", "__bhi")).alias("__inside"),
+                    F.percentile_approx(F.when(_in(v, "__blo", "__bhi"), v), grid, BRACKET_ACCURACY).alias("__next"),
+                )
+            )
+            at = F.col("__base") + F.col("__below")
+            holds = (at <= F.col("__klo")) & (F.col("__khi") < at + F.col("__inside"))
+            new = {
+                "__lo": F.when(holds, F.col("__blo")).otherwise(F.col("__lo")),
+                "__hi": F.when(holds, F.col("__bhi")).otherwise(F.col("__hi")),
+                "__base": F.when(holds, at).otherwise(F.col("__base")),
+                "__m": F.when(holds, F.col("__inside")).otherwise(F.col("__m")),
+                "__grid": F.when(holds, F.col("__next")).otherwise(F.col("__grid")),
+                "__wide": F.when(holds, F.lit(1)).otherwise(F.col("__wide") * 4).cast("long"),
+            }
+            narrowed = rough.join(scan, tkeys).select(*[new.get(c, F.col(c)).alias(c) for c in [*state, "__grid"]])
+            after = materialize(narrowed)
+        else:
+            after = None
+        if not s["t"]:  # no group has a value
+            return held.select(*tkeys, F.col("__pos").alias("value"), "n")
+        if s["t"] > s["big"]:
+            res, missed = _select(long, ready, keys, fits)
+            done.append(res)
+            if missed is not None:  # widen these and go round again
+                again = missed.join(sk.select(*keys, "__grid"), keys) if level == 0 and not s["big"] else missed.join(tgt.select(*tkeys, "__grid"), tkeys)
+                again = materialize(again.withColumn("__wide", F.col("__wide") * 4).select(*state, "__grid"))
+                after = again if after is None else after.unionByName(again)
+        if after is None:
+            break
+        tgt, level = after, level + 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _select(long: DataFrame, tgt: DataFrame, keys: list[str], fits: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Exact order statistics inside each target's bracket: the result rows and
+    the targets whose bracket missed a rank (None if there are none)."""
+    tkeys = [*keys, "p"]
     v = F.col("__v")
-    below = F.col("__blo").isNotNull() & (v < F.col("__blo"))
-    inside = (F.col("__blo").isNull() | (v >= F.col("__blo"))) & (F.col("__bhi").isNull() | (v <= F.col("__bhi")))
-    cand = j.filter(below | inside).groupBy(*tkeys, F.when(inside, v).alias("__cv")).agg(F.count("*").alias("__c"))
+    j = _join_small(long, tgt.select(*tkeys, "__blo", "__bhi"), keys, fits)
+    inside = _in(v, "__blo", "__bhi")
+    cand = j.filter(inside | (v < F.col("__blo"))).groupBy(*tkeys, F.when(inside, v).alias("__cv")).agg(F.count("*").alias("__c"))
     # NULL (= below the bracket) sorts first, so its count is the rank offset
     w = Window.partitionBy(*tkeys).orderBy(F.col("__cv").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     cand = cand.withColumn("__start", F.sum("__c").over(w) - F.col("__c")).filter(F.col("__cv").isNotNull())
@@ -170,160 +232,14 @@ def _bracket_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_ca
         hit = (F.col("__start") <= F.col(k)) & (F.col(k) < F.col("__start") + F.col("__c"))
         return F.max(F.when(hit, F.col("__cv")))
 
-    picked = (
-        _join_small(cand, tgt.select(*tkeys, "__klo", "__khi"), tkeys, n_t)
-        .groupBy(*tkeys)
-        .agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
-    )
+    picked = _join_small(cand, tgt.select(*tkeys, "__klo", "__khi"), tkeys, fits).groupBy(*tkeys).agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
     picked = cache_tracked(picked)  # one row per target; the selection pass runs once
-    small_picked = F.broadcast(picked) if n_t <= BROADCAST_TARGET_ROWS else picked
-    out = tgt.select(*tkeys, "n", "__pos", "__klo").join(small_picked, tkeys, "left")
-    value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
-    res = out.select(*keys, "p", value.alias("value"), "n")
-    missed = res.filter(F.col("value").isNull()).select(*keys).distinct()
-    if missed.limit(1).count() == 0:
-        return res
-    # fallback for groups whose bracket missed: exact percentile, those groups only
-    n_missed = missed.count()
-    redo = (
-        _join_small(long, missed, keys, n_missed)
-        .groupBy(*keys)
-        .agg(F.percentile("__v", probs_col).alias("__qs"), F.count("*").alias("n"))
-        .select(*keys, "n", F.explode(F.arrays_zip(probs_col.alias("p"), F.col("__qs").alias("q"))).alias("__z"))
-        .select(*keys, F.col("__z.p").alias("p"), F.col("__z.q").cast("double").alias("value"), "n")
-    )
-    return res.join(missed, keys, "left_anti").unionByName(redo)
-
-
-def _refine_path(long: DataFrame, keys: list[str], probs, accuracy: int, max_candidates: int) -> DataFrame:
-    """Groups too large for one bracket: HyperLogLog sizing, exact percentile
-    for groups with few distinct values, verified multi-level brackets for
-    the rest."""
-    probs_col = F.array(*[F.lit(float(p)) for p in probs])
-    counts = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.approx_count_distinct("__v").alias("__d")
-    )
-    # HyperLogLog has ~5% relative error: keep a margin below the bound
-    safe = int(max_candidates / 1.2)
-    summary0 = counts.agg(F.count("*").alias("t"), F.count_if(F.col("__d") > safe).alias("big")).first()
-    small_keys = counts.filter(F.col("__d") <= safe).select(*keys)
-    src = long if not summary0["big"] else _join_small(long, small_keys, keys, summary0["t"])
-    exact_small = (
-        src.groupBy(*keys)
-        .agg(F.percentile("__v", probs_col).alias("__qs"), F.count("*").alias("n"))
-        .select(*keys, "n", F.explode(F.arrays_zip(probs_col.alias("p"), F.col("__qs").alias("q"))).alias("__z"))
-        .select(*keys, F.col("__z.p").alias("p"), F.col("__z.q").cast("double").alias("value"), "n")
-    )
-    if not summary0["big"]:
-        return exact_small
-    counts = counts.filter(F.col("__d") > safe)
-    tgt = (
-        counts.select(*keys, "n", "__d", F.explode(probs_col).alias("p"))
-        .withColumn("__pos", (F.col("n") - 1).cast("double") * F.col("p"))
-        .withColumn("__klo", F.floor("__pos").cast("long"))
-        .withColumn("__khi", F.ceil("__pos").cast("long"))
-        .withColumn("__lo", F.lit(None).cast("double"))
-        .withColumn("__hi", F.lit(None).cast("double"))
-        .withColumn("__base", F.lit(0).cast("long"))
-        .withColumn("__m", F.col("n"))
-    )
-
-    def within(c_lo: str = "__lo", c_hi: str = "__hi"):
-        return (F.col(c_lo).isNull() | (F.col("__v") >= F.col(c_lo))) & (
-            F.col(c_hi).isNull() | (F.col("__v") <= F.col(c_hi))
-        )
-
-    grid = F.array(*[F.lit(i / GRID_BUCKETS) for i in range(GRID_BUCKETS + 1)])
-    slack = F.ceil(F.col("__m") / F.lit(accuracy)) * 2 + 2
-    tkeys = [*keys, "p"]
-    n_tgt = 0
-    for level in range(MAX_LEVELS + 1):
-        summary = tgt.agg(
-            F.count("*").alias("__t"), F.count_if(F.col("__d") > max_candidates).alias("__big")
-        ).first()
-        n_tgt = summary["__t"]
-        if not summary["__big"] or level == MAX_LEVELS:
-            break
-        if level == 0:
-            tgt = materialize(tgt)
-        big = tgt.filter(F.col("__d") > max_candidates)
-        small = tgt.filter(F.col("__d") <= max_candidates)
-        cand = _join_small(long, big.select(*tkeys, "__lo", "__hi"), keys, n_tgt).filter(within())
-        sketch = cand.groupBy(*tkeys).agg(F.percentile_approx("__v", grid, accuracy).alias("__grid"))
-        i_lo = F.greatest(
-            F.lit(0),
-            F.floor((F.col("__klo") - F.col("__base") - slack) / F.col("__m") * GRID_BUCKETS),
-        ).cast("int")
-        i_hi = F.least(
-            F.lit(GRID_BUCKETS),
-            F.ceil((F.col("__khi") - F.col("__base") + 1 + slack) / F.col("__m") * GRID_BUCKETS),
-        ).cast("int")
-        bracket = big.join(sketch, tkeys).select(
-            *big.columns,
-            F.element_at("__grid", i_lo + 1).alias("__blo"),
-            F.element_at("__grid", i_hi + 1).alias("__bhi"),
-        )
-        bracket = materialize(bracket)
-        checks = (
-            _join_small(long, bracket.select(*tkeys, "__lo", "__hi", "__blo", "__bhi"), keys, n_tgt)
-            .filter(within())
-            .groupBy(*tkeys)
-            .agg(
-                F.count_if(F.col("__v") < F.col("__blo")).alias("__below"),
-                F.count_if(F.col("__v") <= F.col("__bhi")).alias("__upto"),
-                F.approx_count_distinct(
-                    F.when((F.col("__v") >= F.col("__blo")) & (F.col("__v") <= F.col("__bhi")), F.col("__v"))
-                ).alias("__dnew"),
-            )
-        )
-        b = bracket.join(checks, tkeys)
-        ok = (F.col("__base") + F.col("__below") <= F.col("__klo")) & (
-            F.col("__khi") < F.col("__base") + F.col("__upto")
-        )
-        shrunk = F.col("__dnew") < F.col("__d")
-        take = ok & shrunk
-        refined = b.select(
-            *keys,
-            "n",
-            F.when(take, F.col("__dnew")).otherwise(F.lit(0).cast("long")).alias("__d"),
-            "p",
-            "__pos",
-            "__klo",
-            "__khi",
-            F.when(take, F.col("__blo")).otherwise(F.col("__lo")).alias("__lo"),
-            F.when(take, F.col("__bhi")).otherwise(F.col("__hi")).alias("__hi"),
-            F.when(take, F.col("__base") + F.col("__below")).otherwise(F.col("__base")).alias("__base"),
-            F.when(take, F.col("__upto") - F.col("__below")).otherwise(F.col("__m")).alias("__m"),
-        )
-        # A bracket that failed verification or did not shrink is resolved by
-        # the final exact step (d := 0 stops further refinement for it).
-        tgt = materialize(small.unionByName(refined))
-
-    cand = _join_small(long, tgt.select(*tkeys, "__lo", "__hi", "__base"), keys, n_tgt).filter(within())
-    dv = cand.groupBy(*tkeys, "__base", "__v").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*tkeys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    dv = dv.withColumn("__start", F.col("__base") + F.sum("__c").over(w) - F.col("__c"))
-    picked = (
-        _join_small(dv, tgt.select(*tkeys, "__klo", "__khi"), tkeys, n_tgt)
-        .groupBy(*tkeys)
-        .agg(
-            F.max(
-                F.when(
-                    (F.col("__start") <= F.col("__klo")) & (F.col("__klo") < F.col("__start") + F.col("__c")),
-                    F.col("__v"),
-                )
-            ).alias("__vlo"),
-            F.max(
-                F.when(
-                    (F.col("__start") <= F.col("__khi")) & (F.col("__khi") < F.col("__start") + F.col("__c")),
-                    F.col("__v"),
-                )
-            ).alias("__vhi"),
-        )
-    )
-    out = _join_small(picked, tgt.select(*tkeys, "n", "__pos", "__klo"), tkeys, n_tgt)
+    out = tgt.join(F.broadcast(picked) if fits else picked, tkeys, "left")
     value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
-    return exact_small.unionByName(out.select(*keys, "p", value.alias("value"), "n"))
+    missing = F.col("__vlo").isNull() | F.col("__vhi").isNull()
+    res = out.filter(~missing).select(*keys, "p", value.alias("value"), "n")
+    missed = out.filter(missing).select(*[c for c in tgt.columns if c not in ("__blo", "__bhi", "__est", "__shrinks", "__grid")])
+    return res, None if missed.isEmpty() else missed
 
 
 def quantiles_wide(

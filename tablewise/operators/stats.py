@@ -10,20 +10,22 @@ needed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.exprs import (
     MONTH_ABBR,
     is_numeric_type,
     nan_to_null,
-    safe_corr,
     strength_label,
 )
 from tablewise.operators.clean import _c, _types
-from tablewise.operators.quantiles import BROADCAST_TARGET_ROWS, quantiles, quantiles_wide
+from tablewise.operators.quantiles import broadcastable, quantiles, quantiles_wide
+from tablewise.session import ship_package
 
 # Correlation report thresholds and caps.
 MIN_ABS_R = 0.3
@@ -59,76 +61,87 @@ def quartiles(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = F
 # ---------------------------------------------------------------------------
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, full: bool = False, chunk: int = 8) -> DataFrame:
+def _comoments(k: int):
+    """Per task: for every pair of columns the row count, both means and the three
+    central second moments over the rows where both are present."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, sums = None, None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            if base is None:
+                base, sums = np.full(k, np.nan), np.zeros((6, k, k))
+            first = np.isnan(base) & ~np.isnan(x).all(axis=0)
+            if first.any():  # shift by a value of the column itself: no cancellation
+                base[first] = [x[~np.isnan(x[:, j]), j][0] for j in np.flatnonzero(first)]
+            there = ~np.isnan(x)
+            m, d = there.astype(np.float64), np.where(there, x - np.where(np.isnan(base), 0.0, base), 0.0)
+            sq = d * d
+            sums += np.stack([m.T @ m, d.T @ m, m.T @ d, sq.T @ m, m.T @ sq, d.T @ d])
+        if base is None:
+            return
+        i, j = np.triu_indices(k)
+        n, sx, sy, sxx, syy, sxy = (a[i, j] for a in sums)
+        some = n > 0
+        i, j, n, sx, sy, sxx, syy, sxy = (a[some] for a in (i, j, n, sx, sy, sxx, syy, sxy))
+        yield pd.DataFrame(
+            {
+                "i": i, "j": j, "n": n, "mx": base[i] + sx / n, "my": base[j] + sy / n,
+                "cxx": sxx - sx * sx / n, "cyy": syy - sy * sy / n, "cxy": sxy - sx * sy / n,
+            }
+        )
+
+    return run
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, full: bool = False) -> DataFrame:
     """A5: pairwise-complete Pearson r for all column pairs.
 
     Returns (col1, col2, i, j, r); ``full=True`` gives the full square incl.
-    the diagonal (V7).  NULL r = undefined (constant column, < 2 pairs).
-    Pairs are evaluated in chunks of ``chunk`` pairs per aggregate (one
-    aggregate with hundreds of moment buffers outgrows whole-stage codegen and
-    runs ~5x slower); the chunks are unioned, so it is still one job.
+    the diagonal (V7).  NULL r = undefined (constant column, < 2 pairs).  ONE scan
+    for any number of columns: each task multiplies its Arrow batches into
+    k x k moment matrices around a value of the column, and the k*k/2 small rows
+    per task are combined by the parallel variance formula.
     """
     num = _numeric_cols(df, cols)
+    spark = df.sparkSession
     if len(num) < 2:
-        spark = df.sparkSession
         return spark.createDataFrame([], "col1 string, col2 string, i int, j int, r double")
-    x = {n: _num(df, n) for n in num}
-    pairs = [(i, j) for i in range(len(num)) for j in range(i + 1, len(num))]
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        sub = pairs[start : start + chunk]
-        agg = df.agg(*[safe_corr(x[num[i]], x[num[j]]).alias(f"r_{i}_{j}") for i, j in sub])
-        parts.append(
-            agg.select(
-                F.explode(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(num[i]).alias("col1"), F.lit(num[j]).alias("col2"),
-                                F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r_{i}_{j}").alias("r"),
-                            )
-                            for i, j in sub
-                        ]
-                    )
-                ).alias("__p")
-            ).select("__p.*")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    ship_package(spark)
+    wide = df.select(*[_num(df, n).alias(f"c{k}") for k, n in enumerate(num)])
+    parts = wide.mapInPandas(_comoments(len(num)), "i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double")
+    total = Window.partitionBy("i", "j")
+    mean = parts.withColumns({"__n": F.sum("n").over(total), "__x": F.sum(F.col("n") * F.col("mx")).over(total), "__y": F.sum(F.col("n") * F.col("my")).over(total)})
+    dx, dy = F.col("mx") - F.col("__x") / F.col("__n"), F.col("my") - F.col("__y") / F.col("__n")
+    n = F.col("n")
+    c = mean.groupBy("i", "j").agg(
+        F.max("__n").alias("n"), F.max(F.abs("mx")).alias("ax"), F.max(F.abs("my")).alias("ay"),
+        F.sum(F.col("cxx") + n * dx * dx).alias("cxx"), F.sum(F.col("cyy") + n * dy * dy).alias("cyy"), F.sum(F.col("cxy") + n * dx * dy).alias("cxy"),
+    )
+    # spread below the rounding of the mean itself: a constant column
+    spread = lambda v, a: F.col(v) > F.col("n") * F.pow(F.lit(4e-16) * F.col(a), F.lit(2.0))
+    r = F.when((F.col("n") >= 2) & spread("cxx", "ax") & spread("cyy", "ay"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cxy") / F.sqrt("cxx") / F.sqrt("cyy"))))
+    r = F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r)
+    every = [(i, j, num[i], num[j]) for i in range(len(num)) for j in range(i + (not full), len(num))]  # pairs of columns
+    frame = spark.createDataFrame(every, "i int, j int, col1 string, col2 string")
+    out = frame.join(c.select("i", "j", r.alias("r")), ["i", "j"], "left").select("col1", "col2", "i", "j", "r")
     if not full:
         return out
-    # the diagonal: 1.0 when the column has >= 2 distinct values, else undefined
-    diag_agg = df.agg(*[F.stddev_pop(x[n]).alias(f"s_{k}") for k, n in enumerate(num)])
-    diag = diag_agg.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("col1"), F.lit(n).alias("col2"), F.lit(k).alias("i"), F.lit(k).alias("j"),
-                        F.when(F.col(f"s_{k}") > 0, F.lit(1.0)).alias("r"),
-                    )
-                    for k, n in enumerate(num)
-                ]
-            )
-        ).alias("__p")
-    ).select("__p.*")
-    mirror = out.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), F.col("j").alias("i"), F.col("i").alias("j"), "r")
-    return out.unionByName(mirror).unionByName(diag)
+    mirror = out.filter(F.col("i") < F.col("j")).select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), F.col("j").alias("i"), F.col("i").alias("j"), "r")
+    return out.unionByName(mirror)
 
 
-def strong_correlations(df: DataFrame, cols: Sequence[str] | None = None, min_abs: float = MIN_ABS_R, cap: int = MAX_PAIRS) -> DataFrame:
-    """R rounded to 4, |r| >= 0.3, labelled, by |r| desc, at most 15.
+def strong_correlations(df: DataFrame, cols: Sequence[str] | None = None, min_abs: float = MIN_ABS_R, cap: int | None = None) -> DataFrame:
+    """R rounded to 4, |r| >= 0.3, labelled, by |r| desc.
 
     Undefined pairs are dropped.  Ties in |r| are ordered by column position.
+    ``cap`` keeps only so many pairs; reports that show a list pass
+    ``MAX_PAIRS``, counts are taken over all pairs.
     """
     p = correlation_pairs(df, cols).filter(F.col("r").isNotNull())
     p = p.withColumn("correlation", F.round("r", 4)).filter(F.abs("correlation") >= min_abs)
-    return (
-        p.select("col1", "col2", "correlation", strength_label(F.col("correlation")).alias("strength"), "i", "j")
-        .orderBy(F.desc(F.abs("correlation")), "i", "j")
-        .limit(cap)
-    )
+    out = p.select("col1", "col2", "correlation", strength_label(F.col("correlation")).alias("strength"), "i", "j").orderBy(F.desc(F.abs("correlation")), "i", "j")
+    return out if cap is None else out.limit(cap)
 
 
 # ---------------------------------------------------------------------------
@@ -164,21 +177,25 @@ def counts_by_period(df: DataFrame, date_col: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> list[dict]:
-    """Per numeric column with >= 4 values and IQR > 0: q1, q3, lower, upper, n."""
+def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, summary: DataFrame | None = None) -> list[dict]:
+    """Per numeric column with >= 4 values and IQR > 0: q1, q3, lower, upper, n.
+    ``summary`` (``numeric_summary`` with quartiles) saves the quantile passes."""
     num = _numeric_cols(df, cols)
     if not num:
         return []
-    q = quantiles(df, num, [0.25, 0.75], approx=approx)
-    rows = (
-        q.groupBy("column")
-        .agg(
-            F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
-            F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"),
-            F.max("n").alias("n"),
+    if summary is not None:
+        rows = summary.filter(F.col("column").isin(num) & (F.col("count") > 0)).select("column", F.col("q25").alias("q1"), F.col("q75").alias("q3"), F.col("count").alias("n")).collect()
+    else:
+        q = quantiles(df, num, [0.25, 0.75], approx=approx)
+        rows = (
+            q.groupBy("column")
+            .agg(
+                F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
+                F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"),
+                F.max("n").alias("n"),
+            )
+            .collect()
         )
-        .collect()
-    )
     out = []
     for r in rows:
         if r["n"] < 4 or r["q3"] - r["q1"] == 0:
@@ -191,13 +208,13 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, approx: bool =
     return sorted(out, key=lambda b: order[b["column"]])
 
 
-def outlier_report(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def outlier_report(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, summary: DataFrame | None = None) -> DataFrame:
     """(column, outlier_count, outlier_pct, lower_bound, upper_bound), only
     columns with outliers, by pct desc.  Pass 1 quartiles, pass 2 one
     ``count_if`` per column with literal bounds."""
     spark = df.sparkSession
     schema = "column string, outlier_count long, outlier_pct double, lower_bound double, upper_bound double, ord int"
-    bounds = iqr_bounds(df, cols, approx=approx)
+    bounds = iqr_bounds(df, cols, approx=approx, summary=summary)
     if not bounds:
         return spark.createDataFrame([], schema)
     num = _numeric_cols(df, cols)
@@ -256,20 +273,17 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame:
+def contingency_wide(df: DataFrame, a: str, b: str, max_levels: int | None = None) -> DataFrame:
     """A11 (crosstab form): one row per value of ``a``, one column per value of ``b``.
 
-    The pivot values are fetched first and checked against ``max_levels``
-    (the result width is bounded), then a single pivot aggregate runs.
+    The pivot values are fetched first (they become columns, so their number is
+    the result's width), then a single pivot aggregate runs.  A caller may set
+    ``max_levels`` to reject wider results; ``contingency`` has no width.
     """
     pair = df.select(_c(a).alias("__a"), _c(b).alias("__b")).na.drop("any")
-    # HyperLogLog pre-check (no shuffle of values): a clearly too-wide column
-    # is rejected before the exact distinct runs
-    if pair.agg(F.approx_count_distinct("__b").alias("d")).first()["d"] > 1.2 * max_levels:
-        raise ValueError(f"{b} has more than {max_levels} distinct values; use contingency()")
-    levels = [r[0] for r in pair.select("__b").distinct().orderBy("__b").limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
+    if max_levels is not None and pair.select("__b").distinct().limit(max_levels + 1).count() > max_levels:
         raise ValueError(f"{b} has more than {max_levels} distinct values; use contingency()")
+    levels = [r[0] for r in pair.select("__b").distinct().orderBy("__b").collect()]
     piv = pair.groupBy("__a").pivot("__b", levels).count().na.fill(0)
     return piv.withColumnRenamed("__a", a)
 
@@ -357,8 +371,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, approx: bool = F
             F.stddev_samp(v).alias("sd"),
             F.count(v).alias("n"),
         )
-    n_groups = fences.count()
-    j = d.join(F.broadcast(fences) if n_groups <= BROADCAST_TARGET_ROWS else fences, keys)
+    j = d.join(F.broadcast(fences) if broadcastable(fences, keys) else fences, keys)
     inside = (v >= F.col("__lf")) & (v <= F.col("__uf"))
     agg = j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("lower_whisker"),

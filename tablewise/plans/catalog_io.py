@@ -56,15 +56,29 @@ def q_s01(spark, sf):
 
 @query(
     "s02_read_csv_latin1_fallback",
-    "SELECT doc_id, lang, regexp_replace(text, '[\\n\\r]', ' ', 'g') AS text FROM documents",
+    "SELECT doc_id, lang, text FROM documents",
 )
 def q_s02(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", r"[\n\r]", " ").alias("text"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
     path = scratch_path(spark, "s02")
-    docs.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    _csv(docs, path, "ISO-8859-1")
     return SR.read_csv(spark, path)
 
 
+def _csv(df, path: str, encoding: str) -> None:
+    df.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
+
+
+@query("s02_mixed_encodings_in_one_folder", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '\ufffd €' ELSE text END AS text FROM documents")
+def q_s02_mixed(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "s02m")
+    even = F.col("doc_id") % 2 == 0
+    _csv(docs.filter(even).withColumn("text", F.concat("text", F.lit("\ufffd €"))), f"{path}/utf8", "UTF-8")
+    _csv(docs.filter(~even), f"{path}/latin1", "ISO-8859-1")
+    return SR.read_csv(spark, [f"{path}/utf8", f"{path}/latin1"])
+
+
 _S04 = """SELECT n.n_name AS nation, c.c_mktsegment AS segment, count(*) AS orders, sum(o.o_totalprice) AS revenue
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 GROUP BY n.n_name, c.c_mktsegment"""
@@ -120,14 +134,15 @@ def q_k02(spark, sf):
 
 @query(
     "k03_two_table_export",
-    "SELECT CAST(count(*) AS BIGINT) AS rows, " + _r("sum(o_totalprice)", 2) + " AS total FROM orders",
+    "SELECT CAST(count(*) AS BIGINT) AS rows, " + _r("sum(o_totalprice)", 2) + " AS total, "
+    "(SELECT CAST(count(*) AS BIGINT) FROM (SELECT unnest([corr(o_orderkey, o_custkey), corr(o_orderkey, o_totalprice), corr(o_custkey, o_totalprice)]) AS r) WHERE abs(round(r, 4)) >= 0.3) AS pairs FROM orders",
 )
 def q_k03(spark, sf):
     o = fx.table(spark, sf, "orders")
     paths = SK.write_tables({"cleaned": C.clean(o), "correlations": S.strong_correlations(o)}, scratch_path(spark, "k03"))
     back = spark.read.parquet(paths["cleaned"])
-    spark.read.parquet(paths["correlations"]).count()
-    return back.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    pairs = spark.read.parquet(paths["correlations"]).agg(F.count("*").alias("pairs"))
+    return back.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total")).join(F.broadcast(pairs))  # one row each
 
 
 def _k04_sql() -> str:
@@ -227,5 +242,5 @@ def q_r06(spark, sf):
 
 @query("r09_row_gate", "SELECT count(*) <= 500 AS small_enough FROM (SELECT * FROM conversations LIMIT 501)")
 def q_r09(spark, sf):
-    conv = fx.table(spark, sf, "conversations")
-    return conv.limit(E.ROW_GATE + 1).agg((F.count("*") <= E.ROW_GATE).alias("small_enough"))
+    small = E.row_gate(fx.table(spark, sf, "conversations"))
+    return spark.createDataFrame([(small,)], "small_enough boolean")

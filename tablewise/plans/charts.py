@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.exprs import numeric_columns
 from tablewise.operators import profile as P
 from tablewise.operators import stats as S
-from tablewise.operators.clean import _c
+from tablewise.operators.clean import _c, parse_dates
 
 # Plan caps and chart titles of the rule-based plan.
 MAX_PAIR_NUMERICS = 6
@@ -47,6 +47,13 @@ def _by_type(tmap: dict[str, str], typ: str) -> list[str]:
     return [c for c, t in tmap.items() if t == typ]
 
 
+def dated(df: DataFrame, tmap: dict[str, str], cols: Sequence[str] | None = None) -> DataFrame:
+    """Text columns typed datetime (``12/31/2023``) as timestamps: parsed once, under the format all
+    their values fit (C13).  ``cols`` names the columns a chart needs."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and tmap.get(f.name) == "datetime" and (cols is None or f.name in cols)]
+    return parse_dates(df, text) if text else df
+
+
 # ---------------------------------------------------------------------------
 # V1 univariate, V2-V6 bivariate, V7 heat map, V8 distribution grid
 # ---------------------------------------------------------------------------
@@ -63,7 +70,7 @@ def univariate(df: DataFrame, col: str, tmap: dict[str, str] | None = None) -> d
     if t in ("categorical", "boolean"):
         return {"value_counts": P.value_counts(df, col)}
     if t == "datetime":
-        return {"by_period": S.counts_by_period(df, col)}
+        return {"by_period": S.counts_by_period(dated(df, tmap, [col]), col)}
     return {"top": P.top_values(df, [col], k=TOP_UNIVARIATE)}
 
 
@@ -83,8 +90,12 @@ def time_series(df: DataFrame, dt: str, y: str, period: str | None = None) -> Da
 
 
 def bivariate(df: DataFrame, a: str, b: str, tmap: dict[str, str] | None = None) -> tuple[str, DataFrame]:
-    """V2-V6 dispatch on the two semantic types; returns (chart_type, data)."""
+    """V2-V6 dispatch on the two semantic types; returns (chart_type, data).
+
+    Scatter, strip and line hold the raw pairs here, as many as the table has;
+    ``bivariate_data`` gives the aggregates a chart of a large table is drawn from."""
     tmap = tmap or _types_map(df)
+    df = dated(df, tmap, [a, b])
     ta, tb = tmap.get(a), tmap.get(b)
     cat = ("categorical", "boolean")
     if ta == "numerical" and tb == "numerical":
@@ -99,6 +110,56 @@ def bivariate(df: DataFrame, a: str, b: str, tmap: dict[str, str] | None = None)
     return "strip", scatter_data(df, a, b)
 
 
+def _axis(df: DataFrame, col: str, typ: str | None, bins: int) -> Column:
+    """The cell of a value along one axis: equal-width bins of numbers (their lower edge), months of
+    dates, values of categories, first characters of other text."""
+    if typ == "numerical":
+        lo, hi, n = S.range_stats(df, col)
+        if not n:
+            return F.lit(None).cast("double")
+        lo, width = float(lo), (float(hi) - float(lo)) / bins or 1.0
+        x = S._num(df, col)
+        k = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        return F.when(x.isNotNull(), F.lit(lo) + k * F.lit(width))
+    if typ == "datetime":
+        return F.date_format(_c(col), "yyyy-MM")
+    text = _c(col).cast("string")
+    return text if typ in ("categorical", "boolean") else F.substring(text, 1, 1)
+
+
+def binned_pairs(df: DataFrame, x: str, y: str, tmap: dict[str, str], color: str | None = None, bins: int = 30) -> DataFrame:
+    """V2 / V6 over the whole table: (x, y[, color], count) of a grid of at most ``bins`` cells per
+    numeric axis - every null-free pair is counted, none is sampled."""
+    df = dated(df, tmap, [x, y])
+    cells = [_axis(df, x, tmap.get(x), bins).alias("x"), _axis(df, y, tmap.get(y), bins).alias("y")]
+    if color:
+        cells.append(_axis(df, color, tmap.get(color), bins).alias("color"))
+    return df.select(*cells).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*(["x", "y"] + ["color"] * bool(color))).agg(F.count("*").alias("count"))
+
+
+def period_totals(df: DataFrame, dt: str, y: str, tmap: dict[str, str], color: str | None = None) -> DataFrame:
+    """V5 over the whole table: (period[, color], total, mean, count) in time order; days when the
+    dates span up to a year, else months."""
+    df = dated(df, tmap, [dt])
+    span = df.agg(F.datediff(F.max(_c(dt).cast("date")), F.min(_c(dt).cast("date"))).alias("d")).first()["d"]
+    period = F.date_format(_c(dt), "yyyy-MM-dd" if (span or 0) <= 366 else "yyyy-MM").alias("period")
+    rows = df.select(period, S._num(df, y).alias("v"), *([_c(color).alias("color")] if color else [])).filter(F.col("period").isNotNull() & F.col("v").isNotNull())
+    keys = ["period"] + ["color"] * bool(color)
+    return rows.groupBy(*keys).agg(F.sum("v").alias("total"), F.avg("v").alias("mean"), F.count("*").alias("count")).orderBy(*keys)
+
+
+def bivariate_data(df: DataFrame, a: str, b: str, tmap: dict[str, str] | None = None) -> tuple[str, dict[str, DataFrame]]:
+    """V2-V6 as aggregates of the whole table: (chart_type, named frames).  A scatter comes with its trend line."""
+    tmap = tmap or _types_map(df)
+    ta, tb = tmap.get(a), tmap.get(b)
+    if ta == "numerical" and tb == "numerical":
+        return "scatter", {"scatter": binned_pairs(df, a, b, tmap), "trend_line": S.trend_line(df, a, b)}
+    if ta == "datetime" and tb == "numerical":
+        return "line", {"line": period_totals(df, a, b, tmap)}
+    kind, frame = bivariate(df, a, b, tmap)
+    return kind, {kind: binned_pairs(df, a, b, tmap) if kind == "strip" else frame}
+
+
 def heatmap(df: DataFrame) -> DataFrame | None:
     """V7: full correlation square (x, y, r) incl. diagonal; None if < 2 numerics."""
     if len(numeric_columns(df)) < 2:
@@ -120,7 +181,7 @@ def distribution(df: DataFrame, col: str, tmap: dict[str, str] | None = None) ->
             return "pie", shares
         return "bar", P.value_counts(df, col)
     if t == "datetime":
-        return "bar", S.counts_by_period(df, col)
+        return "bar", S.counts_by_period(dated(df, tmap, [col]), col)
     return "bar", P.top_values(df, [col], k=TOP_DISTRIBUTION)
 
 
@@ -198,10 +259,11 @@ PLAN_ITEM = "title string, description string, chart_type string, x string, y st
 
 
 def parse_plan(replies: DataFrame, col: str) -> DataFrame:
-    """E2 applied to a plan reply: rows of (title, description, chart_type, x, y, color)."""
+    """E2 applied to a plan reply: rows of (ord, title, description, chart_type, x, y, color);
+    ``ord`` is the item's place in the reply, a missing title or description is empty."""
     from tablewise.operators.enrich import parse_reply
 
-    return parse_reply(replies, col, PLAN_ITEM, kind="array")
+    return parse_reply(replies, col, PLAN_ITEM, kind="array", position="ord").fillna("", ["title", "description"])
 
 
 def validate_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -212,38 +274,51 @@ def validate_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
     ok = known("x") & known("y") & F.col("chart_type").isin(SUPPORTED_PLAN_TYPES)
     color = F.when(F.array_contains(names, F.col("color")), F.col("color"))
     p = plan.filter(ok).withColumn("color", color)
-    p = p.withColumn("ord", F.monotonically_increasing_id())
+    if "ord" not in p.columns:
+        p = p.withColumn("ord", F.monotonically_increasing_id())
     return classify_plan(p)
 
 
-def chart_data(df: DataFrame, item: dict) -> DataFrame | None:
-    """V10 (execution) for one validated plan item."""
-    ct, x, y, color = item["chart_type"], item.get("x"), item.get("y"), item.get("color")
+def chart_data(df: DataFrame, item: dict, tmap: dict[str, str] | None = None) -> DataFrame | None:
+    """V10 (execution) for one validated plan item: an aggregate of the whole table; None if
+    the item cannot be drawn (a needed column is missing or is not a number)."""
+    tmap = tmap or _types_map(df)
+    ct, x, y, color = item["chart_type"], item.get("x") or None, item.get("y") or None, item.get("color") or None
+    numeric = set(numeric_columns(df))
     if ct == "heatmap":
         return heatmap(df)
+    if x is None or (y is not None and ct in ("line", "bar", "box") and y not in numeric):
+        return None
     if ct == "line":
-        cols = [c for c in (x, y, color) if c]
-        return S.sorted_by(df.select(*[_c(c) for c in cols]), x) if x else df.select(*[_c(c) for c in cols])
+        if y is None:
+            return S.counts_by_period(dated(df, tmap, [x]), x) if tmap.get(x) == "datetime" else P.value_counts(df, x)
+        return period_totals(df, x, y, tmap, color) if tmap.get(x) == "datetime" else S.bar_totals(df, x, y, color)
     if ct == "bar":
-        if y:
-            return S.bar_totals(df, x, y, color)
-        return P.value_counts(df, x)
+        return S.bar_totals(df, x, y, color) if y else P.value_counts(df, x)
     if ct == "scatter":
-        return scatter_data(df, x, y, color)
+        return binned_pairs(df, x, y, tmap, color) if y else None
     if ct == "box":
-        return S.box_stats(df, y or x, by=x if y else None)
+        value = y or x
+        if value not in numeric:
+            return None
+        group = [c for c in ((x if y else None), color) if c]
+        if len(group) < 2:
+            return S.box_stats(df, value, by=group[0] if group else None)
+        # one box per (x, color)
+        pair = df.select(F.struct(*[_c(c).alias(k) for c, k in zip(group, ("x", "color"))]).alias("__pair"), _c(value).alias(value))
+        pair = pair.filter(F.col("__pair.x").isNotNull() & F.col("__pair.color").isNotNull())
+        out = S.box_stats(pair, value, by="__pair")
+        return out.select(F.col("__pair.x").alias(group[0]), F.col("__pair.color").alias(group[1]), *[c for c in out.columns if c != "__pair"])
     return None
 
 
-def execute_plan(df: DataFrame, plan: DataFrame) -> list[tuple[dict, DataFrame]]:
-    """Validated plan items with their datasets (plan size is small)."""
+def execute_plan(df: DataFrame, plan: DataFrame, tmap: dict[str, str] | None = None) -> list[tuple[dict, DataFrame]]:
+    """Validated plan items with their datasets (plan size is small).  An item that cannot be
+    drawn is left out; the others are not affected."""
     items = [r.asDict() for r in validate_plan(df, plan).orderBy("ord").collect()]
-    out = []
-    for it in items:
-        data = chart_data(df, it)
-        if data is not None:
-            out.append((it, data))
-    return out
+    tmap = tmap or (_types_map(df) if items else {})
+    charts = [(it, chart_data(df, it, tmap)) for it in items]
+    return [(it, data) for it, data in charts if data is not None]
 
 
 def chart_records(plan: DataFrame) -> DataFrame:
@@ -255,24 +330,30 @@ def chart_records(plan: DataFrame) -> DataFrame:
     )
 
 
-def visualize(df: DataFrame) -> dict:
-    """The chart step end to end: types, rule plan, per-chart datasets (each a
-    dict of named small DataFrames), statistical summary."""
+def visualize(df: DataFrame, plan: DataFrame | None = None) -> dict:
+    """The chart step end to end: types, plan, per-chart datasets (each a dict of
+    named small DataFrames), statistical summary.
+
+    ``plan`` is an external plan (``parse_plan``); if none of its items can be drawn, or
+    none is given, the rule plan is used.  ``route`` says which.
+    """
     types_df = P.column_types(df)
     tmap = _types_map(df, types_df)
+    df = dated(df, tmap)
+    summary = P.statistical_summary(df)
+    if plan is not None:
+        drawn = execute_plan(df, plan, tmap)
+        if drawn:
+            charts = [(it, {it["chart_type"]: data}) for it, data in drawn]
+            return {"column_types": types_df, "plan": validate_plan(df, plan), "charts": charts, "statistical_summary": summary, "route": "external"}
     plan = rule_plan(df, types_df)
     charts = []
     for it in [r.asDict() for r in plan.orderBy("ord").collect()]:
         if it["kind"] == "univariate":
             data = univariate(df, it["x"], tmap)
         elif it["kind"] == "bivariate":
-            kind, frame = bivariate(df, it["x"], it["y"], tmap)
-            data = {kind: frame}
+            _kind, data = bivariate_data(df, it["x"], it["y"], tmap)
         else:
             data = {"heatmap": heatmap(df)}
         charts.append((it, data))
-    return {"column_types": types_df, "plan": plan, "charts": charts, "statistical_summary": P.statistical_summary(df)}
-
-
-def empty_plan(spark) -> DataFrame:
-    return spark.createDataFrame([], T.StructType.fromDDL(PLAN_SCHEMA))
+    return {"column_types": types_df, "plan": plan, "charts": charts, "statistical_summary": summary, "route": "rules"}

@@ -68,17 +68,16 @@ def _lines(df: DataFrame, text: Column, order: Column) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def trends(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def trends(df: DataFrame, table: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Skew > 1 / < -1 sentences per numeric column (>= 3 values), then the
     missing-cells sentence when more than 5 % of cells are missing.
 
-    ``table`` (rows, columns, missing) may be passed in when already known;
-    otherwise one light aggregate counts rows and missing cells (no
+    ``table`` (rows, columns, missing) and ``summary`` (``numeric_summary``) may be passed
+    in when already known; otherwise one light aggregate counts rows and missing cells (no
     duplicate detection is needed here)."""
-    spark = df.sparkSession
     parts = []
     if numeric_columns(df):
-        s = P.numeric_summary(df, with_quartiles=False).filter(F.col("count") >= 3)
+        s = (summary if summary is not None else P.numeric_summary(df, with_quartiles=False)).filter(F.col("count") >= 3)
         sk = F.col("skewness")
         text = (
             F.when(sk > SKEW_LIMIT, F.format_string(RIGHT_SKEW, F.col("column"), sk))
@@ -96,7 +95,6 @@ def trends(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del spark
     return out
 
 
@@ -199,11 +197,17 @@ def rule_insights(df: DataFrame, correlations: DataFrame, outliers: DataFrame, t
     return shape_l.unionByName(miss_l).unionByName(corr_l).unionByName(out_l)
 
 
-def patterns(df: DataFrame, trend_lines: DataFrame) -> DataFrame:
-    """CV > 1 sentences (every numeric column) then the first 3 trends."""
+def patterns(df: DataFrame, trend_lines: DataFrame, summary: DataFrame | None = None, cv_columns: int | None = None) -> DataFrame:
+    """CV > 1 sentences then the first 3 trends.  Every numeric column counts;
+    ``cv_columns=1`` looks at the first numeric column only."""
     parts = []
     if numeric_columns(df):
-        v = S.variability(df).filter(F.col("high_variability"))
+        if summary is not None:
+            v = summary.select("column", "ord", F.try_divide(F.col("std"), F.abs("mean")).alias("cv")).filter(F.col("cv") > CV_LIMIT)
+        else:
+            v = S.variability(df).filter(F.col("high_variability"))
+        if cv_columns is not None:
+            v = v.filter(F.col("ord") < cv_columns)
         parts.append(_lines(v, F.format_string(CV_SENTENCE, "column", F.col("cv")), F.col("ord")))
     first3 = trend_lines.orderBy("ord").limit(PATTERN_TRENDS).collect()  # a few short lines
     spark = df.sparkSession
@@ -237,7 +241,7 @@ def top_up_recommendations(recs: DataFrame, minimum: int = 3, maximum: int = 5)
 def executive_summary(table: DataFrame, correlations: DataFrame, outliers: DataFrame) -> DataFrame:
     """The one-sentence summary (from one-row results)."""
     t = table.first()
-    nc = correlations.count()  # at most 15 rows
+    nc = correlations.count()  # one row per strong pair
     no = outliers.count()  # one row per numeric column
     text = SUMMARY_SENTENCE % (f"{t['rows']:,}", t["columns"], nc, no)
     return table.sparkSession.createDataFrame([(0, text)], LINES)
@@ -292,44 +296,70 @@ def _local(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def _has_shuffle_work(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(k in plan for k in ("Aggregate", "Join", "Window", "Deduplicate", "Sort", "Generate", "MapInPandas"))
+INSIGHT_REPLY = "insights array<string>, patterns array<string>, recommendations array<string>, executive_summary string"
+
+
+def reply_sections(replies: DataFrame, col: str) -> DataFrame:
+    """An object reply as (section, ord, text) rows: insights, patterns, recommendations, executive_summary.
+    A broken reply gives no row."""
+    from tablewise.operators.enrich import parse_reply
 
+    o = parse_reply(replies, col, INSIGHT_REPLY, kind="object")
+    def rows(section: str) -> Column:
+        items = F.coalesce(F.col(section), F.array().cast("array<string>"))
+        return F.transform(items, lambda t, i: F.struct(F.lit(section).alias("section"), i.cast("int").alias("ord"), t.alias("text")))
 
-def analyze(df: DataFrame, approx: bool = False, persist: bool | None = None) -> dict[str, DataFrame]:
+    lists = [rows(section) for section in ("insights", "patterns", "recommendations")]
+    one = F.array(F.struct(F.lit("executive_summary").alias("section"), F.lit(0).alias("ord"), F.col("executive_summary").alias("text")))
+    return o.select(F.explode(F.concat(*lists, one)).alias("r")).select("r.*").filter(F.col("text").isNotNull())
+
+
+def analyze(df: DataFrame, approx: bool = False, persist: bool = False, reply: DataFrame | None = None, reply_col: str = "reply") -> dict[str, DataFrame]:
     """The whole insight step.
 
     Every result is a small table (per column, per pair or per sentence),
     materialised before returning, so the returned frames never re-read the
-    input.  ``persist=None`` caches the input for the statistics passes only
-    when it is expensive to recompute (its plan aggregates, joins or sorts);
-    a plain column-pruned file scan is cheaper to re-read than to cache.
+    input.  The moments and quantiles are computed once and handed to trends, patterns,
+    outliers and describe.  ``persist=True`` caches the input for the passes (for inputs
+    dear to recompute).  ``correlations`` shows at most ``MAX_PAIRS`` pairs, counts use all.
+
+    ``reply`` (one row, a model's answer in ``reply_col``) takes the place of the rule
+    sentences it holds; a broken reply, or a section it lacks, falls back to the rules, and
+    recommendations are topped up (I9).  ``route`` says which was used.
     """
     from pyspark import StorageLevel
 
-    if persist is None:
-        persist = _has_shuffle_work(df)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     try:
         table = _local(P.table_stats(cached))
         has_num = any(is_numeric_type(f.dataType) for f in cached.schema.fields)
-        corr = _local(S.strong_correlations(cached)) if has_num else _empty_corr(cached)
-        outl = _local(S.outlier_report(cached, approx=approx))
-        trend_l = _local(trends(cached, table))
+        every = _local(S.strong_correlations(cached)) if has_num else _empty_corr(cached)
+        corr = _local(every.orderBy(F.desc(F.abs("correlation")), "i", "j").limit(S.MAX_PAIRS))
+        summary = _local(P.numeric_summary(cached, approx=approx)) if has_num else None
+        outl = _local(S.outlier_report(cached, approx=approx, summary=summary))
+        trend_l = _local(trends(cached, table, summary))
         out = {
             "table": table,
             "correlations": corr,
             "outliers": outl,
             "trends": trend_l,
             "insights": _local(rule_insights(cached, corr, outl, table)),
-            "patterns": _local(patterns(cached, trend_l)),
+            "patterns": _local(patterns(cached, trend_l, summary)),
             "recommendations": _local(recommendations(corr)),
-            "executive_summary": executive_summary(table, corr, outl),
+            "executive_summary": executive_summary(table, every, outl),
             "business_context": _local(business_context(cached)),
         }
         if has_num:
-            out["numerical"] = _local(P.describe(cached, approx=approx))
+            out["numerical"] = _local(P._described(summary))
+        route = "rules"
+        if reply is not None:
+            said = _local(reply_sections(reply, reply_col))
+            for section in ("insights", "patterns", "recommendations", "executive_summary"):
+                part = said.filter(F.col("section") == section).select("ord", "text")
+                if not part.isEmpty():
+                    out[section], route = part, "reply"
+            out["recommendations"] = _local(top_up_recommendations(out["recommendations"]))
+        out["route"] = cached.sparkSession.createDataFrame([(route,)], "route string")
         return out
     finally:
         if persist:

@@ -110,3 +110,4 @@ from tablewise.plans import catalog_enrich  # noqa: E402,F401
 from tablewise.plans import catalog_charts  # noqa: E402,F401
 from tablewise.plans import catalog_insights  # noqa: E402,F401
 from tablewise.plans import catalog_streaming  # noqa: E402,F401
+from tablewise.plans import catalog_extended  # noqa: E402,F401

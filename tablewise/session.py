@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -83,14 +84,24 @@ def materialize(df: DataFrame) -> DataFrame:
 
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
-    try:
-        df.write.mode("error").parquet(path)
-    except Exception:  # noqa: BLE001 - e.g. interval / void columns
+    if not _parquet_holds(df.schema):
         return df.checkpoint(eager=True)
+    df.write.mode("error").parquet(path)
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _parquet_holds(t: T.DataType) -> bool:
+    """Can a Parquet table hold this type (intervals and untyped nulls cannot)?"""
+    if isinstance(t, T.StructType):
+        return all(_parquet_holds(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _parquet_holds(t.elementType)
+    if isinstance(t, T.MapType):
+        return _parquet_holds(t.keyType) and _parquet_holds(t.valueType)
+    return not isinstance(t, (T.NullType, T.CalendarIntervalType, T.DayTimeIntervalType, T.YearMonthIntervalType))
+
+
 _WRITTEN: dict[str, list[str]] = {}
 _CACHED: dict[str, list[DataFrame]] = {}
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,6 @@ from tablewise.operators.clean import _c, apply_numeric_plan, nan_to_null_all
 # Text read as booleans by the CSV loader.
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
-REPLACEMENT_CHAR = "�"
 BOM = "﻿"
 
 
@@ -45,6 +44,42 @@ def _raw_csv(spark: SparkSession, path: str | Sequence[str], encoding: str, mult
     return _strip_bom(reader.csv(path if isinstance(path, str) else list(path)))
 
 
+def _broken_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Does a quoted cell go on over a line break?  Then some line holds an odd number of
+    quotes (an escaped quote counts twice).  One scan of the raw lines."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path if isinstance(path, str) else list(path))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
+def _text_of(c: Column, utf8: Column) -> Column:
+    """A cell read as ISO-8859-1 (which keeps every byte) in its file's real encoding."""
+    return F.when(utf8, F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+
+
+def _by_file_encoding(raw: DataFrame) -> DataFrame:
+    """Decode each file by itself: UTF-8 where all its bytes are valid UTF-8, else Latin-1.
+
+    ``raw`` was read as ISO-8859-1.  One aggregate lists the files that are not UTF-8; a
+    folder whose files are all UTF-8 (or all not) needs no list.
+    """
+    cells = F.concat_ws("\n", *[_c(n) for n in raw.columns])
+    valid = F.is_valid_utf8(F.encode(cells, "ISO-8859-1").cast("string"))
+    file = F.col("_metadata.file_path")
+    flagged = raw.select(file.alias("f"), valid.alias("v")).groupBy("f").agg(F.bool_and("v").alias("v"))
+    n = flagged.agg(F.count_if("v").alias("good"), F.count_if(~F.col("v")).alias("bad")).first()
+    if not n["bad"]:
+        utf8 = F.lit(True)
+    elif not n["good"]:
+        utf8 = F.lit(False)
+    else:
+        files = flagged.filter(~F.col("v")).select(F.col("f").alias("__file"), F.lit(True).alias("__latin1"))
+        raw = raw.withColumn("__file", file).join(files, "__file", "left")
+        utf8 = F.col("__latin1").isNull()
+    names = [c for c in raw.columns if c not in ("__file", "__latin1")]
+    return raw.select(*[_text_of(_c(c), utf8).alias(c) for c in names])
+
+
 def _inference_aggs(df: DataFrame, text: Sequence[str]) -> list:
     """Every per-column check of type inference, for ONE aggregate."""
     toks = TRUE_TOKENS + FALSE_TOKENS
@@ -106,42 +141,36 @@ def read_csv(
     null_tokens: Sequence[str] | None = None,
     encoding: str | None = None,
     infer: bool = True,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """S1 + S2: CSV with header; the 18 default null tokens and the empty cell
-    become NULL; types inferred per whole column; UTF-8 first, and if any cell
-    holds the replacement character the file is re-read as ISO-8859-1.
-
-    The encoding check and all inference checks share ONE aggregate over the
-    file (a second one only when the file had to be re-read as Latin-1).
-    ``multiline`` allows quoted line breaks but makes each file one task, so
-    it is off by default (large files then split across tasks).
+    become NULL; types inferred per whole column; each file is UTF-8 if its bytes are
+    valid UTF-8 and ISO-8859-1 otherwise (one bad file does not touch the others, and
+    a valid U+FFFD is kept).
+
+    Quoted line breaks are kept: with ``multiline=None`` one scan of the raw lines
+    looks for an open quote, and only then are files read as a whole (one task per
+    file; without quoted breaks large files split across tasks).  ``True`` /
+    ``False`` skip that scan.  An explicit ``encoding`` skips the encoding check.
     """
     toks = list(NULL_TOKENS if null_tokens is None else null_tokens)
-
-    def load(enc: str) -> DataFrame:
-        raw = _raw_csv(spark, path, enc, multiline)
-        return raw.select(*[nullify_tokens(_c(n), toks).alias(n) for n in raw.columns])
-
-    clean = load(encoding or "UTF-8")
-    if not clean.columns:
-        return clean
-    text = list(clean.columns)
-    aggs = _inference_aggs(clean, text) if infer else []
-    check_enc = encoding is None
-    if check_enc:
-        aggs.append(F.count_if(F.concat_ws("", *[_c(n) for n in text]).contains(REPLACEMENT_CHAR)).alias("__bad_enc"))
-    if not aggs:
-        return clean
-    row = clean.agg(*aggs).first()
-    if check_enc and (row["__bad_enc"] or any(REPLACEMENT_CHAR in n for n in text)):
-        clean = load("ISO-8859-1")
-        text = list(clean.columns)
-        if not infer:
-            return clean
-        row = clean.agg(*_inference_aggs(clean, text)).first()
+    if multiline is None:
+        multiline = _broken_lines(spark, path)
+    raw = _raw_csv(spark, path, encoding or "ISO-8859-1", multiline)
+    if not raw.columns:
+        return raw
+    if encoding is None:
+        names = [n.encode("ISO-8859-1") for n in raw.columns]
+        raw = _by_file_encoding(raw)
+        try:
+            raw = raw.toDF(*[n.decode("UTF-8").removeprefix(BOM) for n in names])
+        except UnicodeDecodeError:
+            pass
+    clean = raw.select(*[nullify_tokens(_c(n), toks).alias(n) for n in raw.columns])
     if not infer:
         return clean
+    text = list(clean.columns)
+    row = clean.agg(*_inference_aggs(clean, text)).first()
     return _apply_inference(clean, *_plan_from_row(row, text))
 
 
@@ -195,10 +224,22 @@ def read_jdbc(spark: SparkSession, **kwargs) -> DataFrame:
 
 def read_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame | str] | None = None) -> DataFrame:
     """Run a SELECT over registered tables (DataFrames or parquet paths)."""
-    for name, src in (tables or {}).items():
-        df = spark.read.parquet(src) if isinstance(src, str) else src
-        df.createOrReplaceTempView(name)
-    return nan_to_null_all(spark.sql(query))
+    given = {name: spark.read.parquet(src) if isinstance(src, str) else src for name, src in (tables or {}).items()}
+    before = {name: spark.table(name) for name in given if _is_temp_view(spark, name)}
+    try:
+        for name, df in given.items():
+            df.createOrReplaceTempView(name)
+        return nan_to_null_all(spark.sql(query))  # resolved here: the views are not needed afterwards
+    finally:
+        for name in given:  # the caller's views of the same names come back
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _is_temp_view(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary
 
 
 def read_json_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:

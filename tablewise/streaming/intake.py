@@ -11,6 +11,7 @@ it, which is per-batch, not table-wide, semantics.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,14 +79,16 @@ def start_clean_stream(
 
     The checkpoint location defaults to a folder under the shared
     ``spark.checkpoint.dir`` so a restarted query resumes exactly once.
-    ``per_batch`` (optional) is applied to each micro-batch before writing.
+    ``per_batch`` (optional) is applied to each micro-batch before writing; its
+    results go to ``batch=<n>`` folders below the sink (read as a column ``batch``).
     """
     cleaned = row_local_clean(df, **clean_kwargs)
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{abs(hash(sink_path))}"
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{hashlib.sha256(sink_path.encode()).hexdigest()}"
     if per_batch is None:
         return cleaned.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", ckpt).outputMode("append").start()
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        per_batch(batch).write.mode("append").format(fmt).save(sink_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        # one folder per micro-batch, overwritten: a batch replayed after a restart is not appended twice
+        per_batch(batch).write.mode("overwrite").format(fmt).save(f"{sink_path.rstrip('/')}/batch={epoch}")
 
     return cleaned.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).start()

@@ -28,8 +28,10 @@ def test_fallback_whole_table(spark):
     assert not enhanced and out.count() == 40
     out2, enhanced2, _ = E.enrich_or_fallback(df, lambda p: p, max_rows=None)
     assert enhanced2 and out2.count() == 40
-    _, gated, msg = E.enrich_or_fallback(spark.range(600).selectExpr("id"), lambda p: p)
+    _, gated, msg = E.enrich_or_fallback(spark.range(600).selectExpr("id"), lambda p: p, max_rows=E.ROW_GATE)
     assert not gated and "500" in msg
+    out3, enhanced3, _ = E.enrich_or_fallback(spark.range(600).selectExpr("id"), lambda p: p)  # no gate unless asked for
+    assert enhanced3 and out3.count() == 600
 
 
 def test_parse_reply_fenced_and_broken(spark):
