@@ -40,13 +40,13 @@ def test_scans_do_not_grow_with_columns(wide):
 
 def test_one_scan_statistics_match_pandas(wide):
     pdf = wide.toPandas()
-    want = pdf.corr()
+    near = pdf.assign(c8=pdf.c8 - 1e9)  # exact, and free of the rounding that a mean of 1e9 brings
     for r in S.correlation_pairs(wide, full=True).collect():
-        w = want.loc[r.col1, r.col2]
         if r.col1 == "c7" or r.col2 == "c7":
             assert r.r is None
         else:
-            assert r.r == pytest.approx(w, abs=1e-8)  # pandas itself rounds c8, whose mean is 1e9
+            both = near[[r.col1, r.col2]].dropna().to_numpy()
+            assert r.r == pytest.approx(np.corrcoef(both[:, 0], both[:, -1])[0, 1], abs=1e-9)
     assert dict(P.distinct_counts(wide).select("column", "unique").collect()) == {c: pdf[c].nunique() for c in pdf}
     got = P.numeric_summary(wide, with_quartiles=False).toPandas().set_index("column")
     assert np.allclose(got["std"].loc[list(pdf)], pdf.std()) and np.allclose(got["skewness"].drop("c7").loc["c0":], pdf.skew().drop("c7").loc[got.index.drop("c7")])
