@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import prepare, read_table
+from tablewise.llm.common import prepare, read_table, store
 
 #: Documents per language that the profiles are learned from (those of smallest id hash).
 TRAIN_DOCS = 2000
@@ -124,8 +124,11 @@ def training_rows(docs: DataFrame, usable, per_lang: int, id_col: str, text_col:
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), usable.alias("ok"))
     rows = rows.where("ok and lang is not null and text is not null")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bars = rows.select("lang", "h").withColumn("r", first).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("h").alias("bar"))
-    return rows.join(bars, "lang").where("h <= bar").select("lang", "text")
+    bars = store(rows.select("lang", "h").withColumn("r", first).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("h").alias("bar")))
+    if bars.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    # at most MAX_LANGS rows: the texts stay where they are
+    return rows.join(F.broadcast(bars), "lang").where("h <= bar").select("lang", "text")
 
 
 def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: str = "text", doc_grams: int = DOC_GRAMS, profile_size: int = PROFILE_SIZE) -> DataFrame:
