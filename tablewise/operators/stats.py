@@ -62,8 +62,9 @@ def quartiles(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = F
 
 
 def _comoments(k: int):
-    """Per task: for every pair of columns the row count, both means and the three
-    central second moments over the rows where both are present."""
+    """Per task: for every pair of columns the row count, both means (a value of the
+    column plus the mean offset from it) and the three central second moments over the
+    rows where both are present."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, sums = None, None
@@ -86,7 +87,7 @@ def _comoments(k: int):
         i, j, n, sx, sy, sxx, syy, sxy = (a[some] for a in (i, j, n, sx, sy, sxx, syy, sxy))
         yield pd.DataFrame(
             {
-                "i": i, "j": j, "n": n, "mx": base[i] + sx / n, "my": base[j] + sy / n,
+                "i": i, "j": j, "n": n, "bx": base[i], "by": base[j], "ox": sx / n, "oy": sy / n,
                 "cxx": sxx - sx * sx / n, "cyy": syy - sy * sy / n, "cxy": sxy - sx * sy / n,
             }
         )
@@ -109,13 +110,15 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, full: bo
         return spark.createDataFrame([], "col1 string, col2 string, i int, j int, r double")
     ship_package(spark)
     wide = df.select(*[_num(df, n).alias(f"c{k}") for k, n in enumerate(num)])
-    parts = wide.mapInPandas(_comoments(len(num)), "i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double")
+    parts = wide.mapInPandas(_comoments(len(num)), "i int, j int, n double, bx double, by double, ox double, oy double, cxx double, cyy double, cxy double")
     total = Window.partitionBy("i", "j")
-    mean = parts.withColumns({"__n": F.sum("n").over(total), "__x": F.sum(F.col("n") * F.col("mx")).over(total), "__y": F.sum(F.col("n") * F.col("my")).over(total)})
+    # means relative to one task's value: differences of near numbers are exact, sums of large ones are not
+    near = parts.withColumns({"mx": F.col("bx") - F.min("bx").over(total) + F.col("ox"), "my": F.col("by") - F.min("by").over(total) + F.col("oy")})
+    mean = near.withColumns({"__n": F.sum("n").over(total), "__x": F.sum(F.col("n") * F.col("mx")).over(total), "__y": F.sum(F.col("n") * F.col("my")).over(total)})
     dx, dy = F.col("mx") - F.col("__x") / F.col("__n"), F.col("my") - F.col("__y") / F.col("__n")
     n = F.col("n")
     c = mean.groupBy("i", "j").agg(
-        F.max("__n").alias("n"), F.max(F.abs("mx")).alias("ax"), F.max(F.abs("my")).alias("ay"),
+        F.max("__n").alias("n"), F.max(F.abs(F.col("bx") + F.col("ox"))).alias("ax"), F.max(F.abs(F.col("by") + F.col("oy"))).alias("ay"),
         F.sum(F.col("cxx") + n * dx * dx).alias("cxx"), F.sum(F.col("cyy") + n * dy * dy).alias("cyy"), F.sum(F.col("cxy") + n * dx * dy).alias("cxy"),
     )
     # spread below the rounding of the mean itself: a constant column

@@ -10,12 +10,13 @@ from tablewise.operators import clean as C
 from tablewise.operators import enrich as E
 from tablewise.operators import profile as P
 from tablewise.operators.quantiles import quantiles
+from tablewise.plans.registry import _r, _with, query  # first: a worker may import this module by itself
+
 from tablewise.plans import charts as V
 from tablewise.plans import fixtures as fx
 from tablewise.plans import insights as I
 from tablewise.plans.catalog_clean import _NAN_EVENTS_SQL, nan_events
 from tablewise.plans.prepare import prepare
-from tablewise.plans.registry import _r, _with, query
 
 # --- quantiles that need several levels -----------------------------------------
 

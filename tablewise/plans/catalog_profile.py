@@ -60,8 +60,12 @@ def _stats_sql(src: str, cols: list[str]) -> str:
 )
 def q_p04(spark, sf):
     from tablewise.plans.registry import cleaned_lineitem
+    from tablewise.session import release
 
-    return P.cleaning_report(fx.dirty_lineitem(spark, sf), cleaned_lineitem(spark, sf)).select("metric", "before", "after")
+    cleaned = cleaned_lineitem(spark, sf)
+    out = P.cleaning_report(fx.dirty_lineitem(spark, sf), cleaned).select("metric", "before", "after")  # four rows, computed here
+    release(cleaned)
+    return out
 
 
 def _types_sql(src: str, cols: list[str], dt: set[str], num: set[str]) -> str:

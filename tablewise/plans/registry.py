@@ -100,8 +100,13 @@ def cleaned_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_clean_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewise.operators.profile import describe
+    from tablewise.plans.insights import _local
+    from tablewise.session import release
 
-    return _describe_cols(describe(cleaned_lineitem(spark, sf_dir)))
+    cleaned = cleaned_lineitem(spark, sf_dir)
+    out = _local(_describe_cols(describe(cleaned)))  # one row per column
+    release(cleaned)
+    return out
 from tablewise.plans import catalog_clean  # noqa: E402,F401
 from tablewise.plans import catalog_profile  # noqa: E402,F401
 from tablewise.plans import catalog_stats  # noqa: E402,F401

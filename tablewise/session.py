@@ -88,7 +88,23 @@ def materialize(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     df.write.mode("error").parquet(path)
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._tablewise_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``materialize`` returned, once its results are held elsewhere."""
+    path = getattr(df, "_tablewise_path", None)
+    written = _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
+    if path in written:
+        written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
 def _parquet_holds(t: T.DataType) -> bool:
@@ -122,11 +138,8 @@ def release_materialized(spark: SparkSession) -> int:
     for cached in _CACHED.pop(spark.sparkContext.applicationId, []):
         cached.unpersist()
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        hp.getFileSystem(conf).delete(hp, True)
+        _delete(spark, p)
     return len(paths)
 
 
