@@ -18,7 +18,9 @@ about 25 on average) make a string over which the difference-cover algorithm run
    again.  This step is exact on bytes (cores by 128-bit fingerprint).
 
 Every text is its own string, so matches never cross documents.  Copies of a text are collapsed
-per task and in the sort; a run of more than ``max_run`` members is spread by start instead.
+per task, and so are members with equal bytes: the second one a task meets is a repeat for certain, so only
+the first travels and a passage in a third of all texts sends one row per task.  A run of more than
+``max_run`` members is spread by start instead.
 No step moves whole texts but the two joins that bring the marks to the texts.
 """
 
@@ -39,6 +41,8 @@ from tablewise.llm.common import discard, prepare, read_table, store
 
 #: Positions of a run of which one is an anchor; bytes hashed at a position.
 RUN, GRAM = 48, 8
+#: Members a task remembers before it starts afresh (about 150 MB).
+FORMS = 1_000_000
 _PIECE = 1 << 20
 
 
@@ -126,14 +130,29 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _members(window: int):
-    """(core, left, right, sid, p) of every anchor that a repeated name reaches."""
+    """(core, left, right, sid, p, mask) of every anchor that a repeated name reaches.
+
+    mask is set, and the bytes are left out, where the task itself holds another member with equal bytes;
+    such a row's core is unique, so it spreads evenly."""
     back = RUN - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        forms: dict[bytes, tuple[int, int] | None] = {}
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            core, left, right, sids, at = [], [], [], [], []
+            core, left, right, sids, at, masks = [], [], [], [], [], []
+
+            def sure(sid: int, q: int, mask: int) -> None:
+                core.append(digest(b"%d %d" % (sid, q)))  # noqa: B023 - used within this batch only
+                left.append(None)  # noqa: B023
+                right.append(None)  # noqa: B023
+                sids.append(sid)  # noqa: B023
+                at.append(q)  # noqa: B023
+                masks.append(mask)  # noqa: B023
+
+            if len(forms) > FORMS:
+                forms.clear()
             for sid, raw, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if sid in seen:
                     continue
@@ -151,15 +170,25 @@ def _members(window: int):
                     r = raw[stop : stop + RUN]
                     if len(r) + (q - back - lo) < RUN:  # no window fits before the end of the text
                         continue
+                    whole = digest(b"%d " % (q - back - lo) + raw[lo : stop + RUN])
+                    if whole in forms:
+                        full = _valid(raw[lo : q - back], r)
+                        if forms[whole] is not None:
+                            sure(*forms[whole], full)
+                            forms[whole] = None
+                        sure(sid, q, full)
+                        continue
+                    forms[whole] = (sid, q)
                     core.append(digest(raw[q - back : stop]))
                     left.append(raw[lo : q - back])
                     right.append(r)
                     at.append(q)
                     sids.append(sid)
+                    masks.append(None)
             if core:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(sids, pa.int64()), pa.array(at, pa.int64())],
-                    names=["core", "left", "right", "sid", "p"],
+                    [*(pa.array(c, pa.binary()) for c in (core, left, right)), *(pa.array(c, pa.int64()) for c in (sids, at, masks))],
+                    names=["core", "left", "right", "sid", "p", "mask"],
                 )
 
     return run
@@ -272,14 +301,14 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     hits = store(rows.groupBy("sid").agg(F.collect_set("a").alias("hits")))
     _drop_shuffles(spark)
 
-    found = long.select("sid", "raw").join(hits, "sid").select("sid", "raw", "hits").mapInArrow(_members(window), "core binary, left binary, right binary, sid long, p long")
+    found = long.select("sid", "raw").join(hits, "sid").select("sid", "raw", "hits").mapInArrow(_members(window), "core binary, left binary, right binary, sid long, p long, mask long")
     run = Window.partitionBy("core")
-    found = found.withColumns({"n": F.count("*").over(run), "lo": F.min(F.struct("left", "right")).over(run), "hi": F.max(F.struct("left", "right")).over(run)}).where("n > 1")
+    found = found.withColumns({"n": F.count("*").over(run), "lo": F.min(F.struct("left", "right")).over(run), "hi": F.max(F.struct("left", "right")).over(run)}).where("n > 1 or mask is not null")
     alike = F.col("lo") == F.col("hi")
     valid = F.expr(f"shiftleft(1L, length(left) + 1) - shiftleft(1L, greatest(0, {RUN} - length(right)))")
     found = store(
         found.select(
-            "sid", "p", "n", F.when(alike, valid).alias("mask"), *[F.when(~alike, F.col(c)).alias(c) for c in ("core", "left", "right")]
+            "sid", "p", "n", F.coalesce("mask", F.when(alike, valid)).alias("mask"), *[F.when(~alike, F.col(c)).alias(c) for c in ("core", "left", "right")]
         )
     )
     discard(hits)
