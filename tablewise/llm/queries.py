@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, secret_grammar, simhash_blocks, suffix_dedup, url_digest
+from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, secret_grammar, simhash_blocks, suffix_dedup, suffix_sql, url_digest
 
 QUERIES = {
     "op1_ann_block": ann_block.query,
@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_ann_block": ann_block.SQL,
+    "op7_suffix_dedup": suffix_sql.SQL,
     "op8_url_digest": url_digest.SQL,
     "op9_embed_pigeonhole": embed_pigeonhole.SQL,
 }
