@@ -140,15 +140,6 @@ def q_p08b(spark, sf):
     return P.skew_kurtosis(fx.table(spark, sf, "documents")).select("column", "skewness", "kurtosis")
 
 
-def _vc_sql(src: str, cols: list[str], width: int | None = None) -> str:
-    val = "CAST({c} AS VARCHAR)" if width is None else f"substr(CAST({{c}} AS VARCHAR), 1, {width})"
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS column, {val.format(c=c)} AS value, CAST(count(*) AS BIGINT) AS count, min({c}) AS okey_{i} "
-        f"FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}"
-        for i, c in enumerate(cols)
-    )
-
-
 def _vc_long_sql(src: str, cols: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS count "

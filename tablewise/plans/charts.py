@@ -196,7 +196,16 @@ def distribution_grid(df: DataFrame, tmap: dict[str, str] | None = None) -> list
 # ---------------------------------------------------------------------------
 
 
-def rule_plan_rows(tmap: dict[str, str], numeric_dtype_cols: Sequence[str]) -> list[tuple]:
+def rule_plan_rows(
+    tmap: dict[str, str],
+    numeric_dtype_cols: Sequence[str],
+    pair_numerics: int = MAX_PAIR_NUMERICS,
+    box_categoricals: int = MAX_BOX_CATEGORICALS,
+    box_numerics: int = MAX_BOX_NUMERICS,
+    time_datetimes: int = MAX_TIME_DATETIMES,
+    time_numerics: int = MAX_TIME_NUMERICS,
+) -> list[tuple]:
+    """V9 rows; the parameters say how many columns of each kind get two-column charts."""
     rows: list[tuple] = []
 
     def add(kind, chart, x, y, title):
@@ -211,25 +220,26 @@ def rule_plan_rows(tmap: dict[str, str], numeric_dtype_cols: Sequence[str]) -> l
             add("univariate", "bar", c, None, TITLE_VALUE_COUNTS.format(x=c))
         elif t == "datetime":
             add("univariate", "line", c, None, TITLE_TIME_SERIES.format(x=c))
-    nums = _by_type(tmap, "numerical")[:MAX_PAIR_NUMERICS]
+    nums = _by_type(tmap, "numerical")[:pair_numerics]
     for i, c1 in enumerate(nums):
         for c2 in nums[i + 1:]:
             add("bivariate", "scatter", c1, c2, TITLE_SCATTER.format(x=c1, y=c2))
-    for cat in _by_type(tmap, "categorical")[:MAX_BOX_CATEGORICALS]:
-        for num in nums[:MAX_BOX_NUMERICS]:
+    for cat in _by_type(tmap, "categorical")[:box_categoricals]:
+        for num in nums[:box_numerics]:
             add("bivariate", "box", cat, num, TITLE_BOX.format(x=cat, y=num))
-    for dt in _by_type(tmap, "datetime")[:MAX_TIME_DATETIMES]:
-        for num in nums[:MAX_TIME_NUMERICS]:
+    for dt in _by_type(tmap, "datetime")[:time_datetimes]:
+        for num in nums[:time_numerics]:
             add("bivariate", "line", dt, num, TITLE_OVER_TIME.format(x=dt, y=num))
     if len(numeric_dtype_cols) >= 2:
         add("correlation", "heatmap", None, None, HEATMAP_TITLE)
     return rows
 
 
-def rule_plan(df: DataFrame, types_df: DataFrame | None = None) -> DataFrame:
-    """V9: the rule-based chart plan as a DataFrame (bounded by the column count)."""
+def rule_plan(df: DataFrame, types_df: DataFrame | None = None, **limits: int) -> DataFrame:
+    """V9: the rule-based chart plan as a DataFrame (bounded by the column count); ``limits``
+    are those of ``rule_plan_rows``."""
     tmap = _types_map(df, types_df)
-    rows = rule_plan_rows(tmap, numeric_columns(df))
+    rows = rule_plan_rows(tmap, numeric_columns(df), **limits)
     return df.sparkSession.createDataFrame(rows, PLAN_SCHEMA)
 
 

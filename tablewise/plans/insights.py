@@ -124,20 +124,20 @@ def choose_columns(df: DataFrame) -> tuple[str | None, str | None]:
     return date_col, value_col
 
 
-def business_context(df: DataFrame) -> DataFrame:
-    """Top-3 values of the first 3 non-numeric columns (names cut to 20) and
+def business_context(df: DataFrame, columns: int = CONTEXT_COLUMNS, top: int = CONTEXT_TOP, width: int = CONTEXT_WIDTH) -> DataFrame:
+    """The ``top`` values of the first ``columns`` non-numeric columns (cut to ``width``) and
     monthly totals of the value column over the date column, as text lines."""
     parts = []
-    cats = [c for c in non_numeric_columns(df) if c in df.columns][:CONTEXT_COLUMNS]
+    cats = [c for c in non_numeric_columns(df) if c in df.columns][:columns]
     types = {f.name: f.dataType for f in df.schema.fields}
     cats = [c for c in cats if not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType))]
     spark = df.sparkSession
     if cats:
-        top = P.top_values(df, cats, k=CONTEXT_TOP, width=CONTEXT_WIDTH)
+        best = P.top_values(df, cats, k=top, width=width)
         order = {c: i for i, c in enumerate(cats)}
         ordmap = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
         item = F.format_string("'%s': %d records", F.col("value"), F.col("count"))
-        per_col = top.groupBy("column").agg(
+        per_col = best.groupBy("column").agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", item.alias("t")))), lambda s: s["t"]), ", ").alias("items")
         )
         parts.append(spark.createDataFrame([(0, "Categorical Columns Top Values:")], LINES))
@@ -197,8 +197,8 @@ def rule_insights(df: DataFrame, correlations: DataFrame, outliers: DataFrame, t
     return shape_l.unionByName(miss_l).unionByName(corr_l).unionByName(out_l)
 
 
-def patterns(df: DataFrame, trend_lines: DataFrame, summary: DataFrame | None = None, cv_columns: int | None = None) -> DataFrame:
-    """CV > 1 sentences then the first 3 trends.  Every numeric column counts;
+def patterns(df: DataFrame, trend_lines: DataFrame, summary: DataFrame | None = None, cv_columns: int | None = None, first: int = PATTERN_TRENDS) -> DataFrame:
+    """CV > 1 sentences then the ``first`` trends.  Every numeric column counts;
     ``cv_columns=1`` looks at the first numeric column only."""
     parts = []
     if numeric_columns(df):
@@ -209,7 +209,7 @@ def patterns(df: DataFrame, trend_lines: DataFrame, summary: DataFrame | None =
         if cv_columns is not None:
             v = v.filter(F.col("ord") < cv_columns)
         parts.append(_lines(v, F.format_string(CV_SENTENCE, "column", F.col("cv")), F.col("ord")))
-    first3 = trend_lines.orderBy("ord").limit(PATTERN_TRENDS).collect()  # a few short lines
+    first3 = trend_lines.orderBy("ord").limit(first).collect()  # a few short lines
     spark = df.sparkSession
     parts.append(spark.createDataFrame([(100_001 + k, r["text"]) for k, r in enumerate(first3)], LINES))
     out = parts[0]
@@ -259,9 +259,9 @@ def metrics(before: DataFrame, after: DataFrame, outliers: DataFrame | None = No
     )
 
 
-def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: DataFrame, trend_lines: DataFrame, plan: DataFrame | None = None) -> DataFrame:
-    """The text block handed to an external model (top 8 pairs, 6 outlier
-    columns, 5 trends, stats lines, chart lines) as one row (text).
+def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: DataFrame, trend_lines: DataFrame, plan: DataFrame | None = None, pairs: int = BLOCK_PAIRS, outlier_columns: int = BLOCK_OUTLIERS, first_trends: int = BLOCK_TRENDS) -> DataFrame:
+    """The text block handed to an external model (top ``pairs``, worst
+    ``outlier_columns``, ``first_trends``, stats lines, chart lines) as one row (text).
 
     Every block is a top-k (``orderBy().limit(k)``) of a table with one row
     per column or pair, so only a few dozen short lines reach the driver.
@@ -279,12 +279,12 @@ def context_block(describe_df: DataFrame, correlations: DataFrame, outliers: Dat
     out += lines(describe_df, F.format_string("  %s: mean=%s, std=%s, min=%s, max=%s", "column", g("mean"), g("std"), g("min"), g("max")), ["ord"], None)
     out.append("Correlations:")
     out += lines(correlations, F.format_string("  %s ↔ %s: r=%+.2f (%s)", "col1", "col2", "correlation", "strength"),
-                 [F.desc(F.abs("correlation")), "i", "j"], BLOCK_PAIRS)
+                 [F.desc(F.abs("correlation")), "i", "j"], pairs)
     out.append("Outliers:")
     out += lines(outliers, F.format_string("  %s: %d outliers (%s%%)", "column", "outlier_count", F.col("outlier_pct").cast("string")),
-                 [F.desc("outlier_pct"), "ord"], BLOCK_OUTLIERS)
+                 [F.desc("outlier_pct"), "ord"], outlier_columns)
     out.append("Trends:")
-    out += lines(trend_lines, F.concat(F.lit("  • "), F.col("text")), ["ord"], BLOCK_TRENDS)
+    out += lines(trend_lines, F.concat(F.lit("  • "), F.col("text")), ["ord"], first_trends)
     out.append("Charts:")
     if plan is not None:
         out += lines(plan, F.format_string("  • Chart %d: '%s' - %s", F.col("ord") + 1, "title", F.coalesce("description", F.lit(""))), ["ord"], None)
