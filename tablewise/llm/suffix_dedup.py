@@ -91,7 +91,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _names(depth: int):
-    """(k1 .. k_depth, sid, a): names of 3, 9, ... letters of every sampled anchor."""
+    """(k1 .. k_depth, sid, a, sure): names of 3, 9, ... letters of every sampled anchor.
+
+    A name met twice in one Arrow batch is a repeat for certain: all its places are ``sure`` rows, which
+    pass by the sort under names of their own, and one of them travels under the real name for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -116,17 +119,26 @@ def _names(depth: int):
                 sids.append(np.full(len(idx), sid, np.int64))
                 at.append(np.array(starts, np.int64))
             if sids:
-                cols = [*(np.concatenate(k) for k in keys), np.concatenate(sids), np.concatenate(at)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*(f"k{d + 1}" for d in range(depth)), "sid", "a"])
+                names, sid, a = [np.concatenate(k) for k in keys], np.concatenate(sids), np.concatenate(at)
+                order = np.argsort(names[-1], kind="stable")  # the longest names: equal ones have equal shorter ones
+                same = names[-1][order][1:] == names[-1][order][:-1]
+                later, twice = np.zeros(len(a), bool), np.zeros(len(a), bool)
+                later[order[1:][same]] = True
+                twice[order[:-1][same]] = True
+                twice |= later
+                own = (sid[twice] ^ (a[twice] * np.int64(0x9E3779B97F4A7C1))).astype(np.int64)
+                cols = [*(np.concatenate((k[~later], own)) for k in names), np.concatenate((sid[~later], sid[twice])), np.concatenate((a[~later], a[twice]))]
+                sure = np.concatenate((np.zeros(int((~later).sum()), bool), np.ones(int(twice.sum()), bool)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(sure)], names=[*(f"k{d + 1}" for d in range(depth)), "sid", "a", "sure"])
 
     return run
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose name stands at two places at least."""
+    """The rows whose name stands at two places at least, and the sure ones."""
     same = Window.partitionBy(key)
     two = rows.withColumns({"__s": F.min("sid").over(same), "__t": F.max("sid").over(same), "__a": F.min("a").over(same), "__b": F.max("a").over(same)})
-    return two.where("__s <> __t or __a <> __b").drop("__s", "__t", "__a", "__b", key)
+    return two.where("sure or __s <> __t or __a <> __b").drop("__s", "__t", "__a", "__b", key)
 
 
 def _members(window: int):
@@ -295,7 +307,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     texts = _texts(docs, id_col, text_col)
     long = texts.where(F.octet_length("raw") >= window)
     names = ", ".join(f"k{d + 1} long" for d in range(depth))
-    rows = long.select("sid", "raw").mapInArrow(_names(depth), f"{names}, sid long, a long")
+    rows = long.select("sid", "raw").mapInArrow(_names(depth), f"{names}, sid long, a long, sure boolean")
     for d in range(depth):
         rows = _repeated(rows, f"k{d + 1}")
     hits = store(rows.groupBy("sid").agg(F.collect_set("a").alias("hits")))
