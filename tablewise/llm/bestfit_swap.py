@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tablewise.llm.common import discard, prepare, read_table, store
 
 CAPACITY, END_ID = 4096, 1
-#: Words a worker remembers before it starts afresh (about 100 MB).
-CACHE_WORDS = 400_000
+#: Words a worker remembers before it starts afresh (about 60 MB).
+CACHE_WORDS = 250_000
 #: Texts of these characters only can be cut at white space and lower-cased beforehand: each
 #: is its own normal form and Python and the tokenizer agree on its case and on white space.
 _UNSAFE = re.compile("[^\t\n\r -~¡-ÿ]")
