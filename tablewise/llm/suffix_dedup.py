@@ -80,7 +80,8 @@ def anchors(raw: bytes) -> np.ndarray:
         # a position is an anchor if the largest minimum of the runs around it is its own value
         edge = np.zeros(RUN - 1, np.uint32)
         best = _slide(np.concatenate((edge, low, edge)), RUN, np.maximum)
-        found = np.flatnonzero((best == h) & (h > 0)) + lo
+        # (every position lies in a real run, so the zeros at the edges never decide, not even for a hash of 0)
+        found = np.flatnonzero(best == h) + lo
         out.append(found[(found >= at) & (found < at + _PIECE)])
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 

@@ -312,6 +312,23 @@ def test_repeats_edges(spark, monkeypatch):
     assert (suffix_dedup.anchors(text) == whole).all()
 
 
+def test_repeats_of_zero_bytes(spark):
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdeé "), 6)) for _ in range(n))
+
+    assert len(suffix_dedup.anchors(bytes(1000))) == 993
+    shared = words(40) + "\0" * 70 + words(8) + "\0" * 8 + words(50)
+    broken = "".join(words(9) + "\0" * int(n) for n in rng.integers(8, 60, 12))
+    rows = [(i, words(20) + s[int(rng.integers(0, 90)) : len(s) - int(rng.integers(0, 90))] + words(20), "en", "s") for i, s in enumerate([shared, broken] * 6)]
+    rows += [(50, "\0" * 1500, "en", "s"), (51, words(60) + "\0" * 450 + words(10), "en", "s"), (52, "\0" * 399 + words(80), "en", "s"), (53, words(30) + "\0" * 20 + words(60), "en", "s")]
+    for _, t, _, _ in rows:
+        assert np.diff(suffix_dedup.anchors(t.encode())).max() <= suffix_dedup.RUN
+    out = suffix_dedup.remove_repeats(docs(spark, rows)).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted((tuple(r) for r in out), key=repr) == plain_removal(rows, 400)
+
+
 # --- sharding -----------------------------------------------------------------
 
 
