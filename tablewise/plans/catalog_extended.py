@@ -208,6 +208,13 @@ def q_v06(spark, sf):
     return data["strip"]
 
 
+@query("v06_strip_counts_high_cardinality", "SELECT c_name AS x, c_mktsegment AS y, CAST(count(*) AS BIGINT) AS count FROM customer GROUP BY 1, 2")
+def q_v06_text(spark, sf):
+    kind, data = V.bivariate_data(fx.table(spark, sf, "customer"), "c_name", "c_mktsegment")
+    assert kind == "strip"
+    return data["strip"]
+
+
 # --- external plans -------------------------------------------------------------------
 
 _PLAN = """[{"title":"a","chart_type":"bar","x":"l_returnflag","y":"l_quantity","color":"l_linestatus"},

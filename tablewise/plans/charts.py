@@ -112,7 +112,7 @@ def bivariate(df: DataFrame, a: str, b: str, tmap: dict[str, str] | None = None)
 
 def _axis(df: DataFrame, col: str, typ: str | None, bins: int) -> Column:
     """The cell of a value along one axis: equal-width bins of numbers (their lower edge), months of
-    dates, values of categories, first characters of other text."""
+    dates, whole values of any text, however many there are."""
     if typ == "numerical":
         lo, hi, n = S.range_stats(df, col)
         if not n:
@@ -123,13 +123,15 @@ def _axis(df: DataFrame, col: str, typ: str | None, bins: int) -> Column:
         return F.when(x.isNotNull(), F.lit(lo) + k * F.lit(width))
     if typ == "datetime":
         return F.date_format(_c(col), "yyyy-MM")
-    text = _c(col).cast("string")
-    return text if typ in ("categorical", "boolean") else F.substring(text, 1, 1)
+    return _c(col).cast("string")
 
 
 def binned_pairs(df: DataFrame, x: str, y: str, tmap: dict[str, str], color: str | None = None, bins: int = 30) -> DataFrame:
     """V2 / V6 over the whole table: (x, y[, color], count) of a grid of at most ``bins`` cells per
-    numeric axis - every null-free pair is counted, none is sampled."""
+    numeric axis - every null-free pair is counted, none is sampled.
+
+    Text is grouped by its whole value, combined map side: an axis of distinct values gives as many
+    cells as pairs.  A choice or shortening for display is the caller's, after the counts."""
     df = dated(df, tmap, [x, y])
     cells = [_axis(df, x, tmap.get(x), bins).alias("x"), _axis(df, y, tmap.get(y), bins).alias("y")]
     if color:

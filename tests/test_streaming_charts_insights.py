@@ -61,6 +61,18 @@ def test_external_plan_validation(spark):
     assert items[0][1].count() == 90
 
 
+def test_high_cardinality_text_is_counted_by_whole_values(spark):
+    df = spark.createDataFrame([(f"Customer#{i % 80:03d}", f"Part {i % 60}", "ab"[i % 2], float(i % 7)) for i in range(240)], "name string, part string, flag string, v double")
+    tmap = V._types_map(df)
+    assert tmap["name"] == tmap["part"] == "high_cardinality"
+    kind, data = V.bivariate_data(df, "name", "flag", tmap)
+    assert kind == "strip"
+    assert sorted(map(tuple, data["strip"].collect())) == [(f"Customer#{i:03d}", "ab"[i % 2], 3) for i in range(80)]
+    assert V.bivariate_data(df, "name", "part", tmap)[1]["strip"].count() == 240
+    by_part = V.binned_pairs(df, "flag", "v", tmap, color="part")
+    assert by_part.select("color").distinct().count() == 60 and by_part.agg({"count": "sum"}).first()[0] == 240
+
+
 def test_insight_sentences(spark):
     df = spark.createDataFrame([(float(i), float(i) * 2 + (i % 3), 1.0 if i < 95 else 500.0) for i in range(100)], "a double, b double, c double")
     res = I.analyze(df)
