@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.llm.common import components, discard, prepare, read_table, store
 
@@ -59,6 +60,18 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``docs`` with a further column __fp."""
+    i = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle) for t in b.column(i).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 def forest(fps: np.ndarray, max_bits: int, step: int = 256) -> np.ndarray:
     """For each fingerprint of a run the position of its component's first member."""
     n = len(fps)
@@ -164,6 +177,19 @@ def links(reps: DataFrame, max_bits: int = 4, blocks: int = 6, max_run: int = 40
     return run(plain).union(run(rest)).union(run(tiled))
 
 
+def _grouped(fp: DataFrame, max_bits: int = 4, blocks: int = 6, max_run: int = 4096) -> DataFrame:
+    """(doc_id, fp) plus ``grp``, the smallest fingerprint of the component (null where no document has an id),
+    and ``component_id``.  Fingerprints are linked, not ids: different texts under one id are not linked by it."""
+    if not 0 <= max_bits < blocks:
+        raise ValueError("blocks must be more than max_bits")
+    reps = store(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    named = reps.where("rep is not null").select("fp", F.col("fp").alias("rep"))
+    found = store(components(links(named, max_bits, blocks, max_run)))
+    at = reps.join(found, reps.fp == found.node, "left").select("fp", "rep", F.when(F.col("rep").isNotNull(), F.coalesce("component", "fp")).alias("grp"))
+    low = at.groupBy("grp").agg(F.min("rep").alias("component_id"))
+    return fp.join(at.join(low, "grp", "left").select("fp", "grp", "component_id"), "fp").select("doc_id", "fp", "grp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, blocks: int = 6, max_run: int = 4096) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest id reachable over links of
     ``max_bits`` or fewer differing bits; the own id if there is none).
@@ -174,15 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id keep a row and name no component (null if nothing else is
     linked); an empty table gives an empty result; further columns are ignored.
     """
-    if not 0 <= max_bits < blocks:
-        raise ValueError("blocks must be more than max_bits")
-    fp = store(fingerprints(docs, id_col, text_col, shingle))
-    reps = store(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = reps.where("rep is not null")
-    found = store(components(links(named, max_bits, blocks, max_run)))
-    joined = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = fp.join(joined, "fp").select("doc_id", "fp", "component_id")
-    return out
+    return _grouped(store(fingerprints(docs, id_col, text_col, shingle)), max_bits, blocks, max_run).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,9 +211,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays
-    (of repeated rows one); documents without an id stay."""
+    """Pipeline stage: of each component one row stays, that of the smallest (id, fingerprint), also
+    where ids repeat (of equal rows one); documents without an id stay."""
     prepare(spark)
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    fp = store(fingerprints(docs, "doc_id", "text", 4))
+    ids = fp.where("doc_id is not null")
+    keep = store(_grouped(fp).where("doc_id is not null").groupBy("grp").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("m.doc_id", "m.fp"))
+    # ids of texts with different fingerprints: there the id alone does not say which row stays
+    several = store(ids.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id"))
+    named = docs.where("doc_id is not null")
+    one = named.join(keep.join(several, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if not several.isEmpty():
+        rows = _with_fingerprint(named.join(several, "doc_id", "left_semi").select(*docs.columns), "text", 4)
+        kept = rows.join(keep.select("doc_id", F.col("fp").alias("__fp")), ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
+        one = one.unionByName(kept.drop("__fp"))
     return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)

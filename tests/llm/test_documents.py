@@ -168,6 +168,16 @@ def test_simhash_edges_and_stage(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == [1, 3, 6, 8, 9]
 
 
+def test_simhash_stage_with_repeated_ids(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (2, c, "en", "s"), (2, a, "en", "s"), (3, c, "en", "s"), (4, d, "en", "s"), (4, d, "en", "s"), (4, b, "en", "s")]
+    found = {(r.doc_id, r.fp % (1 << 64)): r.component_id for r in simhash_blocks.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {(i, plain_fingerprint(t)): {a: 1, b: 2, c: 2, d: 4}[t] for i, t, _, _ in rows}
+    kept = simhash_blocks.stage(spark, docs(spark, rows), "")
+    assert sorted(tuple(r) for r in kept.select("doc_id", "text").collect()) == sorted([(1, a), (2, b), (2, c), (4, d)])
+
+
 def test_components_of_a_chain(spark):
     prepare(spark)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "src long, dst long")
