@@ -11,7 +11,7 @@ bounded size, and each group is packed by itself:
    its lower bound (tokens / capacity) stops at once.
 
 Bins left below ``refill`` of the capacity are opened again and packed with those
-of other groups, until one group is left: the loss does not grow with the
+of other groups, until one group is left or a round saves no bin: the loss does not grow with the
 number of groups.
 """
 
@@ -133,11 +133,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, max_pairs: int = 2000) -> list[list[int]]:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that increase the sum of squared fills.
 
-    ``max_pairs`` bounds the two-for-one trials per step, not the result: a bin
-    of more pieces has its longest tried first.
+    Every piece and every pair of the giving bin is tried against every piece of the others: of the
+    sorted lengths and pair sums, the largest that still fits gains most.
     """
     least = -(-int(lengths.sum()) // capacity)
     bins = [list(b) for b in bins]
@@ -171,16 +171,22 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, max_
                     if gain > best[0]:
                         best = (gain, [int(i)], None, r)
             if best[1] is None and len(others):
-                k = min(len(mine), int((2 * max_pairs) ** 0.5) + 1)
-                combos = [([int(i)], int(lengths[i])) for i in mine] + [([int(mine[x]), int(mine[y])], int(lengths[mine[x]] + lengths[mine[y]])) for x in range(k) for y in range(x + 1, k)]
+                kinds, many = np.unique(lengths[mine], return_counts=True)
+                x, y = np.triu_indices(len(kinds))
+                x, y = x[(x != y) | (many[x] > 1)], y[(x != y) | (many[x] > 1)]
+                sums, first = np.unique(np.concatenate((kinds, kinds[x] + kinds[y])), return_index=True)  # one piece before two
                 theirs, at = lengths[others], owner[others]
-                for go, n in combos:
-                    delta = n - theirs
-                    ok = (delta > 0) & (delta <= room[at])
-                    gain = np.where(ok, 2 * delta * (fill[at] - fill[d] + delta), 0)
-                    j = int(np.argmax(gain))
-                    if gain[j] > best[0]:
-                        best = (int(gain[j]), go, int(others[j]), int(at[j]))
+                pick = np.searchsorted(sums, theirs + room[at], side="right") - 1
+                delta = sums[pick] - theirs
+                gain = np.where((pick >= 0) & (delta > 0), 2 * delta * (fill[at] - fill[d] + delta), 0)
+                j = int(np.argmax(gain))
+                if gain[j] > 0:
+                    f = int(first[pick[j]])
+                    need = [int(kinds[f])] if f < len(kinds) else [int(kinds[x[f - len(kinds)]]), int(kinds[y[f - len(kinds)]])]
+                    go: list[int] = []
+                    for n in need:
+                        go.append(next(int(i) for i in mine if lengths[i] == n and int(i) not in go))
+                    best = (int(gain[j]), go, int(others[j]), int(at[j]))
             if best[1] is None:
                 break
             _, go, back, r = best
@@ -207,7 +213,7 @@ def _pack_group(round_no: int, capacity: int, refill: float):
         pdf = pdf.sort_values("rid", kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         seq, off, done = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.empty(len(pdf), bool)
-        base = (round_no << 56) + (int(key[0]) << 24)
+        base = (round_no << 48) + (int(key[0]) << 20)
         for b, items in enumerate(local_search(lengths, best_fit(lengths, capacity), capacity)):
             seq[items] = base + b
             off[items] = np.concatenate(([0], np.cumsum(lengths[items])[:-1]))
@@ -226,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 20_000,
     """
     cols = [c for c in pieces.columns if c not in ("rid", "grp", "done", "sequence_id", "offset")]
     todo = store(pieces.select(*cols).withColumn("rid", F.monotonically_increasing_id()))
-    n, rounds, packed = todo.count(), 0, []
+    n, rounds, packed, before, bins = todo.count(), 0, [], None, 0
     while True:
         groups = max(1, -(-n // group_rows))
         out = store(
@@ -235,12 +241,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 20_000,
             .applyInPandas(_pack_group(rounds, capacity, refill), todo.schema.add("sequence_id", "long").add("offset", "long").add("done", "boolean"))
         )
         discard(todo)
-        left = out.where("not done").count() if groups > 1 else 0
-        if left == 0 or left > n // 4:  # pieces that fill bins badly in any company are not tried again
+        if before is not None and out.where("offset = 0").count() >= bins:  # no bin fewer in other company
+            discard(out)
+            packed.append(before)
+            break
+        before, bins = out.where("not done"), out.where("not done and offset = 0").count()
+        if groups == 1 or bins == 0:
             packed.append(out)
             break
         packed.append(out.where("done"))
-        todo, n, rounds = store(out.where("not done").select(*cols, "rid")), left, rounds + 1
+        todo, rounds = store(before.select(*cols, "rid")), rounds + 1
+        n = todo.count()
     result = packed[0]
     for p in packed[1:]:
         result = result.union(p)

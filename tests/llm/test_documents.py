@@ -273,6 +273,26 @@ def test_packing_over_many_groups(spark):
     assert len(fill) <= 1.03 * one  # 15 groups of 200 pieces lose little against one group
 
 
+def test_exchange_tries_every_pair():
+    # the only exchange that gains: the two shortest of the giving bin's 72 pieces (21 + 22) for the 42 of a bin with room for 1
+    lengths = np.array([40] * 70 + [21, 22] + [42, 5957] + [5980] * 150)
+    bins = [list(range(72)), [72, 73], *([i] for i in range(74, 224))]
+    better = bestfit_swap.local_search(lengths, bins, 6000)
+    assert sorted(i for b in better for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 6000 for b in better)
+    assert {70, 71, 73} in [set(b) for b in better]
+
+
+def test_packing_goes_on_while_bins_fall(spark):
+    prepare(spark)
+    rng = np.random.default_rng(9)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.choice([340, 510, 520, 480, 330], 1200))], "doc_id long, length long")
+    one = bestfit_swap.pack(pieces, 1000, group_rows=30, refill=0.0).select("sequence_id").distinct().count()  # a single round
+    out = bestfit_swap.pack(pieces, 1000, group_rows=30, refill=1.0).toPandas()
+    fill = out.groupby("sequence_id").length.sum()
+    assert len(out) == 1200 and fill.max() <= 1000 and sorted(out.doc_id) == list(range(1200))
+    assert len(fill) < one  # more than a quarter of the pieces are in underfull bins, and still fewer bins come out
+
+
 # --- repeated strings ---------------------------------------------------------
 
 
