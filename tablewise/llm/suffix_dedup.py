@@ -17,7 +17,8 @@ about 25 on average) make a string over which the difference-cover algorithm run
    left and right of it, which decides for each start whether its whole window occurs
    again.  This step is exact on bytes (cores by 128-bit fingerprint).
 
-Every text is its own string, so matches never cross documents.  Copies of a text are collapsed
+Every text is its own string, so matches never cross documents.  Texts go by a 64-bit id that is checked
+beforehand against a second digest and the length; if two texts share one, all ids are drawn anew.  Copies of a text are collapsed
 per task, and so are members with equal bytes: the second one a task meets is a repeat for certain, so only
 the first travels and a passage in a third of all texts sends one row per task.  A run of more than
 ``max_run`` members is spread by start instead.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import discard, prepare, read_table, store
@@ -86,9 +87,23 @@ def anchors(raw: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _text_id(salt: int) -> Column:
+    """64-bit id of a text; another salt gives other ids."""
+    return F.xxhash64("raw") if salt == 0 else F.xxhash64(F.lit(salt), F.md5("raw"), F.octet_length("raw"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, salt: int = 0) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("raw")).withColumn("sid", F.xxhash64("raw"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("raw")).withColumn("sid", _text_id(salt))
+
+
+def _copies(long: DataFrame) -> tuple[DataFrame, bool]:
+    """(sid) of the texts that occur more than once, and whether the ids tell all texts apart:
+    none may stand for texts of different length or second digest (128 bits with the id)."""
+    check = long.select("sid", F.xxhash64(F.md5("raw")).alias("h"), F.octet_length("raw").alias("n"))
+    many = check.groupBy("sid").agg(F.count("*").alias("k"), F.expr("min(h) <> max(h) or min(n) <> max(n)").alias("clash")).where("k > 1")
+    many = store(many.select("sid", "clash"))
+    return many, many.where("clash").isEmpty()
 
 
 def _names(depth: int):
@@ -305,8 +320,16 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     empty table gives an empty result; further columns are ignored.
     """
     spark, depth = docs.sparkSession, levels(window)
-    texts = _texts(docs, id_col, text_col)
-    long = texts.where(F.octet_length("raw") >= window)
+    salt = 0
+    while True:
+        texts = _texts(docs, id_col, text_col, salt)
+        long = texts.where(F.octet_length("raw") >= window)
+        twice, apart = _copies(long)
+        if apart:
+            break
+        discard(twice)
+        salt += 1
+    _drop_shuffles(spark)
     names = ", ".join(f"k{d + 1} long" for d in range(depth))
     rows = long.select("sid", "raw").mapInArrow(_names(depth), f"{names}, sid long, a long, sure boolean")
     for d in range(depth):
@@ -332,10 +355,11 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     many = _spread(open_.where(F.col("n") > max_run).select(*cols))
     marks = found.where("mask is not null").select("sid", "p", "mask").union(some).union(many)
     marks = marks.groupBy("sid").agg(F.collect_set(F.struct("p", "mask")).alias("m"))
-    copied = long.groupBy("sid").count().where("count > 1").select("sid", F.lit(True).alias("copied"))
+    copied = twice.select("sid", F.lit(True).alias("copied"))
     # a text with copies is removed whole, its marks are not needed
     marks = store(copied.select("sid", "copied", F.lit(None).cast("array<struct<p:long,mask:long>>").alias("m")).union(marks.join(copied, "sid", "left_anti").select("sid", F.lit(False), "m")))
     discard(found)
+    discard(twice)
     _drop_shuffles(spark)
     joined = texts.join(marks, "sid", "left").select("doc_id", "raw", F.coalesce("copied", F.lit(False)).alias("copied"), F.col("m.p").alias("p"), F.col("m.mask").alias("mask"))
     return joined.mapInArrow(_cut(window), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

@@ -331,6 +331,16 @@ def test_repeats_against_brute_force(spark, window, max_run):
     assert sorted((tuple(r) for r in out), key=repr) == plain_removal(rows, window)
 
 
+def test_texts_of_equal_hash_are_told_apart(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    real = suffix_dedup._text_id
+    monkeypatch.setattr(suffix_dedup, "_text_id", lambda salt: real(salt) if salt else F.pmod(F.xxhash64("raw"), F.lit(5)))
+    text = ["".join(rng.choice(list("abcdef "), 900)) for _ in range(20)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*text, text[3], "xy" + text[4][:500]])]
+    out = suffix_dedup.remove_repeats(docs(spark, rows)).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted((tuple(r) for r in out), key=repr) == plain_removal(rows, 400)
+
+
 def test_repeats_edges(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(docs(spark, EDGE).limit(0)).count() == 0
     with pytest.raises(ValueError):
