@@ -1,19 +1,18 @@
-"""Repeated byte strings removed by a distributed difference-cover suffix sort.
-
-The suffixes that are sorted start at anchors: byte positions whose 8-byte hash is the smallest of a
-run of 48 positions.  Whether a position is an anchor depends on nearby bytes only, so equal
-strings have equal anchors inside, and the letters between anchors (at most 48 bytes,
-about 25 on average) make a string over which the difference-cover algorithm runs:
-
-1. sampled triples: anchors whose number leaves 1 or 2 modulo 3 get the fingerprint
-   of their next three letters as a name; names are sorted and those that occur
-   once are discarded;
-2. recursion: names of three names at a time, as often as every window is sure to hold
-   so many letters (not at 400 bytes, once from 678, twice from 1542);
-3. merge: of any two anchors, after 0, 1 or 2 steps both are in the sample (the difference
-   cover), so a remaining suffix takes its place by the sampled names after it;
-4. adjacent prefixes: suffixes that meet are sorted by the bytes shared by all windows that
-   start before the anchor (``core``); members of a run are compared by the bytes to the
+"""Repeated byte strings removed by minimizer anchors, fingerprint grouping and a byte comparison.
+
+This is not a suffix sort: no order of suffixes is made or merged, only equality is used.  It takes
+from the difference-cover method which positions are sampled.  Anchors are byte positions whose 8-byte hash
+is the smallest of a run of 48 positions.  Whether a position is an anchor depends on nearby bytes only, so
+equal strings have equal anchors inside, with letters between them (at most 48 bytes, about 25 on average):
+
+1. anchors whose number leaves 1 or 2 modulo 3 get the fingerprint of their next three letters
+   as a name; names are grouped by hash and those that occur once are discarded;
+2. for longer windows the same with names of 9, 27, ... letters, as often as every window is sure to
+   hold so many (not at 400 bytes, once from 678, twice from 1542);
+3. of any two equal anchors, after 0, 1 or 2 steps both are sampled (the difference cover), so a
+   name found twice reaches the anchors up to two before it;
+4. anchors that are reached are grouped by the bytes shared by all windows that start before
+   the anchor (``core``); members of a group are compared by the bytes to the
    left and right of it, which decides for each start whether its whole window occurs
    again.  This step is exact on bytes (cores by 128-bit fingerprint).
 
@@ -110,7 +109,7 @@ def _names(depth: int):
     """(k1 .. k_depth, sid, a, sure): names of 3, 9, ... letters of every sampled anchor.
 
     A name met twice in one Arrow batch is a repeat for certain: all its places are ``sure`` rows, which
-    pass by the sort under names of their own, and one of them travels under the real name for the others."""
+    pass by the grouping under names of their own, and one of them travels under the real name for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
