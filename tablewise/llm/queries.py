@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, secret_grammar, simhash_blocks, suffix_dedup, suffix_sql, url_digest
+from tablewise.llm import ann_block, bestfit_swap, embed_pigeonhole, hyper_shards, lang_rank, mix_weights, radix_trie, secret_grammar, simhash_blocks, spelling_groups, suffix_dedup, suffix_sql, url_digest, wu_manber
 
 QUERIES = {
     "op1_ann_block": ann_block.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_url_digest": url_digest.query,
     "op9_embed_pigeonhole": embed_pigeonhole.query,
     "op10_hyper_shards": hyper_shards.query,
+    "op11_wu_manber": wu_manber.query,
+    "op12_radix_trie": radix_trie.query,
+    "op13_spelling_groups": spelling_groups.query,
 }
 SQL = {
     "op1_ann_block": ann_block.SQL,
     "op7_suffix_dedup": suffix_sql.SQL,
     "op8_url_digest": url_digest.SQL,
     "op9_embed_pigeonhole": embed_pigeonhole.SQL,
+    "op11_wu_manber": wu_manber.SQL,
+    "op12_radix_trie": radix_trie.SQL,
+    "op13_spelling_groups": spelling_groups.SQL,
 }
