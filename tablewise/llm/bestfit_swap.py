@@ -17,13 +17,16 @@ number of groups.
 
 from __future__ import annotations
 
-import re
+import gc
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,56 +34,107 @@ from pyspark.sql import functions as F
 from tablewise.llm.common import discard, prepare, read_table, store
 
 CAPACITY, END_ID = 4096, 1
-#: Words a worker remembers before it starts afresh (about 60 MB).
+#: Words (and pieces of words) a worker remembers: this many recent ones and as many before them.
 CACHE_WORDS = 250_000
-#: Texts of these characters only can be cut at white space and lower-cased beforehand: each
-#: is its own normal form and Python and the tokenizer agree on its case and on white space.
-_UNSAFE = re.compile("[^\t\n\r -~¡-ÿ]")
+#: Texts without these can be cut at white space and lower-cased beforehand: each is its own
+#: normal form, holds no special token, and Arrow and the tokenizer agree on its case and white space.
+_UNSAFE = r"[^\t\n\r -~\x{A1}-\x{FF}]|<\|"
 #: Fixed value: the vocabulary's own pattern for pieces of words.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class WordIds(dict):
-    """Lower-case word -> its token ids as little-endian bytes; unknown words are encoded on
-    first use.  Same ids as encoding the whole text: the vocabulary never merges over white space."""
+class Recent(dict):
+    """Entries used lately: when ``room`` new ones have come in, those not used since the last time are forgotten."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.older = room, {}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not held; the others are held at least until the next call."""
+        if len(self) > self.room:
+            self.older = dict(self)
+            self.clear()
+        older, out = self.older, []
+        for k in keys:
+            if k not in self:
+                if k in older:
+                    self[k] = older[k]
+                else:
+                    out.append(k)
+        return out
+
+
+class WordIds:
+    """Token ids of whole columns of texts.
+
+    The words of a batch are numbered by Arrow, each distinct word is encoded once, and the ids of all texts are
+    put together by position. Same ids as encoding the whole text: the vocabulary never merges over white space."""
+
+    def __init__(self, path: str, room: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pieces = Recent(room), Recent(room)
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         # U+0080..U+00FF in UTF-8 use the bytes 0x80..0xFF only; their stand-ins come from the tokenizer itself
-        self.stand_in = {}
-        for c in range(0x21, 0x100):
-            ch = chr(c)
-            shown = byte_level.pre_tokenize_str(ch)[0][0]
-            self.stand_in[c] = shown
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        out = []
-        for piece in _SPLIT.findall(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else piece.translate(self.stand_in)
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
-                self.pieces[piece] = ids
-            out.append(ids)
-        found = self[word] = b"".join(out)
-        return found
-
-    def text(self, text: str) -> bytes:
-        if _UNSAFE.search(text) or "<|" in text:
-            return self.encode(text)
-        if len(self) + len(self.pieces) > CACHE_WORDS:
-            self.clear()
-            self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        self.stand_in = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100)}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case words as little-endian bytes."""
+        cut = {}
+        for w in self.words.missing(words):
+            if w.isalpha():
+                cut[w] = (w,)
+            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+                cut[w] = (w[:-1], w[-1])
+            else:
+                cut[w] = _SPLIT.findall(w)
+        tokens, pieces = self.tokenizer.model.tokenize, self.pieces
+        for piece in pieces.missing(dict.fromkeys(x for xs in cut.values() for x in xs)):
+            shown = piece if piece.isascii() else piece.translate(self.stand_in)
+            pieces[piece] = array("I", [t.id for t in tokens(shown)]).tobytes()
+        for w, xs in cut.items():
+            self.words[w] = pieces[xs[0]] if len(xs) == 1 else b"".join([pieces[x] for x in xs])
+        return [self.words[w] for w in words]
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, END_ID last; a null text is empty."""
+        texts = texts.fill_null("")
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(unsafe, "", texts)))
+        numbered = split.values.dictionary_encode()
+        found = self.word_ids(numbered.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        at = numbered.indices.to_numpy(zero_copy_only=False)
+        long = size[at]
+        end = np.cumsum(long)
+        flat = ids[np.repeat(first[at] - (end - long), long) + np.arange(int(long.sum()))]
+        bounds = np.concatenate(([0], end))[split.offsets.to_numpy()]
+        flat = np.insert(flat, bounds[1:], END_ID)
+        bounds += np.arange(len(bounds))
+        out = [flat[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.append(self.encode(texts[k].as_py()), np.uint32(END_ID)).astype("<u4")
+        return out
+
+
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Strings and tuples only are made here: walking the word tables for cycles again and again costs a third of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -92,16 +146,14 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
             _LOADED[path] = WordIds(path)
-        words = _LOADED[path]
-        end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = words.text(text or "") + end
-                n = len(ids) // 4
-                for piece, start in enumerate(range(0, n, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
+            with _no_collection():
+                found = _LOADED[path].column(b.column(1))
+            for doc, ids in zip(b.column(0).to_pylist(), found, strict=True):
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start : start + capacity]
+                    rows.append((doc, piece, start, len(part), zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
