@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,14 +130,67 @@ def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return vc.select(name_of(named)(F.col("column")).alias("column"), "value", "okey", "count")
 
 
+#: Texts of up to so many bytes are counted as they are, longer ones by 128-bit hash and their first characters.
+SHORT_BYTES, HEAD_CHARS = 64, 32
+#: Rows of a top-k that the driver may hold; with more (very many long texts that begin alike and
+#: occur equally often) whole values are ranked on the executors.
+MAX_TOP_ROWS = 20_000
+
+
+def _keyed_counts(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, str], DataFrame]:
+    """Counts as ``value_counts_long`` (internal column aliases), but no long text is shuffled: it goes by
+    two hashes and its first characters.  Also alias -> column, and the cells the counts are made of."""
+    types = _types(df)
+    structs = []
+    for c in cols:
+        x = zero_unsigned(_c(c), types[c])
+        structs.append((c, F.struct(x.cast("string").alias("s"), _order_key(x, types[c]).alias("k"))))
+    cells = long_form(df, structs, translate=False).select("column", F.col("__cell.s").alias("s"), F.col("__cell.k").alias("okey")).where("s is not null")
+    long = F.octet_length("s") > SHORT_BYTES
+    cells = cells.select(
+        "column", "okey", "s", F.when(long, F.substring("s", 1, HEAD_CHARS)).otherwise(F.col("s")).alias("value"),
+        F.when(long, F.xxhash64("s")).alias("h1"), F.when(long, F.xxhash64(F.lit(1), "s")).alias("h2"),
+    )
+    keyed = cells.groupBy("column", "value", "okey", "h1", "h2").agg(F.count("*").alias("count"))
+    return keyed, {f"__u{i}": c for i, c in enumerate(cols)}, cells
+
+
+def top_rows(df: DataFrame, cols: Sequence[str], k: int) -> tuple[DataFrame, dict[str, int]]:
+    """(column, rank, value, okey, count) of the ``k`` most frequent values per column (ties: smallest), and
+    the number of distinct values of each column.
+
+    Exact for any texts: the hashed counts decide which values can be among the first k (ties are told
+    apart by their first characters as far as that goes), and only these winners' whole texts are fetched,
+    in one more pass with a broadcast of at most ``MAX_TOP_ROWS`` keys."""
+    spark = df.sparkSession
+    schema = "column string, rank int, value string, okey double, count long"
+    if not cols:
+        return spark.createDataFrame([], schema), {}
+    keyed, names, cells = _keyed_counts(df, cols)
+    best = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("okey"), F.asc("value"))
+    top = keyed.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= k).limit(MAX_TOP_ROWS + 1)
+    sizes = keyed.groupBy("column").agg(F.count("*").alias("count"))
+    none = lambda t: F.lit(None).cast(t)
+    sizes = sizes.select("column", none("string").alias("value"), none("double").alias("okey"), none("long").alias("h1"), none("long").alias("h2"), "count", F.lit(0).alias("rank"))
+    got = top.select(*sizes.columns).union(sizes).collect()
+    rows, unique = [r for r in got if r["rank"]], {names[r["column"]]: r["count"] for r in got if not r["rank"]}
+    if len(rows) > MAX_TOP_ROWS:
+        whole = value_counts_long(df, cols)
+        return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("column", "rank", "value", "okey", "count"), unique
+    rows.sort(key=lambda r: (r["column"], r["rank"]))
+    if all(r["h1"] is None for r in rows):  # short values are whole: no two of a column tie
+        return spark.createDataFrame([(names[r["column"]], r["rank"], r["value"], r["okey"], r["count"]) for r in rows], schema), unique
+    key = ["column", "h1", "h2"]
+    first = spark.createDataFrame([tuple(r) for r in rows], "column string, value string, okey double, h1 long, h2 long, count long, rank int").drop("rank")
+    longer = first.where("h1 is not null").select(*key)
+    whole = cells.where("h1 is not null").join(F.broadcast(longer), key).groupBy(*key).agg(F.min("s").alias("s"))
+    full = first.join(whole, key, "left").select(name_of([(c, None) for c in cols])(F.col("column")).alias("column"), F.coalesce("s", "value").alias("value"), "okey", "count")
+    return full.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("column", "rank", "value", "okey", "count"), unique
+
+
 def _modes(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
     """column -> (text, order key) of its most frequent value (smallest on ties)."""
-    if not cols:
-        return {}
-    best = value_counts_long(df, cols).groupBy("column").agg(
-        F.min(F.struct((-F.col("count")).alias("nc"), F.col("okey"), F.col("value"))).alias("b")
-    )
-    return {r["column"]: (r["value"], r["okey"]) for r in best.select("column", "b.value", "b.okey").collect()}
+    return {r["column"]: (r["value"], r["okey"]) for r in top_rows(df, list(cols), 1)[0].collect()}
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
@@ -267,10 +320,18 @@ def _map_key(f: T.StructField) -> Column:
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """One row ``rows, distinct_rows, duplicates`` (duplicates = rows - distinct).
 
-    A single shuffle: group by the whole row, then a global sum.
+    Rows of more than two columns are counted by a digest: two XXH64 hashes of all flat columns that tell
+    null from any value, so whole rows are never shuffled.  Nested columns are keys of their own beside it.
     """
-    cols = [_map_key(f).alias(f"__k{i}") for i, f in enumerate(df.schema.fields)]
-    grouped = df.groupBy(*cols).agg(F.count("*").alias("__n"))
+    flat = [f for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    keys = [_map_key(f) for f in df.schema.fields if f not in flat]
+    if len(flat) > 2:
+        nulls = F.concat(*[F.when(_c(f.name).isNull(), "0").otherwise("1") for f in flat])
+        cells = [zero_unsigned(_c(f.name), f.dataType) for f in flat]
+        keys += [F.xxhash64(nulls, *cells), F.xxhash64(F.lit(1), nulls, *cells)]
+    else:
+        keys += [_c(f.name) for f in flat]
+    grouped = df.groupBy(*[c.alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.count("*").alias("__n"))
     return grouped.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
         F.count("*").alias("distinct_rows"),

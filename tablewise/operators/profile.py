@@ -5,11 +5,10 @@ Two shared building blocks keep the job count flat in the number of columns:
 * ``numeric_summary`` - ONE long-form aggregate over all numeric columns (count,
   nulls, mean, std, min, max, corrected skew/kurtosis; one scan however many
   columns), joined to distributed quantiles.
-* ``value_counts_long`` (in ``clean``) - ONE Expand + hash aggregate giving
-  (column, value, count) for every column; distinct counts, modes, top-k and
-  categorical profiles are all small aggregates over it.  Top-k uses a window
-  with ``row_number() <= k``, which Spark plans with a partial
-  ``WindowGroupLimit`` before the shuffle (distributed top-k).
+* ``top_rows`` (in ``clean``) - ONE Expand + hash aggregate over short keys (long
+  texts by hash), ranked by a window with ``rank() <= k``, which Spark plans with a
+  partial ``WindowGroupLimit`` before the shuffle (distributed top-k); modes, top-k
+  and categorical profiles come from it.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from tablewise.functions.exprs import (
     is_scalar_type,
     nan_to_null,
 )
-from tablewise.operators.clean import _c, _types, date_text_plan, nan_to_null_all, value_counts_long, zero_unsigned
+from tablewise.operators.clean import _c, _types, date_text_plan, nan_to_null_all, top_rows, zero_unsigned
 from tablewise.operators.quantiles import quantiles_wide
 from tablewise.session import cache_tracked
 
@@ -184,8 +183,9 @@ def _scalar_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A2: (column, ord, unique) - distinct non-null values per column.
 
-    One scan for any number of columns: every cell becomes (column, 128-bit hash),
-    distinct map side before the shuffle, so long texts never travel.
+    One scan for any number of columns (two if fixed-width and wide types mix): every cell becomes a hash,
+    distinct map side before the shuffle, so long texts never travel.  XXH64 is one to one on values of
+    up to 8 bytes, so their single hash is exact; texts, binaries and wide decimals go by two.
     ``approx=True`` uses HyperLogLog sketches in a single aggregate instead (no
     shuffle of values).
     """
@@ -201,13 +201,38 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
                 [F.struct(F.lit(n).alias("column"), F.lit(i).alias("ord"), F.col(f"u{i}").cast("long").alias("unique")) for i, n in enumerate(cols)]
             )
         ).select("__r.*")
-    cells = []
-    for i, n in enumerate(cols):
-        c = zero_unsigned(_c(n), types[n])
-        cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("ord"), F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"))))
-    found = df.select(F.explode(F.array_compact(F.array(*cells))).alias("__r")).select("__r.*").distinct().groupBy("ord").agg(F.count("*").alias("unique"))
+    cell = {n: zero_unsigned(_c(n), types[n]) for n in cols}
+    hashed = {n: F.when(cell[n].isNotNull(), F.xxhash64(cell[n])) for n in cols}
+    narrow = [n for n in cols if _fixed_width(types[n])]
+    wide = [n for n in cols if n not in narrow]
+    found = []
+    if narrow:
+        ords = F.array(*[F.lit(cols.index(n)) for n in narrow])
+        long = df.select(F.posexplode(F.array(*[hashed[n] for n in narrow])).alias("at", "h")).where("h is not null").distinct()
+        found.append(long.groupBy("at").agg(F.count("*").alias("unique")).select(F.get(ords, F.col("at")).alias("ord"), "unique"))
+    if wide:
+        cells = [F.when(cell[n].isNotNull(), F.struct(F.lit(cols.index(n)).alias("ord"), hashed[n].alias("h1"), F.xxhash64(F.lit(1), cell[n]).alias("h2"))) for n in wide]
+        long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("__r")).select("__r.*").distinct()
+        found.append(long.groupBy("ord").agg(F.count("*").alias("unique")))
+    counts = found[0] if len(found) == 1 else found[0].union(found[1])
     names = df.sparkSession.createDataFrame(list(enumerate(cols)), "ord int, column string")  # one row per column
-    return names.join(found, "ord", "left").select("column", "ord", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"))
+    return names.join(counts, "ord", "left").select("column", "ord", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"))
+
+
+def _fixed_width(t: T.DataType) -> bool:
+    return not isinstance(t, (T.StringType, T.BinaryType)) and not (isinstance(t, T.DecimalType) and t.precision > 18)
+
+
+#: Theta sketches keep the 2**12 smallest hashes of a column: fewer distinct values than that are counted exactly.
+SKETCH_BITS = 12
+EXACT_BELOW = 1 << SKETCH_BITS
+
+
+def _sketched(name: str, dt: T.DataType) -> Column:
+    """Estimated distinct values of a column by a bottom-k (theta) sketch: one bounded, mergeable
+    row per task; the exact number if it is below ``EXACT_BELOW``."""
+    c = zero_unsigned(_c(name), dt)
+    return F.theta_sketch_estimate(F.theta_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(SKETCH_BITS)))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -222,35 +247,28 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 20, width: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 20, width: int | None = None) -> DataFrame:
     """Per column the k most frequent values (ties: smallest value).
 
     Returns (column, rank, value, count).  ``width`` cuts the value text.
     """
-    cols = _scalar_cols(df, cols)
-    vc = counts if counts is not None else value_counts_long(nan_to_null_all(df), cols)
-    w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("okey"), F.asc("value"))
-    top = vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top, _unique = top_rows(nan_to_null_all(df), _scalar_cols(df, cols), k)
     value = F.col("value") if width is None else F.substring("value", 1, width)
     return top.select("column", "rank", value.alias("value"), "count")
 
 
-def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """P10: non-numeric columns -> (column, unique, top_value, top_count)."""
     types = _types(df)
     cols = [n for n in _scalar_cols(df, cols) if not is_numeric_type(types[n])]
-    vc = counts if counts is not None else value_counts_long(df, cols)
-    best = vc.groupBy("column").agg(
-        F.count("*").alias("unique"),
-        F.min(F.struct((-F.col("count")).alias("nc"), F.col("okey"), F.col("value"))).alias("b"),
-    )
-    names = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(cols)], "column string, ord int")
-    return names.join(best, "column", "left").select(
-        "column",
-        "ord",
-        F.coalesce("unique", F.lit(0)).cast("long").alias("unique"),
-        F.col("b.value").alias("top_value"),
-        F.coalesce(-F.col("b.nc"), F.lit(0)).cast("long").alias("top_count"),
+    return _profiled(df, cols, *top_rows(df, cols, 1))
+
+
+def _profiled(df: DataFrame, cols: Sequence[str], top: DataFrame, unique: dict[str, int]) -> DataFrame:
+    """Rows of P10 from ranked values and the numbers of distinct values."""
+    names = df.sparkSession.createDataFrame([(n, i, unique.get(n, 0)) for i, n in enumerate(cols)], "column string, ord int, unique long")  # one row per column
+    return names.join(top.where("rank = 1"), "column", "left").select(
+        "column", "ord", "unique", F.col("value").alias("top_value"), F.coalesce("count", F.lit(0)).cast("long").alias("top_count")
     )
 
 
@@ -259,7 +277,7 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, counts
 # ---------------------------------------------------------------------------
 
 
-def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, counts: bool = True) -> DataFrame:
     """P5: (column, ord, type, non_null, unique) with the reference's precedence.
 
     timestamp/date type -> text parsing under one date format -> exactly 2
@@ -267,9 +285,11 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     high_cardinality (unique/rows > 0.5 or unique > 50) / categorical.
     An all-null text column is categorical.  Complex columns are skipped.
 
-    One aggregate computes the row count, non-null counts and date-shape
-    screens for every column, one more the distinct counts; only text columns
-    whose shape fits a date format get a third (parse) pass.
+    One aggregate computes the row count, non-null counts, date-shape screens and a distinct-value
+    sketch for every column; only text columns whose shape fits a date format
+    get another (parse) pass.  The sketch is exact below ``EXACT_BELOW`` values, which settles every
+    type: a text with more is above 50.  ``counts`` says whether ``unique`` must be exact: if so, columns
+    with more values are counted by hashes (``approx=True``: HyperLogLog), otherwise their ``unique`` is the sketch's estimate.
     """
     from tablewise.functions.exprs import DATE_FORMATS, DATE_SHAPES
 
@@ -285,12 +305,12 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
         if n in text
         for j, shape in enumerate(DATE_SHAPES)
     ]
+    aggs += [_sketched(n, types[n]).alias(f"u{i}") for i, n in enumerate(cols)]
     row = df.agg(*aggs).first()
-    # distinct counts in their own aggregate: mixing them with the counts
-    # above widens Spark's Expand for every row (measured 1.5x slower)
-    # approx=True: HyperLogLog counts, no shuffle of values (for very wide or
-    # very large tables; small counts such as 2 or 50 stay reliable)
-    uniq_row = {r["column"]: r["unique"] for r in distinct_counts(df, cols, approx=approx).collect()}
+    uniq_row = {n: row[f"u{i}"] for i, n in enumerate(cols)}
+    many = [n for n in cols if uniq_row[n] >= EXACT_BELOW]
+    if counts and many:
+        uniq_row |= {r["column"]: r["unique"] for r in distinct_counts(df, many, approx=approx).collect()}
     shaped = [n for i, n in enumerate(cols) if n in text and row[f"nn{i}"] > 0 and any(row[f"sh{i}_{j}"] == 0 for j in range(len(DATE_FORMATS)))]
     date_plan = date_text_plan(df, shaped) if shaped else {}
     n_rows = row["__rows"]
@@ -323,17 +343,14 @@ def column_catalog(df: DataFrame) -> DataFrame:
     types = _types(df)
     cols = _scalar_cols(df, None)
     d = nan_to_null_all(df)
-    counts = d.agg(F.count("*").alias("__rows"), *[F.count(_c(n)).alias(f"nn{i}") for i, n in enumerate(cols)])
-    long = counts.select(
-        "__rows",
-        _explode_rows(
-            [F.struct(F.lit(n).alias("column"), F.lit(types[n].simpleString()).alias("dtype"), F.col(f"nn{i}").alias("non_null")) for i, n in enumerate(cols)]
-        ),
-    ).select("__rows", "__r.*")
-    uniq = distinct_counts(d, cols)
-    return long.join(uniq, "column").select(
-        "column", "ord", "dtype", "non_null", (F.col("__rows") - F.col("non_null")).alias("nulls"), "unique"
-    )
+    aggs = [F.count(_c(n)).alias(f"nn{i}") for i, n in enumerate(cols)] + [_sketched(n, types[n]).alias(f"u{i}") for i, n in enumerate(cols)]
+    row = d.agg(F.count("*").alias("rows"), *aggs).first()
+    uniq = {n: row[f"u{i}"] for i, n in enumerate(cols)}
+    many = [n for n in cols if uniq[n] >= EXACT_BELOW]
+    if many:
+        uniq |= {r["column"]: r["unique"] for r in distinct_counts(d, many).collect()}
+    out = [(n, i, types[n].simpleString(), row[f"nn{i}"], row["rows"] - row[f"nn{i}"], uniq[n]) for i, n in enumerate(cols)]
+    return df.sparkSession.createDataFrame(out, "column string, ord int, dtype string, non_null long, nulls long, unique long")  # one row per column
 
 
 def sample_values(df: DataFrame, cols: Sequence[str], k: int = 2, width: int = 20) -> DataFrame:
@@ -402,10 +419,9 @@ def statistical_summary(df: DataFrame, approx: bool = False) -> dict[str, DataFr
         )
     cat = [n for n, t in types.items() if not is_numeric_type(t) and is_scalar_type(t)]
     if cat:
-        # both come from one table of value counts
-        vc = cache_tracked(value_counts_long(nan_to_null_all(df), cat))
-        out["categorical"] = categorical_profile(df, cat, counts=vc)
-        out["value_counts"] = top_values(df, cat, k=20, counts=vc)
+        top, unique = top_rows(nan_to_null_all(df), cat, 20)  # both come from one ranking
+        out["categorical"] = _profiled(df, cat, top, unique)
+        out["value_counts"] = top.select("column", "rank", "value", "count")
     out["missing_values"] = missing_per_column(df)
     out["shape"] = shape(df)
     return out

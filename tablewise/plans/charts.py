@@ -39,7 +39,7 @@ PLAN_SCHEMA = "ord int, kind string, chart_type string, x string, y string, colo
 
 
 def _types_map(df: DataFrame, types_df: DataFrame | None = None) -> dict[str, str]:
-    t = types_df if types_df is not None else P.column_types(df)
+    t = types_df if types_df is not None else P.column_types(df, counts=False)  # types only
     return {r["column"]: r["type"] for r in t.select("column", "type", "ord").orderBy("ord").collect()}
 
 
