@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.exprs import (
@@ -61,36 +61,77 @@ def quartiles(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = F
 # ---------------------------------------------------------------------------
 
 
-def _comoments(k: int):
-    """Per task: for every pair of columns the row count, both means (a value of the
-    column plus the mean offset from it) and the three central second moments over the
-    rows where both are present."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, sums = None, None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
-            if base is None:
-                base, sums = np.full(k, np.nan), np.zeros((6, k, k))
-            first = np.isnan(base) & ~np.isnan(x).all(axis=0)
-            if first.any():  # shift by a value of the column itself: no cancellation
-                base[first] = [x[~np.isnan(x[:, j]), j][0] for j in np.flatnonzero(first)]
-            there = ~np.isnan(x)
-            m, d = there.astype(np.float64), np.where(there, x - np.where(np.isnan(base), 0.0, base), 0.0)
-            sq = d * d
-            sums += np.stack([m.T @ m, d.T @ m, m.T @ d, sq.T @ m, m.T @ sq, d.T @ d])
-        if base is None:
-            return
-        i, j = np.triu_indices(k)
-        n, sx, sy, sxx, syy, sxy = (a[i, j] for a in sums)
-        some = n > 0
-        i, j, n, sx, sy, sxx, syy, sxy = (a[some] for a in (i, j, n, sx, sy, sxx, syy, sxy))
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "n": n, "bx": base[i], "by": base[j], "ox": sx / n, "oy": sy / n,
-                "cxx": sxx - sx * sx / n, "cyy": syy - sy * sy / n, "cxy": sxy - sx * sy / n,
-            }
-        )
+#: Matrices that one task merges at a level of the tree.
+MERGE_FAN_IN = 64
+
+
+class _Moments:
+    """For every pair (x, y) of k columns, over the rows where both are present: the row count ``n``, the mean of
+    x as an offset from x's base value, and the central sums of x*x and x*y (those of y are the transposes)."""
+
+    def __init__(self, base: np.ndarray, n: np.ndarray, mean: np.ndarray, cxx: np.ndarray, cxy: np.ndarray):
+        self.base, self.n, self.mean, self.cxx, self.cxy = base, n, mean, cxx, cxy
+
+    @classmethod
+    def of_batch(cls, x: np.ndarray) -> _Moments:
+        """Moments of a batch, around a value of each column: no cancellation for large near numbers."""
+        there = ~np.isnan(x)
+        base = np.array([x[np.argmax(t), j] if t.any() else 0.0 for j, t in enumerate(there.T)])
+        m, d = there.astype(np.float64), np.where(there, x - base, 0.0)
+        n, total = m.T @ m, d.T @ m
+        some = np.maximum(n, 1.0)
+        mean = total / some
+        return cls(base, n, mean, (d * d).T @ m - total * mean, d.T @ d - total * total.T / some)
+
+    def merge(self, other: _Moments) -> _Moments:
+        """The parallel variance formula; a column that was absent takes the other's base."""
+        mine, theirs = self.n.diagonal() > 0, other.n.diagonal() > 0
+        base = np.where(mine, self.base, other.base)
+        shift = np.where(mine & theirs, other.base - base, 0.0)[:, None]
+        n = self.n + other.n
+        some = np.maximum(n, 1.0)
+        d = np.where((self.n > 0) & (other.n > 0), other.mean + shift - self.mean, 0.0)
+        mean = np.where(self.n > 0, self.mean + d * other.n / some, other.mean + shift)
+        w = self.n * other.n / some
+        return _Moments(base, n, mean, self.cxx + other.cxx + d * d * w, self.cxy + other.cxy + d * d.T * w)
+
+    def pack(self) -> bytes:
+        return np.concatenate([self.base, *(a.ravel() for a in (self.n, self.mean, self.cxx, self.cxy))]).tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, k: int) -> _Moments:
+        x = np.frombuffer(raw)
+        return cls(x[:k], *x[k:].reshape(4, k, k))
+
+    def pairs(self) -> pd.DataFrame:
+        """One row per pair i <= j with rows: n, the absolute means and the central sums."""
+        i, j = np.triu_indices(len(self.base))
+        some = self.n[i, j] > 0
+        i, j = i[some], j[some]
+        level = np.abs(self.base[:, None] + self.mean)
+        return pd.DataFrame({"i": i, "j": j, "n": self.n[i, j], "ax": level[i, j], "ay": level[j, i], "cxx": self.cxx[i, j], "cyy": self.cxx[j, i], "cxy": self.cxy[i, j]})
+
+
+def _comoments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per task: its number and the moments of all its rows."""
+    from pyspark import TaskContext
+
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            part = _Moments.of_batch(pdf.to_numpy(dtype=np.float64, na_value=np.nan))
+            total = part if total is None else total.merge(part)
+    if total is not None:
+        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "moments": [total.pack()]})
+
+
+def _merge_moments(k: int, last: bool):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for raw in pdf.sort_values("task")["moments"]:
+            part = _Moments.unpack(raw, k)
+            total = part if total is None else total.merge(part)
+        return total.pairs() if last else pd.DataFrame({"task": [key[0]], "moments": [total.pack()]})
 
     return run
 
@@ -101,8 +142,8 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, full: bo
     Returns (col1, col2, i, j, r); ``full=True`` gives the full square incl.
     the diagonal (V7).  NULL r = undefined (constant column, < 2 pairs).  ONE scan
     for any number of columns: each task multiplies its Arrow batches into
-    k x k moment matrices around a value of the column, and the k*k/2 small rows
-    per task are combined by the parallel variance formula.
+    k x k moment matrices around a value of the column, one binary row per task, and these are
+    merged by the parallel variance formula in a tree of ``MERGE_FAN_IN`` rows a task.
     """
     num = _numeric_cols(df, cols)
     spark = df.sparkSession
@@ -110,17 +151,12 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, full: bo
         return spark.createDataFrame([], "col1 string, col2 string, i int, j int, r double")
     ship_package(spark)
     wide = df.select(*[_num(df, n).alias(f"c{k}") for k, n in enumerate(num)])
-    parts = wide.mapInPandas(_comoments(len(num)), "i int, j int, n double, bx double, by double, ox double, oy double, cxx double, cyy double, cxy double")
-    total = Window.partitionBy("i", "j")
-    # means relative to one task's value: differences of near numbers are exact, sums of large ones are not
-    near = parts.withColumns({"mx": F.col("bx") - F.min("bx").over(total) + F.col("ox"), "my": F.col("by") - F.min("by").over(total) + F.col("oy")})
-    mean = near.withColumns({"__n": F.sum("n").over(total), "__x": F.sum(F.col("n") * F.col("mx")).over(total), "__y": F.sum(F.col("n") * F.col("my")).over(total)})
-    dx, dy = F.col("mx") - F.col("__x") / F.col("__n"), F.col("my") - F.col("__y") / F.col("__n")
-    n = F.col("n")
-    c = mean.groupBy("i", "j").agg(
-        F.max("__n").alias("n"), F.max(F.abs(F.col("bx") + F.col("ox"))).alias("ax"), F.max(F.abs(F.col("by") + F.col("oy"))).alias("ay"),
-        F.sum(F.col("cxx") + n * dx * dx).alias("cxx"), F.sum(F.col("cyy") + n * dy * dy).alias("cyy"), F.sum(F.col("cxy") + n * dx * dy).alias("cxy"),
-    )
+    k = len(num)
+    level = wide.mapInPandas(_comoments, "task long, moments binary")
+    up = F.floor(F.col("task") / MERGE_FAN_IN).cast("long")
+    for _ in range(2):  # with so few rows a level costs next to nothing; 3 levels join 64 ** 3 tasks
+        level = level.groupBy(up.alias("task")).applyInPandas(_merge_moments(k, False), "task long, moments binary")
+    c = level.groupBy(F.lit(0).alias("task")).applyInPandas(_merge_moments(k, True), "i int, j int, n double, ax double, ay double, cxx double, cyy double, cxy double")
     # spread below the rounding of the mean itself: a constant column
     spread = lambda v, a: F.col(v) > F.col("n") * F.pow(F.lit(4e-16) * F.col(a), F.lit(2.0))
     r = F.when((F.col("n") >= 2) & spread("cxx", "ax") & spread("cyy", "ay"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cxy") / F.sqrt("cxx") / F.sqrt("cyy"))))

@@ -69,3 +69,31 @@ def test_duplicates_by_digest(spark):
     assert tuple(C.duplicate_stats(df.limit(0)).first()) == (0, 0, 0)
     plan = C.duplicate_stats(df.drop("l"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_groupingexpression" in plan and "hashpartitioning(s#" not in plan
+
+
+def test_moments_merge_in_any_order():
+    import numpy as np
+
+    from tablewise.operators.stats import _Moments
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 5)) + np.array([0, 1e9, -5, 1e-9, 3])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:300, 4] = np.nan  # absent from the first tasks
+    parts = [_Moments.of_batch(p) for p in np.array_split(x, 90)]
+    while len(parts) > 1:
+        parts = [parts[i] if i + 1 == len(parts) else _Moments.unpack(parts[i].merge(parts[i + 1]).pack(), 5) for i in range(0, len(parts), 2)]
+    for r in parts[0].pairs().itertuples():
+        both = x[:, [r.i, r.j]][~np.isnan(x[:, [r.i, r.j]]).any(axis=1)]
+        d = both - both.mean(axis=0)
+        assert r.n == len(both) and r.cxy == pytest.approx((d[:, 0] * d[:, -1]).sum(), rel=1e-6, abs=1e-6) and r.cxx == pytest.approx((d[:, 0] ** 2).sum(), rel=1e-9)
+
+
+def test_correlations_send_one_row_per_task(spark):
+    from tablewise.operators import stats as S
+
+    df = spark.range(0, 4000, 1, 200).select(*[(F.rand(i) + F.col("id") * (i % 3)).alias(f"c{i}") for i in range(12)])
+    pdf = df.toPandas()
+    got = {(r["col1"], r["col2"]): r["r"] for r in S.correlation_pairs(df).collect()}
+    assert len(got) == 66 and all(v == pytest.approx(pdf[a].corr(pdf[b])) for (a, b), v in got.items())
+    assert S.correlation_pairs(df.where("id < 0")).where("r is not null").isEmpty()
