@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tablewise.functions.exprs import INTEGER_REGEX, NULL_TOKENS, STRICT_NUMBER_REGEX, nullify_tokens
 from tablewise.operators.clean import _c, apply_numeric_plan, nan_to_null_all
+from tablewise.sources.csv_records import quoted_records
 
 # Text read as booleans by the CSV loader.
 TRUE_TOKENS = ["True", "TRUE", "true"]
@@ -52,6 +53,28 @@ def _broken_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return not lines.filter(quotes % 2 == 1).isEmpty()
 
 
+#: Column that names a record's file when records are cut from lines.
+_SOURCE = "__source_file"
+#: Encodings whose line feeds and quotes are single bytes.
+_BYTE_ENCODINGS = ("ISO-8859-1", "UTF-8", "US-ASCII", "LATIN1", "LATIN-1", "UTF8")
+
+
+def _cut_csv(spark: SparkSession, path: str | Sequence[str], encoding: str) -> DataFrame | None:
+    """Files with quoted line breaks as text columns plus ``_SOURCE``, read by many tasks. None where a carriage
+    return stands alone (a break of its own, or a character of a cell): such files are read whole."""
+    if encoding.upper() not in _BYTE_ENCODINGS:
+        return None
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
+    if not lines.where(F.col("value").rlike("\r.")).isEmpty():
+        return None
+    names = [n.removesuffix("\r") for n in _raw_csv(spark, path, encoding, True).columns]  # reads the first header only
+    cells = ", ".join(f"c{i} string" for i in range(len(names)))
+    records = quoted_records(spark, path)
+    text = F.make_valid_utf8(F.col("record").cast("string")) if encoding.upper() in ("UTF-8", "UTF8") else F.decode("record", "ISO-8859-1")
+    row = F.from_csv(text, cells, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return records.select(row.alias("r"), F.col("file").alias(_SOURCE)).select("r.*", _SOURCE).toDF(*names, _SOURCE)
+
+
 def _text_of(c: Column, utf8: Column) -> Column:
     """A cell read as ISO-8859-1 (which keeps every byte) in its file's real encoding."""
     return F.when(utf8, F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
@@ -63,9 +86,9 @@ def _by_file_encoding(raw: DataFrame) -> DataFrame:
     ``raw`` was read as ISO-8859-1.  One aggregate lists the files that are not UTF-8; a
     folder whose files are all UTF-8 (or all not) needs no list.
     """
-    cells = F.concat_ws("\n", *[_c(n) for n in raw.columns])
+    cells = F.concat_ws("\n", *[_c(n) for n in raw.columns if n != _SOURCE])
     valid = F.is_valid_utf8(F.encode(cells, "ISO-8859-1").cast("string"))
-    file = F.col("_metadata.file_path")
+    file = F.col(_SOURCE) if _SOURCE in raw.columns else F.col("_metadata.file_path")
     flagged = raw.select(file.alias("f"), valid.alias("v")).groupBy("f").agg(F.bool_and("v").alias("v"))
     n = flagged.agg(F.count_if("v").alias("good"), F.count_if(~F.col("v")).alias("bad")).first()
     if not n["bad"]:
@@ -76,7 +99,7 @@ def _by_file_encoding(raw: DataFrame) -> DataFrame:
         files = flagged.filter(~F.col("v")).select(F.col("f").alias("__file"), F.lit(True).alias("__latin1"))
         raw = raw.withColumn("__file", file).join(files, "__file", "left")
         utf8 = F.col("__latin1").isNull()
-    names = [c for c in raw.columns if c not in ("__file", "__latin1")]
+    names = [c for c in raw.columns if c not in ("__file", "__latin1", _SOURCE)]
     return raw.select(*[_text_of(_c(c), utf8).alias(c) for c in names])
 
 
@@ -149,18 +172,23 @@ def read_csv(
     a valid U+FFFD is kept).
 
     Quoted line breaks are kept: with ``multiline=None`` one scan of the raw lines
-    looks for an open quote, and only then are files read as a whole (one task per
-    file; without quoted breaks large files split across tasks).  ``True`` /
-    ``False`` skip that scan.  An explicit ``encoding`` skips the encoding check.
+    looks for an open quote, and only then are records cut by ``quoted_records``, whose tasks share
+    a large file like any other (files with single carriage returns are read as a whole).  ``True`` reads
+    whole files, ``False`` lines as records, both without that scan.  An explicit ``encoding`` skips the encoding check.
     """
     toks = list(NULL_TOKENS if null_tokens is None else null_tokens)
+    raw = None
     if multiline is None:
         multiline = _broken_lines(spark, path)
-    raw = _raw_csv(spark, path, encoding or "ISO-8859-1", multiline)
+        raw = _cut_csv(spark, path, encoding or "ISO-8859-1") if multiline else None
+    if raw is None:
+        raw = _raw_csv(spark, path, encoding or "ISO-8859-1", multiline)
+    elif encoding is not None:
+        raw = _strip_bom(raw.drop(_SOURCE))
     if not raw.columns:
         return raw
     if encoding is None:
-        names = [n.encode("ISO-8859-1") for n in raw.columns]
+        names = [n.encode("ISO-8859-1") for n in raw.columns if n != _SOURCE]
         raw = _by_file_encoding(raw)
         try:
             raw = raw.toDF(*[n.decode("UTF-8").removeprefix(BOM) for n in names])
