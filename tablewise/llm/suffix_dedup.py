@@ -368,4 +368,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: strings of 400 bytes over all documents."""
     prepare(spark)
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("has_repeats"),
+    )

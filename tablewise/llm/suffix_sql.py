@@ -14,6 +14,7 @@ cuts AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0
 kept AS (SELECT c.doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST((length(d.h) - length(kept.h)) // 2 AS BIGINT) AS n_removed,
-       CAST(coalesce(n.n, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256,
+       CAST(length(kept.h) // 2 AS BIGINT) AS n_kept, length(kept.h) < length(d.h) AS has_repeats
 FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
