@@ -228,11 +228,37 @@ SKETCH_BITS = 12
 EXACT_BELOW = 1 << SKETCH_BITS
 
 
-def _sketched(name: str, dt: T.DataType) -> Column:
-    """Estimated distinct values of a column by a bottom-k (theta) sketch: one bounded, mergeable
-    row per task; the exact number if it is below ``EXACT_BELOW``."""
-    c = zero_unsigned(_c(name), dt)
-    return F.theta_sketch_estimate(F.theta_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(SKETCH_BITS)))
+#: Columns counted by a branch of their own: each reads only its column, together not more than one scan does.
+BRANCHES = 8
+
+
+def _sketched_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Estimated distinct values per column by bottom-k (theta) sketches: one bounded, mergeable row per
+    task; the exact number wherever it is below ``EXACT_BELOW``."""
+    types = _types(df)
+    if not cols:
+        return {}
+    cells = {n: zero_unsigned(_c(n), types[n]) for n in cols}
+    # hashed in a projection of their own: the aggregate that holds sketches is not compiled
+    hashed = df.select(*[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(cells.values())])
+    row = hashed.agg(*[F.theta_sketch_estimate(F.theta_sketch_agg(f"h{i}", F.lit(SKETCH_BITS))).alias(f"u{i}") for i in range(len(cols))]).first()
+    return {n: row[f"u{i}"] for i, n in enumerate(cols)}
+
+
+def _exact_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, int]:
+    """Distinct values of columns that have many."""
+    if not cols:
+        return {}
+    if approx or len(cols) > BRANCHES:
+        return {r["column"]: r["unique"] for r in distinct_counts(df, cols, approx=approx).collect()}
+    types = _types(df)
+    found = None
+    for n in cols:
+        c = zero_unsigned(_c(n), types[n])
+        keys = [F.xxhash64(c).alias("h1")] + ([] if _fixed_width(types[n]) else [F.xxhash64(F.lit(1), c).alias("h2")])
+        one = df.where(c.isNotNull()).select(*keys).distinct().agg(F.lit(n).alias("column"), F.count("*").alias("unique"))
+        found = one if found is None else found.union(one)
+    return {r["column"]: r["unique"] for r in found.collect()}
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -285,8 +311,8 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     high_cardinality (unique/rows > 0.5 or unique > 50) / categorical.
     An all-null text column is categorical.  Complex columns are skipped.
 
-    One aggregate computes the row count, non-null counts, date-shape screens and a distinct-value
-    sketch for every column; only text columns whose shape fits a date format
+    One aggregate computes the row count, non-null counts and date-shape screens, a second one a
+    distinct-value sketch for every column; only text columns whose shape fits a date format
     get another (parse) pass.  The sketch is exact below ``EXACT_BELOW`` values, which settles every
     type: a text with more is above 50.  ``counts`` says whether ``unique`` must be exact: if so, columns
     with more values are counted by hashes (``approx=True``: HyperLogLog), otherwise their ``unique`` is the sketch's estimate.
@@ -305,12 +331,10 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
         if n in text
         for j, shape in enumerate(DATE_SHAPES)
     ]
-    aggs += [_sketched(n, types[n]).alias(f"u{i}") for i, n in enumerate(cols)]
     row = df.agg(*aggs).first()
-    uniq_row = {n: row[f"u{i}"] for i, n in enumerate(cols)}
-    many = [n for n in cols if uniq_row[n] >= EXACT_BELOW]
-    if counts and many:
-        uniq_row |= {r["column"]: r["unique"] for r in distinct_counts(df, many, approx=approx).collect()}
+    uniq_row = _sketched_counts(df, cols)
+    if counts:
+        uniq_row |= _exact_counts(df, [n for n in cols if uniq_row[n] >= EXACT_BELOW], approx)
     shaped = [n for i, n in enumerate(cols) if n in text and row[f"nn{i}"] > 0 and any(row[f"sh{i}_{j}"] == 0 for j in range(len(DATE_FORMATS)))]
     date_plan = date_text_plan(df, shaped) if shaped else {}
     n_rows = row["__rows"]
@@ -343,12 +367,9 @@ def column_catalog(df: DataFrame) -> DataFrame:
     types = _types(df)
     cols = _scalar_cols(df, None)
     d = nan_to_null_all(df)
-    aggs = [F.count(_c(n)).alias(f"nn{i}") for i, n in enumerate(cols)] + [_sketched(n, types[n]).alias(f"u{i}") for i, n in enumerate(cols)]
-    row = d.agg(F.count("*").alias("rows"), *aggs).first()
-    uniq = {n: row[f"u{i}"] for i, n in enumerate(cols)}
-    many = [n for n in cols if uniq[n] >= EXACT_BELOW]
-    if many:
-        uniq |= {r["column"]: r["unique"] for r in distinct_counts(d, many).collect()}
+    row = d.agg(F.count("*").alias("rows"), *[F.count(_c(n)).alias(f"nn{i}") for i, n in enumerate(cols)]).first()
+    uniq = _sketched_counts(d, cols)
+    uniq |= _exact_counts(d, [n for n in cols if uniq[n] >= EXACT_BELOW])
     out = [(n, i, types[n].simpleString(), row[f"nn{i}"], row["rows"] - row[f"nn{i}"], uniq[n]) for i, n in enumerate(cols)]
     return df.sparkSession.createDataFrame(out, "column string, ord int, dtype string, non_null long, nulls long, unique long")  # one row per column
 
