@@ -254,6 +254,51 @@ def test_packing_round_trip(spark):
     assert bestfit_swap.pack_documents(docs(spark, EDGE).limit(0), bestfit_swap.default_vocabulary()).count() == 0
 
 
+def test_forgotten_words_are_encoded_again():
+    rng = np.random.default_rng(8)
+    path = bestfit_swap.default_vocabulary()
+    small = bestfit_swap.WordIds(path, room=40)
+    words = ["Wort", "it's", "don't", "naïve", "x9y", "straße.", "(a,b)", "...", "İ", "<|endoftext|>", "\u00a0", "12345", "''", "a'"]
+    words += ["".join(rng.choice(list("abcdeé"), 6)) for _ in range(300)]
+    for _ in range(12):
+        texts = [None, "", " \n", *(rng.choice([" ", "  ", "\n"]).join(rng.choice(words, 50)) for _ in range(8))]
+        got = [x.tolist() for x in small.column(bestfit_swap.pa.array(texts, bestfit_swap.pa.string()))]
+        assert got == [[*small.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert len(small.words) <= 40 + 400 and small.words.older
+
+
+def fewest_bins(lengths, capacity):
+    """The optimum by trying everything: pieces in order, each into every bin with another room or a new one."""
+    best = [len(lengths)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in {r for r in rooms if r >= lengths[k]}:
+            i = rooms.index(r)
+            go(k + 1, [*rooms[:i], r - lengths[k], *rooms[i + 1 :]])
+        go(k + 1, [*rooms, capacity - lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_all_packings_of_ten_pieces():
+    rng = np.random.default_rng(6)
+    over = 0
+    for _ in range(40):
+        lengths = rng.integers(5, 60, 10)
+        bins = bestfit_swap.local_search(lengths, bestfit_swap.best_fit(lengths, 100), 100)
+        assert sorted(i for b in bins for i in b) == list(range(10)) and all(lengths[b].sum() <= 100 for b in bins)
+        least = fewest_bins(sorted(lengths.tolist(), reverse=True), 100)
+        assert least <= len(bins) <= least + 1
+        over += len(bins) - least
+    assert over <= 4
+
+
 def test_local_search_improves_best_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1000, 2000, 900)
