@@ -35,7 +35,7 @@ from tablewise.llm.common import discard, prepare, read_table, store
 
 CAPACITY, END_ID = 4096, 1
 #: Words (and pieces of words) a worker remembers: this many recent ones and as many before them.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Texts without these can be cut at white space and lower-cased beforehand: each is its own
 #: normal form, holds no special token, and Arrow and the tokenizer agree on its case and white space.
 _UNSAFE = r"[^\t\n\r -~\x{A1}-\x{FF}]|<\|"
