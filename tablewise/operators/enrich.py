@@ -9,6 +9,7 @@ Spark expressions and aggregates.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,12 +21,14 @@ from tablewise.functions.exprs import is_numeric_type, latin1_safe, nan_to_null,
 from tablewise.operators.clean import _c, _types
 from tablewise.operators.quantiles import broadcastable
 from tablewise.operators.stats import iqr_bounds, _num
-from tablewise.session import materialize, ship_package
+from tablewise.session import materialize, release, ship_package
 
 BATCH_SIZE = 30
 ROW_GATE = 500
 ERROR_PREFIX = "ERROR:"
 OK_COL = "_ok"
+ERROR_COL = "_error"
+CHUNK_COL, PLACE_COL = "_chunk", "_place"
 
 
 # ---------------------------------------------------------------------------
@@ -44,6 +47,7 @@ def enrich_batches(
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
     batch_size: int = BATCH_SIZE,
+    error_col: str | None = None,
 ) -> DataFrame:
     """Run ``fn`` on chunks of ``batch_size`` rows inside each partition.
 
@@ -51,31 +55,19 @@ def enrich_batches(
     ``schema``.  A chunk whose call raises, or whose reply is a text starting
     with ``ERROR:``, yields one marker row with ``_ok = false``; every other
     output row has ``_ok = true``.  Chunks run in parallel across partitions.
+    ``error_col`` names a column for the error of a failed chunk.
     """
     ship_package(df.sparkSession)
     out_schema = _as_struct(schema)
-    names = out_schema.fieldNames()
-    # marker rows of failed chunks hold NULLs, so every output field is nullable
-    fields = [T.StructField(f.name, f.dataType, True) for f in out_schema.fields]
-    full = T.StructType(fields + [T.StructField(OK_COL, T.BooleanType(), False)])
-
-    def failed() -> pd.DataFrame:
-        row = {n: [None] for n in names}
-        row[OK_COL] = [False]
-        return pd.DataFrame(row)
+    call = _call(fn, out_schema.fieldNames())
 
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
-        try:
-            res = fn(chunk.reset_index(drop=True))
-        except Exception:  # noqa: BLE001 - any failure means fall back
-            return failed()
-        if isinstance(res, str):  # a raw reply text, e.g. "ERROR: ..."
-            return failed()
-        if res is None or not isinstance(res, pd.DataFrame) or any(n not in res.columns for n in names):
-            return failed()
-        res = res[names].copy()
-        res[OK_COL] = True
-        return res
+        out = call(chunk)
+        return out.rename(columns={ERROR_COL: error_col}) if error_col else out.drop(columns=ERROR_COL)
+
+    full = _reply_fields(out_schema)
+    if error_col:
+        full = full.add(error_col, T.StringType(), True)
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -91,6 +83,110 @@ def enrich_batches(
     return df.mapInPandas(per_partition, full)
 
 
+def _reply_fields(schema: T.StructType) -> T.StructType:
+    """The output fields and ``_ok``; marker rows of failed chunks hold NULLs, so every output field is nullable."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    return T.StructType([*fields, T.StructField(OK_COL, T.BooleanType(), False)])
+
+
+def _call(fn: Callable[[pd.DataFrame], pd.DataFrame], names: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``fn`` on one chunk: the columns ``names``, ``_ok`` and ``_error``; one marker row if the call failed."""
+
+    def failed(why: str) -> pd.DataFrame:
+        return pd.DataFrame({**{n: [None] for n in names}, OK_COL: [False], ERROR_COL: [why]})
+
+    def run(chunk: pd.DataFrame) -> pd.DataFrame:
+        try:
+            res = fn(chunk.reset_index(drop=True))
+        except Exception as e:  # noqa: BLE001 - any failure means fall back
+            return failed(f"{type(e).__name__}: {e}")
+        if isinstance(res, str):  # a raw reply text, e.g. "ERROR: ..."
+            return failed(res)
+        if not isinstance(res, pd.DataFrame):
+            return failed("reply is not a table")
+        missing = [n for n in names if n not in res.columns]
+        if missing:
+            return failed(f"reply lacks {', '.join(missing)}")
+        return res[list(names)].assign(**{OK_COL: True, ERROR_COL: None})
+
+    return run
+
+
+def enrich_recorded(
+    df: DataFrame,
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: T.StructType | str,
+    ledger: str,
+    batch_size: int = BATCH_SIZE,
+    attempts: int = 3,
+    wave: int = 100_000,
+) -> DataFrame:
+    """E1 with a call ledger: the rows of ``enrich_batches`` and ``_error``, replies kept in the folder ``ledger``.
+
+    The table is cut into chunks once; a chunk's name is a digest of its rows.  Chunks
+    without a reply in the ledger are called, about ``wave`` of them per job, and each job's replies
+    are added to the ledger when it ends: a failed job or a later run repeats only what is
+    missing.  A chunk that failed is called again, ``attempts`` times in all.  Equal
+    chunks are called once.  ``ledger`` is a folder all executors share; use another one for
+    another function.  An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    out_schema = _as_struct(schema)
+    names, columns = out_schema.fieldNames(), df.columns
+    call = _call(fn, names)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def named(chunk: pd.DataFrame) -> pd.DataFrame:
+            name = hashlib.sha256("\n".join(chunk[CHUNK_COL]).encode()).hexdigest()
+            return chunk.assign(**{CHUNK_COL: name, PLACE_COL: range(len(chunk))})
+
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            buf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            whole = len(buf) - len(buf) % batch_size
+            for at in range(0, whole, batch_size):
+                yield named(buf.iloc[at : at + batch_size])
+            rest = buf.iloc[whole:] if whole < len(buf) else None
+        if rest is not None:
+            yield named(rest)
+
+    row_digest = F.sha2(F.to_json(F.struct(*[_c(n) for n in columns]), {"ignoreNullFields": "false"}), 256)
+    rows = df.select("*", row_digest.alias(CHUNK_COL))
+    chunked = materialize(rows.mapInPandas(cut, T.StructType([*rows.schema.fields, T.StructField(PLACE_COL, T.IntegerType())])))
+
+    kept = _reply_fields(out_schema).add(ERROR_COL, T.StringType()).add(CHUNK_COL, T.StringType()).add(PLACE_COL, T.IntegerType())
+
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        res = call(pdf.sort_values(PLACE_COL)[columns])
+        res = res.assign(**{PLACE_COL: range(len(res))})
+        mark = pd.DataFrame({**{n: [None] for n in names}, OK_COL: [bool(res[OK_COL].all())], ERROR_COL: res[ERROR_COL].iloc[:1].tolist() or [None], PLACE_COL: [-1]})
+        # a failed chunk is its mark alone, a good one its mark and its rows
+        out = pd.concat([mark, res] if mark[OK_COL].iloc[0] else [mark])
+        return out.assign(**{CHUNK_COL: key[0]})[kept.names]
+
+    def replies() -> DataFrame:
+        return spark.read.schema(kept).parquet(ledger)
+
+    spark.createDataFrame([], kept).write.mode("append").parquet(ledger)  # the folder exists from here on
+    chunks = chunked.where(F.col(PLACE_COL) == 0).select(CHUNK_COL)
+    done = replies().where((F.col(PLACE_COL) == -1) & F.col(OK_COL)).select(CHUNK_COL)
+    for _ in range(attempts):
+        open_ = materialize(chunks.distinct().join(done.distinct(), CHUNK_COL, "left_anti"))
+        waves = -(-open_.count() // wave)
+        for w in range(waves):
+            part = open_.where(F.pmod(F.xxhash64(CHUNK_COL), F.lit(waves)) == w)
+            todo = chunked.join(part, CHUNK_COL, "left_semi").dropDuplicates([CHUNK_COL, PLACE_COL])
+            todo.groupBy(CHUNK_COL).applyInPandas(answer, kept).write.mode("append").parquet(ledger)
+        release(open_)
+        done = replies().where((F.col(PLACE_COL) == -1) & F.col(OK_COL)).select(CHUNK_COL)
+        if not waves:
+            break
+    good = replies().where(F.col(OK_COL) & (F.col(PLACE_COL) >= 0)).dropDuplicates([CHUNK_COL, PLACE_COL])
+    bad = replies().where(~F.col(OK_COL)).join(done.distinct(), CHUNK_COL, "left_anti").dropDuplicates([CHUNK_COL])
+    return chunks.join(good.unionByName(bad), CHUNK_COL).select(*[_c(n) for n in names], OK_COL, ERROR_COL)
+
+
 def row_gate(df: DataFrame, limit: int = ROW_GATE) -> bool:
     """True when the table has at most ``limit`` rows (never a full count)."""
     return df.limit(limit + 1).count() <= limit
@@ -102,22 +198,27 @@ def enrich_or_fallback(
     schema: T.StructType | str | None = None,
     batch_size: int = BATCH_SIZE,
     max_rows: int | None = None,
+    ledger: str | None = None,
+    attempts: int = 3,
 ) -> tuple[DataFrame, bool, str]:
     """Enrich, or return ``df`` unchanged if ANY batch failed.
 
     Returns ``(frame, enhanced, message)``.  The enriched result is
     checkpointed before the all-ok check so ``fn`` runs once per chunk.
     Tables of any size are enriched; a caller with a row budget passes
-    ``max_rows`` (R9 gate, e.g. ``ROW_GATE``).
+    ``max_rows`` (R9 gate, e.g. ``ROW_GATE``).  With ``ledger`` (a shared folder) replies are
+    kept and failed chunks called ``attempts`` times (``enrich_recorded``).  The message of a
+    failure holds one error text.
     """
     if max_rows is not None and not row_gate(df, max_rows):
         return df, False, f"more than {max_rows} rows: rule-based result"
     sch = _as_struct(schema) if schema is not None else df.schema
-    enriched = materialize(enrich_batches(df, fn, sch, batch_size))
-    all_ok = enriched.agg(F.coalesce(F.bool_and(OK_COL), F.lit(True)).alias("ok")).first()["ok"]
-    if not all_ok:
-        return df, False, "enrichment failed for at least one batch: rule-based result"
-    return enriched.filter(F.col(OK_COL)).drop(OK_COL), True, "enriched"
+    calls = enrich_recorded(df, fn, sch, ledger, batch_size, attempts) if ledger else enrich_batches(df, fn, sch, batch_size, ERROR_COL)
+    enriched = materialize(calls)
+    state = enriched.agg(F.coalesce(F.bool_and(OK_COL), F.lit(True)).alias("ok"), F.min(ERROR_COL).alias("why")).first()
+    if not state["ok"]:
+        return df, False, f"enrichment failed for at least one batch ({state['why']}): rule-based result"
+    return enriched.filter(F.col(OK_COL)).drop(OK_COL, ERROR_COL), True, "enriched"
 
 
 # ---------------------------------------------------------------------------
