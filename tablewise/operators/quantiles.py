@@ -30,12 +30,14 @@ values that remain after combining.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.exprs import nan_to_null
-from tablewise.session import cache_tracked, materialize
+from tablewise.session import materialize
 
 SKETCH_ACCURACY = 10000  # of approximate quantiles
 # brackets: a coarse sketch is cheap, its brackets hold about 1.5% of the rows
@@ -64,9 +66,12 @@ def broadcastable(df: DataFrame, text: Sequence[str] = ()) -> bool:
     return 64 * r["n"] + 4 * r["chars"] <= BROADCAST_BYTES
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], fits: bool) -> DataFrame:
-    """Join a large frame to a small one; broadcast only under a measured bound."""
-    return big.join(F.broadcast(small) if fits else small, on)
+def _join_small(big: DataFrame, small: DataFrame, on: list[str], fits: bool, how: str = "inner") -> DataFrame:
+    """Join a large frame to a small one; broadcast only under a measured bound.  A NULL group meets itself."""
+    own = {k: f"__at{i}" for i, k in enumerate(on)}
+    small = small.select(*[F.col(k).alias(a) for k, a in own.items()], *[c for c in small.columns if c not in own])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(a)) if k.startswith("__by") else F.col(k) == F.col(a) for k, a in own.items()])
+    return big.join(F.broadcast(small) if fits else small, same, how).drop(*own.values())
 
 
 def quantiles(
@@ -162,8 +167,9 @@ def _exact(long: DataFrame, keys: list[str], probs, max_candidates: int) -> Data
     level = 0
     while True:
         tgt = _bracketed(tgt)
-        # later rounds keep the grid in a stored table; the common single round caches narrow rows
-        held = cache_tracked(tgt.drop("__grid")) if level == 0 else tgt
+        # written, not cached: a grouped join renames its keys, and the planner then no longer finds cached rows.
+        # Later rounds keep the grid as well; the common single round stores narrow rows
+        held = materialize(tgt.drop("__grid")) if level == 0 else tgt
         big = (F.col("__est") > max_candidates) & F.col("__shrinks")
         size = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
         s = held.agg(F.count("*").alias("t"), F.count_if(big).alias("big"), F.coalesce(F.sum(size), F.lit(0)).alias("chars")).first()
@@ -194,17 +200,18 @@ def _exact(long: DataFrame, keys: list[str], probs, max_candidates: int) -> Data
                 "__grid": F.when(holds, F.col("__next")).otherwise(F.col("__grid")),
                 "__wide": F.when(holds, F.lit(1)).otherwise(F.col("__wide") * 4).cast("long"),
             }
-            narrowed = rough.join(scan, tkeys).select(*[new.get(c, F.col(c)).alias(c) for c in [*state, "__grid"]])
+            narrowed = _join_small(rough, scan, tkeys, fits).select(*[new.get(c, F.col(c)).alias(c) for c in [*state, "__grid"]])
             after = materialize(narrowed)
         else:
             after = None
-        if not s["t"]:  # no group has a value
+        if not s["t"] and not done:  # no group has a value
             return held.select(*tkeys, F.col("__pos").alias("value"), "n")
         if s["t"] > s["big"]:
             res, missed = _select(long, ready, keys, fits)
             done.append(res)
             if missed is not None:  # widen these and go round again
-                again = missed.join(sk.select(*keys, "__grid"), keys) if level == 0 and not s["big"] else missed.join(tgt.select(*tkeys, "__grid"), tkeys)
+                grids, on = (sk.select(*keys, "__grid"), keys) if level == 0 and not s["big"] else (tgt.select(*tkeys, "__grid"), tkeys)
+                again = _join_small(missed, grids, on, fits)
                 again = materialize(again.withColumn("__wide", F.col("__wide") * 4).select(*state, "__grid"))
                 after = again if after is None else after.unionByName(again)
         if after is None:
@@ -233,8 +240,8 @@ def _select(long: DataFrame, tgt: DataFrame, keys: list[str], fits: bool) -> tup
         return F.max(F.when(hit, F.col("__cv")))
 
     picked = _join_small(cand, tgt.select(*tkeys, "__klo", "__khi"), tkeys, fits).groupBy(*tkeys).agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
-    picked = cache_tracked(picked)  # one row per target; the selection pass runs once
-    out = tgt.join(F.broadcast(picked) if fits else picked, tkeys, "left")
+    picked = materialize(picked)  # one row per target; the selection pass runs once
+    out = _join_small(tgt, picked, tkeys, fits, "left")
     value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
     missing = F.col("__vlo").isNull() | F.col("__vhi").isNull()
     res = out.filter(~missing).select(*keys, "p", value.alias("value"), "n")

@@ -63,3 +63,20 @@ def test_refine_path_equals_default_on_driver_table(spark):
     a = sorted(map(tuple, quantiles(li, cols, probs).collect()))
     b = sorted(map(tuple, quantiles(li, cols, probs, max_candidates=200).collect()))
     assert a == b
+
+
+def test_grouped_quantiles_read_their_input_twice(spark):
+    """The stored targets are found again: sketch and selection are one pass each, for any number of groups."""
+    pdf = pd.DataFrame({"g": ["p", "q", None] * 20, "v": [float(i % 17) for i in range(60)]})
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    base = spark.createDataFrame(pdf)
+    df = base.mapInPandas(watched, base.schema)
+    got = {(r.g, r.p): r.value for r in quantiles(df, ["v"], [0.25, 0.5], by=["g"]).collect()}
+    assert seen.value == 2 * len(pdf)
+    assert got == {(None if pd.isna(g) else g, p): x["v"].quantile(p) for g, x in pdf.groupby("g", dropna=False) for p in (0.25, 0.5)}  # a NULL group is a group
