@@ -10,7 +10,7 @@ needed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -350,32 +350,44 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, density: bool =
     Returns (bin, lo, hi, mid, count[, density]).  ``bins=None`` uses
     min(50, max(10, floor(sqrt(n)))).
     """
+    stats = stats if stats is not None else range_stats(df, col)
+    bin_of, filled = histogram_layout(df, col, stats, bins, density)
+    counts = df.select(bin_of.alias("bin")).filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("count"))
+    return filled(counts)
+
+
+def histogram_layout(df: DataFrame, col: str, stats: tuple, bins: int | None = None, density: bool = False) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
+    """The bin of a value (NULL for no value) and a function that makes a histogram of counts per bin
+    (bin, count), for the ``range_stats`` of a column."""
     x = _num(df, col)
-    lo_, hi_, n_ = stats if stats is not None else range_stats(df, col)
-    st = {"lo": lo_, "hi": hi_, "n": n_}
     spark = df.sparkSession
-    if st["n"] == 0:
-        return spark.createDataFrame([], "bin int, lo double, hi double, mid double, count long, density double")
-    nb = bins or _bins_for(st["n"])
-    lo, hi = float(st["lo"]), float(st["hi"])
+    lo, hi, n = stats
+    if not n:
+        schema = "bin int, lo double, hi double, mid double, count long, density double"
+        return F.lit(None).cast("int"), lambda _counts: spark.createDataFrame([], schema)
+    nb = bins or _bins_for(n)
+    lo, hi = float(lo), float(hi)
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / nb
     # NULL stays NULL (``least`` alone would skip it and put it in the last bin)
-    b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(nb)).cast("int"), F.lit(nb - 1)))
-    counts = df.select(b.alias("bin")).filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("count"))
-    # every bin index (nb rows, a fixed bound) so empty bins appear as zeros
-    all_bins = spark.range(nb).select(F.col("id").cast("int").alias("bin"))
-    out = all_bins.join(F.broadcast(counts), "bin", "left").select(
-        "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
-        F.when(F.col("bin") == nb - 1, F.lit(hi)).otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
-        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-    )
-    out = out.withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
-    if density:
-        out = out.withColumn("density", F.col("count") / F.lit(st["n"] * width))
-    return out.orderBy("bin")
+    bin_of = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(nb)).cast("int"), F.lit(nb - 1)))
+
+    def filled(counts: DataFrame) -> DataFrame:
+        # every bin index (nb rows, a fixed bound) so empty bins appear as zeros
+        all_bins = spark.range(nb).select(F.col("id").cast("int").alias("bin"))
+        out = all_bins.join(F.broadcast(counts), "bin", "left").select(
+            "bin",
+            (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
+            F.when(F.col("bin") == nb - 1, F.lit(hi)).otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
+            F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+        )
+        out = out.withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
+        if density:
+            out = out.withColumn("density", F.col("count") / F.lit(n * width))
+        return out.orderBy("bin")
+
+    return bin_of, filled
 
 
 # ---------------------------------------------------------------------------

@@ -265,6 +265,51 @@ def q_v10_route(spark, sf):
     return out["column_types"].agg(F.lit(out["route"]).alias("route"), F.count("*").alias("types"))
 
 
+# --- all charts of a plan from a fixed number of scans -------------------------------
+
+
+_PLAN_ITEMS = [("histogram", "l_quantity", None), ("bar", "l_returnflag", None), ("line", "l_shipdate", None), ("scatter", "l_extendedprice", "l_tax"), ("line", "l_shipdate", "l_quantity"), ("box", "l_returnflag", "l_quantity")]
+
+
+@query(
+    "v09_plan_data_one_cube",
+    f"""WITH st AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, CAST(least(50, greatest(10, floor(sqrt(count(l_quantity))))) AS BIGINT) AS nb FROM lineitem),
+    h AS (SELECT least(CAST(floor((l_quantity - lo) / (hi - lo) * nb) AS BIGINT), nb - 1) AS b, count(*) AS n FROM lineitem, st GROUP BY 1),
+    cells AS (
+      SELECT 'histogram' AS chart, CAST(NULL AS VARCHAR) AS label, CAST(i AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, coalesce(n, 0) AS count, CAST(NULL AS DOUBLE) AS total
+        FROM (SELECT unnest(range(nb)) AS i FROM st) LEFT JOIN h ON b = i
+      UNION ALL SELECT 'value_counts', l_returnflag, NULL, NULL, count(*), NULL FROM lineitem GROUP BY 2
+      UNION ALL SELECT 'by_period', strftime(l_shipdate, '%Y-%m'), NULL, NULL, count(*), NULL FROM lineitem GROUP BY 2
+      UNION ALL SELECT 'scatter', NULL, {_bin_sql('l_extendedprice', 'lineitem')}, {_bin_sql('l_tax', 'lineitem')}, count(*), NULL FROM lineitem GROUP BY 3, 4
+      UNION ALL SELECT 'trend_line', NULL, {_r('regr_r2(l_tax, l_extendedprice)')}, {_r('regr_intercept(l_tax, l_extendedprice)')}, count(*), NULL FROM lineitem
+      UNION ALL SELECT 'line', strftime(l_shipdate, '%Y-%m'), NULL, NULL, count(*), ROUND(sum(l_quantity), 2) FROM lineitem GROUP BY 2
+      UNION ALL SELECT 'box', l_returnflag, {_r('quantile_cont(l_quantity, 0.25)')}, {_r('quantile_cont(l_quantity, 0.5)')}, count(*), {_r('avg(l_quantity)')} FROM lineitem GROUP BY 2)
+    SELECT chart, label, x, y, CAST(count AS BIGINT) AS count, total FROM cells""",
+)
+def q_v09_cube(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    items = [{"chart_type": t, "x": x, "y": y} for t, x, y in _PLAN_ITEMS]
+    tmap = {"l_quantity": "numerical", "l_extendedprice": "numerical", "l_tax": "numerical", "l_returnflag": "categorical", "l_shipdate": "datetime"}
+    shown = {
+        "histogram": (None, F.col("bin"), None, "count", None),
+        "value_counts": (F.col("value"), None, None, "count", None),
+        "by_period": (F.col("period"), None, None, "count", None),
+        "scatter": (None, F.round("x", 4), F.round("y", 4), "count", None),
+        "trend_line": (None, F.round("r2", 4), F.round("intercept", 4), "n", None),
+        "line": (F.col("period"), None, None, "count", F.round("total", 2)),
+        "box": (F.col("l_returnflag"), F.round("q1", 4), F.round("median", 4), "n", F.round("mean", 4)),
+    }
+    out = None
+    for data in V.plan_data(li, items, tmap, rules=True):
+        for name, frame in data.items():
+            if name == "density":  # the histogram's cells once more
+                continue
+            label, x, y, n, total = (F.lit(None) if c is None else c for c in shown[name])
+            part = frame.select(F.lit(name).alias("chart"), label.cast("string").alias("label"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.col(n).alias("count"), total.cast("double").alias("total"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- insight replies -----------------------------------------------------------------
 
 

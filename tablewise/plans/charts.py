@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.functions.exprs import numeric_columns
+from tablewise.functions.exprs import nan_to_null, numeric_columns
+from tablewise.operators import cube as Q
 from tablewise.operators import profile as P
 from tablewise.operators import stats as S
-from tablewise.operators.clean import _c, parse_dates
+from tablewise.operators.clean import _c, _types, parse_dates
 
 # Plan caps and chart titles of the rule-based plan.
 MAX_PAIR_NUMERICS = 6
@@ -291,46 +292,138 @@ def validate_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
     return classify_plan(p)
 
 
-def chart_data(df: DataFrame, item: dict, tmap: dict[str, str] | None = None) -> DataFrame | None:
-    """V10 (execution) for one validated plan item: an aggregate of the whole table; None if
-    the item cannot be drawn (a needed column is missing or is not a number)."""
-    tmap = tmap or _types_map(df)
+def _counted(df: DataFrame, x: str) -> Q.Cells | DataFrame:
+    """A3 as cells: (value, count)."""
+    value = nan_to_null(_c(x), _types(df)[x])
+    axis = Q.value_axis(df, x, value)
+    if axis is None:
+        return P.value_counts(df, x)
+    return Q.Cells([axis], value.isNotNull(), lambda t: t.select(F.col("a0").alias("value"), "count").orderBy(F.desc("count"), F.asc("value")))
+
+
+def _periods(x: str) -> Q.Cells:
+    """A8 as cells: (period, count)."""
+    return Q.Cells([Q.month_axis(x)], _c(x).isNotNull(), lambda t: t.select(F.col("a0").alias("period"), "count").orderBy("period"))
+
+
+def _totals(df: DataFrame, x: str, y: str, color: str | None) -> Q.Cells | DataFrame:
+    """A18 as cells: (x[, color], total); rows without a value on an axis make a group of their own."""
+    names = [x] + [color] * bool(color)
+    axes = [Q.value_axis(df, c) for c in names]
+    if None in axes:
+        return S.bar_totals(df, x, y, color)
+    return Q.Cells(axes, F.lit(True), lambda t: t.select(*[F.col(f"a{n}").alias(c) for n, c in enumerate(names)], "total"), S._num(df, y))
+
+
+def _timed(df: DataFrame, dt: str, y: str, days: int, color: str | None = None) -> Q.Cells | DataFrame:
+    """V5 as cells: as ``period_totals``."""
+    colors = [Q.value_axis(df, color)] if color else []
+    if None in colors:
+        return period_totals(df, dt, y, {}, color)
+    keys = ["period"] + ["color"] * bool(color)
+    v = S._num(df, y)
+
+    def finish(t: DataFrame) -> DataFrame:
+        labels = [F.col(f"a{n}").alias(c) for n, c in enumerate(keys)]
+        return t.select(*labels, "total", (F.col("total") / F.col("count")).alias("mean"), "count").orderBy(*keys)
+
+    return Q.Cells([Q.day_axis(dt) if days <= 366 else Q.month_axis(dt), *colors], _c(dt).isNotNull() & v.isNotNull(), finish, v)
+
+
+def _grid(df: DataFrame, x: str, y: str, color: str | None, tmap: dict[str, str], ranges: dict, bins: int = 30) -> Q.Cells:
+    """V2 / V6 as cells: as ``binned_pairs``."""
+    names = [x, y] + [color] * bool(color)
+    kinds = [tmap.get(c) for c in names]
+    axes = [Q.number_axis(df, c, ranges[c], bins) if k == "numerical" else Q.month_axis(c) if k == "datetime" else Q.text_axis(c) for c, k in zip(names, kinds)]
+    shown = ["x", "y"] + ["color"] * bool(color)
+    return Q.Cells(axes, axes[0].cell().isNotNull() & axes[1].cell().isNotNull(), lambda t: t.select(*[F.col(f"a{n}").alias(c) for n, c in enumerate(shown)], "count"))
+
+
+def _bars(df: DataFrame, x: str, stats: tuple, **how) -> Q.Cells:
+    """A12 / A13 as cells."""
+    bin_of, filled = S.histogram_layout(df, x, stats, **how)
+    axis = Q.Axis(bin_of, None, lambda i, _t: i.cast("int"))
+    return Q.Cells([axis], bin_of.isNotNull(), lambda t: filled(t.select(F.col("a0").alias("bin"), "count")))
+
+
+def _box(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """A14 of one value per group; two group columns go as one struct."""
+    if len(groups) < 2:
+        return S.box_stats(df, value, by=groups[0] if groups else None)
+    pair = df.select(F.struct(*[_c(c).alias(f"g{n}") for n, c in enumerate(groups)]).alias("__pair"), _c(value).alias(value))
+    pair = pair.filter(F.col("__pair.g0").isNotNull() & F.col("__pair.g1").isNotNull())
+    out = S.box_stats(pair, value, by="__pair")
+    return out.select(*[F.col(f"__pair.g{n}").alias(c) for n, c in enumerate(groups)], *[c for c in out.columns if c != "__pair"])
+
+
+def _parts_of(df: DataFrame, item: dict, tmap: dict[str, str], ranges: dict, rules: bool) -> dict | None:
+    """The named datasets of a plan item: ``Cells``, ('trend', x, y), ('box', value, groups) or a frame.
+    None if the item cannot be drawn (a needed column is missing or is not a number)."""
     ct, x, y, color = item["chart_type"], item.get("x") or None, item.get("y") or None, item.get("color") or None
     numeric = set(numeric_columns(df))
     if ct == "heatmap":
-        return heatmap(df)
+        return {ct: heatmap(df)}
     if x is None or (y is not None and ct in ("line", "bar", "box") and y not in numeric):
         return None
+    if ct == "histogram":
+        return {"histogram": _bars(df, x, ranges[x]), "density": _bars(df, x, ranges[x], bins=S.DENSITY_BINS, density=True)}
     if ct == "line":
         if y is None:
-            return S.counts_by_period(dated(df, tmap, [x]), x) if tmap.get(x) == "datetime" else P.value_counts(df, x)
-        return period_totals(df, x, y, tmap, color) if tmap.get(x) == "datetime" else S.bar_totals(df, x, y, color)
+            return {"by_period" if rules else ct: _periods(x) if tmap.get(x) == "datetime" else _counted(df, x)}
+        return {ct: _timed(df, x, y, ranges[x], color) if tmap.get(x) == "datetime" else _totals(df, x, y, color)}
     if ct == "bar":
-        return S.bar_totals(df, x, y, color) if y else P.value_counts(df, x)
-    if ct == "scatter":
-        return binned_pairs(df, x, y, tmap, color) if y else None
-    if ct == "box":
-        value = y or x
-        if value not in numeric:
-            return None
-        group = [c for c in ((x if y else None), color) if c]
-        if len(group) < 2:
-            return S.box_stats(df, value, by=group[0] if group else None)
-        # one box per (x, color)
-        pair = df.select(F.struct(*[_c(c).alias(k) for c, k in zip(group, ("x", "color"))]).alias("__pair"), _c(value).alias(value))
-        pair = pair.filter(F.col("__pair.x").isNotNull() & F.col("__pair.color").isNotNull())
-        out = S.box_stats(pair, value, by="__pair")
-        return out.select(F.col("__pair.x").alias(group[0]), F.col("__pair.color").alias(group[1]), *[c for c in out.columns if c != "__pair"])
+        return {ct: _totals(df, x, y, color)} if y else {"value_counts" if rules else ct: _counted(df, x)}
+    if ct == "scatter" and y:
+        return {ct: _grid(df, x, y, color, tmap, ranges)} | ({"trend_line": ("trend", x, y)} if rules else {})
+    if ct == "box" and (y or x) in numeric:
+        groups = [c for c in ((x if y else None), color) if c]
+        nested = None in [Q.value_axis(df, g) for g in groups]  # arrays, maps, structs: a quantile call of their own
+        return {ct: _box(df, y or x, groups) if nested else ("box", y or x, groups)}
     return None
 
 
+def plan_data(df: DataFrame, items: Sequence[dict], tmap: dict[str, str] | None = None, rules: bool = False) -> list[dict[str, DataFrame] | None]:
+    """The datasets of many plan items, each an aggregate of the whole table: one dict of named frames per
+    item, None for an item that cannot be drawn.
+
+    The number of scans does not depend on the number of charts: one aggregate for the ranges of all axes,
+    one scan for all cells, one for all trend lines, the passes of one grouped quantile call for all boxes
+    (and one scan per heat map).  ``rules`` names the datasets as ``univariate`` and ``bivariate_data`` do;
+    otherwise an item has one dataset, named by its chart type."""
+    if not items:
+        return []
+    tmap = tmap or _types_map(df)
+    used = {c for it in items for c in (it.get("x"), it.get("y"), it.get("color")) if c}
+    df = dated(df, tmap, [c for c in df.columns if c in used])
+    axes = {c for it in items if it["chart_type"] in ("histogram", "scatter") for c in (it.get("x"), it.get("y"), it.get("color")) if c and tmap.get(c) == "numerical"}
+    times = {it["x"] for it in items if it["chart_type"] == "line" and it.get("y") and tmap.get(it.get("x")) == "datetime"}
+    ranges = Q.axis_ranges(df, [c for c in df.columns if c in axes], [c for c in df.columns if c in times])
+    parts = [_parts_of(df, it, tmap, ranges, rules) for it in items]
+    kinds: dict[str, list] = {"cells": [], "trend": [], "box": []}
+    where = []
+    for item in parts:
+        for name, part in (item or {}).items():
+            kind = "cells" if isinstance(part, Q.Cells) else part[0] if isinstance(part, tuple) else None
+            where.append(None if kind is None else (kind, len(kinds[kind])))
+            if kind:
+                kinds[kind].append(part if kind == "cells" else part[1:])
+    made = {"cells": Q.chart_cells(df, kinds["cells"]), "trend": Q.trend_lines(df, kinds["trend"]), "box": Q.boxes(df, kinds["box"])}
+    at = iter(where)
+    return [item and {name: made[w[0]][w[1]] if (w := next(at)) else part for name, part in item.items()} for item in parts]
+
+
+def chart_data(df: DataFrame, item: dict, tmap: dict[str, str] | None = None) -> DataFrame | None:
+    """V10 (execution) for one validated plan item; several items go through ``plan_data`` at once."""
+    (data,) = plan_data(df, [item], tmap)
+    return data and data[item["chart_type"]]
+
+
 def execute_plan(df: DataFrame, plan: DataFrame, tmap: dict[str, str] | None = None) -> list[tuple[dict, DataFrame]]:
     """Validated plan items with their datasets (plan size is small).  An item that cannot be
     drawn is left out; the others are not affected."""
     items = [r.asDict() for r in validate_plan(df, plan).orderBy("ord").collect()]
     tmap = tmap or (_types_map(df) if items else {})
-    charts = [(it, chart_data(df, it, tmap)) for it in items]
-    return [(it, data) for it, data in charts if data is not None]
+    return [(it, data[it["chart_type"]]) for it, data in zip(items, plan_data(df, items, tmap)) if data is not None and data[it["chart_type"]] is not None]
 
 
 def chart_records(plan: DataFrame) -> DataFrame:
@@ -359,13 +452,6 @@ def visualize(df: DataFrame, plan: DataFrame | None = None) -> dict:
             charts = [(it, {it["chart_type"]: data}) for it, data in drawn]
             return {"column_types": types_df, "plan": validate_plan(df, plan), "charts": charts, "statistical_summary": summary, "route": "external"}
     plan = rule_plan(df, types_df)
-    charts = []
-    for it in [r.asDict() for r in plan.orderBy("ord").collect()]:
-        if it["kind"] == "univariate":
-            data = univariate(df, it["x"], tmap)
-        elif it["kind"] == "bivariate":
-            _kind, data = bivariate_data(df, it["x"], it["y"], tmap)
-        else:
-            data = {"heatmap": heatmap(df)}
-        charts.append((it, data))
+    items = [r.asDict() for r in plan.orderBy("ord").collect()]
+    charts = list(zip(items, plan_data(df, items, tmap, rules=True)))
     return {"column_types": types_df, "plan": plan, "charts": charts, "statistical_summary": summary, "route": "rules"}
