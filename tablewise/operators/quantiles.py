@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.exprs import nan_to_null
-from tablewise.session import materialize
+from tablewise.session import cache_tracked, materialize
 
 SKETCH_ACCURACY = 10000  # of approximate quantiles
 # brackets: a coarse sketch is cheap, its brackets hold about 1.5% of the rows
@@ -240,7 +240,8 @@ def _select(long: DataFrame, tgt: DataFrame, keys: list[str], fits: bool) -> tup
         return F.max(F.when(hit, F.col("__cv")))
 
     picked = _join_small(cand, tgt.select(*tkeys, "__klo", "__khi"), tkeys, fits).groupBy(*tkeys).agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
-    picked = materialize(picked)  # one row per target; the selection pass runs once
+    # one row per target; stored, so the selection pass runs once, and held in memory for the reads to come
+    picked = cache_tracked(materialize(picked))
     out = _join_small(tgt, picked, tkeys, fits, "left")
     value = F.col("__vlo") + (F.col("__pos") - F.col("__klo")) * (F.col("__vhi") - F.col("__vlo"))
     missing = F.col("__vlo").isNull() | F.col("__vhi").isNull()
